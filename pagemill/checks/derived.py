@@ -60,3 +60,46 @@ CONTAINER_HTML = (
     f"WHEN 3 THEN replace(html, '<article>', '<main><p>Main ' || {ID} || '</p></main><article>') "
     "WHEN 4 THEN replace(html, '<body>', '<body><article></article>') "
     "ELSE replace(replace(replace(replace(html, '<body>', ''), '</body>', ''), '<article>', ''), '</article>', '') END")
+
+DOC = "CAST(doc_id AS STRING)"
+
+# documents.doc_id % 7 -> an analysis reply: valid object inside prose,
+# missing keys, null values, two objects, invalid JSON, '}' before '{',
+# no braces at all
+ANALYSIS_REPLY = (
+    "CASE doc_id % 7 "
+    f"WHEN 0 THEN 'Here is my analysis: {{\"summary\": \"Summary of document ' || {DOC} || '\", "
+    "\"key_points\": [\"Point A\", \"Point B\"], \"themes\": [\"Theme ' || " + DOC + " || '\", \"Data\"], "
+    "\"sentiment\": \"positive\", \"structure\": {\"type\": \"report\", \"sections\": [\"intro\", \"end\"], "
+    "\"flow\": \"linear\"}, \"recommendations\": [\"Add data\"]} Hope it helps.' "
+    f"WHEN 1 THEN '{{\"summary\": \"Only a summary ' || {DOC} || '\"}}' "
+    "WHEN 2 THEN '{\"summary\": null, \"key_points\": [\"k\"], \"themes\": null}' "
+    "WHEN 3 THEN '{\"summary\": \"a\"} and {\"summary\": \"b\"}' "
+    f"WHEN 4 THEN '{{summary: ' || {DOC} || '}}' "
+    f"WHEN 5 THEN 'Closing }} first. Then an opening {{ brace. Reply ' || {DOC} "
+    f"ELSE 'First sentence ' || {DOC} || '. Second one. Third. Fourth. Fifth' END")
+
+# documents.doc_id % 7 -> an article reply of the same shapes
+ARTICLE_REPLY = (
+    "CASE doc_id % 7 "
+    f"WHEN 0 THEN 'Sure! {{\"title\": \"Title ' || {DOC} || '\", \"content\": \"Body of article ' || {DOC} || "
+    "' in six words\", \"summary\": \"Short\", \"tags\": [\"t1\", \"t2\"], \"word_count\": 6} Done.' "
+    f"WHEN 1 THEN '{{\"title\": \"Only a title ' || {DOC} || '\"}}' "
+    "WHEN 2 THEN '{\"title\": \"T\", \"content\": null}' "
+    "WHEN 3 THEN '{\"title\": \"a\"} and {\"title\": \"b\"}' "
+    f"WHEN 4 THEN '{{title: ' || {DOC} || '}}' "
+    f"WHEN 5 THEN 'Title: Reply ' || {DOC} || ' }} then {{' "
+    f"ELSE '  ' || chr(10) || 'TITLE:  Headline ' || {DOC} || chr(10) || 'Body line one.' || chr(10) || chr(10) "
+    "|| '  Body line two. ' END")
+
+REPLY_STATUS = "CASE WHEN doc_id % 13 = 5 THEN 'error' ELSE 'ok' END"
+
+# per-row writing options; 'poetic' and 'children' are unknown names
+STYLE = "CASE doc_id % 4 WHEN 0 THEN 'professional' WHEN 1 THEN 'casual' WHEN 2 THEN 'news' ELSE 'poetic' END"
+AUDIENCE = "CASE doc_id % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'technical' WHEN 2 THEN 'business' ELSE 'children' END"
+WORDS = "CAST(300 + (doc_id % 10) * 500 AS BIGINT)"
+
+# markdown-ish article text: paragraphs split by blank lines and a heading
+# level chosen by doc_id % 5 (level 4 is not a heading)
+MD_TEXT = ("concat(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '# ' WHEN 2 THEN '## ' WHEN 3 THEN '### ' "
+           "ELSE '#### ' END, replace(text, chr(10), chr(10) || chr(10)))")
