@@ -103,3 +103,8 @@ WORDS = "CAST(300 + (doc_id % 10) * 500 AS BIGINT)"
 # level chosen by doc_id % 5 (level 4 is not a heading)
 MD_TEXT = ("concat(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '# ' WHEN 2 THEN '## ' WHEN 3 THEN '### ' "
            "ELSE '#### ' END, replace(text, chr(10), chr(10) || chr(10)))")
+
+# per-row publishing options
+AUTHOR = "concat('Desk ', CAST(doc_id % 3 AS STRING))"
+DRAFT = "(doc_id % 2 = 0)"
+PLATFORM = "CASE WHEN doc_id % 5 = 4 THEN 'medium' ELSE 'wechat' END"

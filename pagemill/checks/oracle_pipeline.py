@@ -199,3 +199,43 @@ def d_write_select(src: str, keep: str, style: str, audience: str, words: str,
             f"THEN coalesce(json_extract_string(span2, '$.error'), 'None') END AS article_error, "
             f"CASE WHEN e0 IS NULL THEN CASE WHEN br = 'parsed' THEN pjs ELSE fb.js END END AS article_json "
             f"FROM ({mid})")
+
+
+# ------------------------------------------------------------------ publishing
+def d_to_html(content: str) -> str:
+    from ..operators import publish as PB
+    blocks = (f"list_filter(list_transform(string_split({content}, {NL} || {NL}), lambda q_b: {d_strip('q_b')}), "
+              f"lambda q_c: q_c <> '')")
+    tag = ("CASE WHEN starts_with(q_p, '# ') THEN '<h1>' || q_p[3:] || '</h1>' "
+           "WHEN starts_with(q_p, '## ') THEN '<h2>' || q_p[4:] || '</h2>' "
+           "WHEN starts_with(q_p, '### ') THEN '<h3>' || q_p[5:] || '</h3>' "
+           f"ELSE '<p>' || replace(q_p, {NL}, '<br>') || '</p>' END")
+    return f"{dq(PB.HTML_OPEN)} || array_to_string(list_transform({blocks}, lambda q_p: {tag}), {NL}) || {dq(PB.HTML_CLOSE)}"
+
+
+def d_publish_select(src: str, keep: str, author: str, draft: str, platform: str) -> str:
+    """A query over ``src`` (with ``article_json``) adding the payload and
+    publish-result columns."""
+    from ..operators import publish as PB
+    aj = "article_json"
+    title, content, summary = (f"json_extract_string({aj}, '$.{k}')" for k in ("title", "content", "summary"))
+    has_summary = f"json_type({aj}, '$.summary') IS NOT NULL"
+    empty = f"({aj} IS NULL OR len(json_keys({aj})) = 0)"
+    perr = (f"CASE WHEN {empty} THEN {dq(PB.NO_ARTICLE)} WHEN coalesce({title}, '') = '' OR coalesce({content}, '') = '' "
+            f"THEN {dq(PB.MISSING_FIELDS)} END")
+    digest_arg = f"CASE WHEN NOT ({has_summary}) THEN '' ELSE substr({summary}, 1, {PB.DIGEST_CHARS}) END"
+    digest = f"CASE WHEN ({digest_arg}) <> '' THEN {digest_arg} ELSE substr({title}, 1, {PB.DIGEST_CHARS}) END"
+    ok = (f"perr IS NULL AND plat = 'wechat' AND NOT ({has_summary} AND json_type({aj}, '$.summary') = 'NULL')")
+    html = d_to_html(content)
+    pid = f"sha256({title} || {NL} || coalesce({author}, '') || {NL} || ({html}) || {NL} || ({digest}))"
+    return (f"SELECT {keep}, perr AS publish_error, draft AS draft_only, "
+            f"CASE WHEN {ok} THEN {title} END AS payload_title, CASE WHEN {ok} THEN {html} END AS payload_content, "
+            f"CASE WHEN {ok} THEN {digest} END AS payload_digest, CASE WHEN {ok} THEN 0 END AS show_cover_pic, "
+            f"CASE WHEN perr IS NULL AND plat = 'wechat' AND {ok} THEN true ELSE false END AS success, "
+            f"CASE WHEN perr IS NOT NULL THEN NULL WHEN plat <> 'wechat' THEN plat ELSE 'wechat' END AS platform, "
+            f"CASE WHEN {ok} AND NOT draft THEN {pid} END AS article_id, "
+            f"CASE WHEN {ok} AND draft THEN {pid} END AS draft_id, "
+            f"CASE WHEN perr IS NOT NULL THEN perr WHEN plat <> 'wechat' THEN 'Platform ''' || plat || ''' not supported yet' "
+            f"WHEN NOT ({ok}) THEN 'Publishing error: ''NoneType'' object is not subscriptable' "
+            f"WHEN draft THEN {dq(PB.DRAFT_SAVED)} ELSE {dq(PB.PUBLISHED)} END AS message "
+            f"FROM (SELECT *, {perr} AS perr, {platform} AS plat, {draft} AS draft FROM ({src}))")
