@@ -108,3 +108,8 @@ MD_TEXT = ("concat(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '# ' WHEN 2 THEN '
 AUTHOR = "concat('Desk ', CAST(doc_id % 3 AS STRING))"
 DRAFT = "(doc_id % 2 = 0)"
 PLATFORM = "CASE WHEN doc_id % 5 = 4 THEN 'medium' ELSE 'wechat' END"
+
+# the task log with the signups of users where user_id % 7 = 0 turned into
+# plain updates: those ids are never created, so all their updates must be
+# ignored (every event row is kept)
+TASK_LOG_EVENT_TYPE = "CASE WHEN event_type = 'signup' AND user_id % 7 = 0 THEN 'view' ELSE event_type END"
