@@ -113,3 +113,15 @@ PLATFORM = "CASE WHEN doc_id % 5 = 4 THEN 'medium' ELSE 'wechat' END"
 # plain updates: those ids are never created, so all their updates must be
 # ignored (every event row is kept)
 TASK_LOG_EVENT_TYPE = "CASE WHEN event_type = 'signup' AND user_id % 7 = 0 THEN 'view' ELSE event_type END"
+
+# url-to-article requests from pages: options by page_id, some missing
+# (-> defaults), some out of range or unknown, some URLs non-http or absent
+REQ_URL = ("CASE WHEN page_id % 9 = 4 THEN replace(url, 'http', 'ftp') WHEN page_id % 9 = 8 THEN NULL "
+           "ELSE url END")
+REQ_STYLE = ("CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'casual' WHEN 2 THEN 'news' "
+             "WHEN 3 THEN 'professional' ELSE 'poetic' END")
+REQ_AUDIENCE = "CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'technical' WHEN 2 THEN 'business' ELSE 'general' END"
+REQ_WORDS = ("CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 250 WHEN 2 THEN 5001 "
+             "ELSE 300 + (page_id * 7) % 4701 END")
+REQ_IMAGES = "CASE WHEN page_id % 3 = 1 THEN false END"
+REQ_LINKS = "CASE WHEN page_id % 3 = 2 THEN false END"
