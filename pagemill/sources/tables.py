@@ -18,10 +18,12 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """A driver table. Row-wise regex/JSON work follows most reads, so an
+    input that arrives as fewer scan splits than cores (a small file with
+    one row group) is spread; large inputs keep their scan splits."""
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched pages (page_id, url, html): the re-aimed page source. Row-wise
-    regex work follows, so small inputs are spread over all cores."""
-    return spread(read_table(spark, sf_dir, "pages"))
+    """Fetched pages (page_id, url, html): the re-aimed page source."""
+    return read_table(spark, sf_dir, "pages")
