@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pagemill.checks.suite import o22_crawl  # noqa: E402
-from pagemill.checks.suite_pipeline import o47_write  # noqa: E402
+from pagemill.checks.suite_steps import o47_write  # noqa: E402
 from pagemill.checks.suite_publish import o55_publish  # noqa: E402
 from pagemill.checks.suite_tasks import o71_task_state_events  # noqa: E402
 from pagemill.checks.suite_workflow import o60_url_to_article  # noqa: E402

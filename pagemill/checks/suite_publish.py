@@ -10,9 +10,9 @@ from ..session import scratch_path
 from ..sources import sinks
 from ..sources.tables import read_table
 from . import derived as D
-from . import oracle_pipeline as P
+from . import oracle_steps as P
 from .suite import register
-from .suite_pipeline import _O_FIRST, _O_JSON_A, _O_JSON_W, _o_write, _spark_write, json_analysis_replies, \
+from .suite_steps import _O_FIRST, _O_JSON_A, _O_JSON_W, _o_write, _spark_write, json_analysis_replies, \
     json_article_replies
 
 _PUB_COLS = ("publish_error", "draft_only", "payload.title AS payload_title", "payload.content AS payload_content",

@@ -10,7 +10,7 @@ from ..operators.responses import replies_from_conversations
 from ..operators.write import audience_sql, style_sql, write
 from ..sources.tables import read_table
 from . import derived as D
-from . import oracle_pipeline as P
+from . import oracle_steps as P
 from .oracle import dq
 from .suite import register
 

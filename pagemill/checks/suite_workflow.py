@@ -14,10 +14,10 @@ from ..sources.requests import validate_requests
 from ..sources.tables import read_table
 from . import derived as D
 from . import oracle as O
-from . import oracle_pipeline as P
+from . import oracle_steps as P
 from .oracle import dq
 from .suite import _oracle_clean, pages_with, register
-from .suite_pipeline import _O_FIRST
+from .suite_steps import _O_FIRST
 
 STYLE_P = D.STYLE.replace("doc_id", "page_id")
 AUDIENCE_P = D.AUDIENCE.replace("doc_id", "page_id")
