@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html.entities
 import itertools
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,7 +90,10 @@ def join_lines_sql(e: str) -> str:
 # HTML 4 set an HTML parser decodes; a rule, not a hand-kept list) + apos.
 _NAMED = dict(html.entities.name2codepoint)
 _NAMED["apos"] = 0x27
-ENTITY_MAP_SQL = "map(" + ", ".join(f"{q(n)}, {q(chr(_NAMED[n]))}" for n in sorted(_NAMED)) + ")"
+# one JSON string literal, constant-folded once by the optimizer (a map()
+# call would put ~500 nodes into every expression that decodes entities)
+ENTITY_MAP_SQL = ("from_json(" + q(json.dumps({n: chr(_NAMED[n]) for n in sorted(_NAMED)}, ensure_ascii=True))
+                  + ", 'map<string,string>')")
 
 ENTITY_TOKEN = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|&|[^&]+"
 
