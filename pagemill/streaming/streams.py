@@ -5,9 +5,12 @@ appended to a parquet table (exactly-once through the checkpoint).
 
 O81 is the task-state aggregate over a task-event stream. The latest
 ``(ts, seq)`` per field wins, so late or out-of-order events are harmless
-and no watermark is needed; the state store holds one row per task. Each
-micro-batch rewrites the state table (complete mode through
-``foreachBatch``), so a restarted query converges to the same table.
+and no watermark is needed; the state store holds one row per task, spread
+over the shuffle partitions by task id. In update mode each micro-batch
+emits only the tasks whose state changed; they are appended to a change
+table with their batch id, so a batch costs O(changed tasks), not O(all
+tasks). The current state is the latest row per task (``read_task_state``),
+and a replayed batch rewrites identical rows, so retries are harmless.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.crawl import crawl
@@ -44,19 +48,32 @@ def crawl_stream(spark: SparkSession, pages_path: str, out_path: str, checkpoint
     q.awaitTermination()
 
 
-def task_state_stream(spark: SparkSession, events_path: str, out_path: str, checkpoint: str) -> None:
+def task_state_stream(spark: SparkSession, events_path: str, out_path: str, checkpoint: str,
+                      max_files_per_trigger: int | None = None) -> None:
     """Maintain the latest task state from an event stream."""
-    events = spark.readStream.schema(EVENTS_SCHEMA).parquet(_glob(events_path))
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = reader.parquet(_glob(events_path))
     state = latest_state(events_from_log(events))
 
-    def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out_path)
 
-    q = (state.writeStream.outputMode("complete").foreachBatch(write_batch)
+    q = (state.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_task_state(spark: SparkSession, changes_path: str) -> DataFrame:
+    """Current task state from the change table: the row of the latest
+    batch per task (a partial aggregate, like the batch form)."""
+    ch = spark.read.parquet(changes_path)
+    cols = [c for c in ch.columns if c not in ("task_id", "batch_id")]
+    latest = F.expr("max_by(named_struct(" + ", ".join(f"'{c}', `{c}`" for c in cols) + "), batch_id)")
+    return ch.groupBy("task_id").agg(latest.alias("s")).select("task_id", *[F.col(f"s.{c}").alias(c) for c in cols])
+
+
 def run_crawl_stream(spark: SparkSession, pages_path: str, **crawl_options) -> DataFrame:
     out, ck = scratch_path(spark, "crawl-stream"), scratch_path(spark, "crawl-stream-ckpt")
     crawl_stream(spark, pages_path, out, ck, **crawl_options)
@@ -66,4 +83,4 @@ def run_crawl_stream(spark: SparkSession, pages_path: str, **crawl_options) -> D
 def run_task_state_stream(spark: SparkSession, events_path: str) -> DataFrame:
     out, ck = scratch_path(spark, "task-state"), scratch_path(spark, "task-state-ckpt")
     task_state_stream(spark, events_path, out, ck)
-    return spark.read.parquet(out)
+    return read_task_state(spark, out)
