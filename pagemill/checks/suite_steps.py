@@ -24,18 +24,18 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_analysis_replies(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "documents").selectExpr(
+    return read_table(spark, sf, "documents", spread_rows=False).selectExpr(
         "doc_id AS key", f"{D.ANALYSIS_REPLY} AS response_text", f"{D.REPLY_STATUS} AS status")
 
 
 def json_article_replies(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "documents").selectExpr(
+    return read_table(spark, sf, "documents", spread_rows=False).selectExpr(
         "doc_id AS key", f"{D.ARTICLE_REPLY} AS response_text", "'ok' AS status")
 
 
 def last_replies(spark, sf) -> DataFrame:
     """The last assistant turn of each conversation (the writing reply)."""
-    conv = read_table(spark, sf, "conversations").where("role = 'assistant'")
+    conv = read_table(spark, sf, "conversations", spread_rows=False).where("role = 'assistant'")
     return conv.groupBy("conv_id").agg({"turn": "max"}).withColumnRenamed("max(turn)", "turn") \
         .join(conv, ["conv_id", "turn"]).selectExpr("conv_id AS key", "text AS response_text", "'ok' AS status")
 

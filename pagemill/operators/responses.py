@@ -43,7 +43,7 @@ def attach_replies(df: DataFrame, responses: DataFrame | None, key: str) -> Data
 
 def replies_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies keyed by conversation: the first assistant turn of each."""
-    conv = read_table(spark, sf_dir, "conversations")
+    conv = read_table(spark, sf_dir, "conversations", spread_rows=False)
     return (conv.where("role = 'assistant'")
             .groupBy("conv_id")
             .agg(F.expr("min_by(text, turn)").alias("response_text"))

@@ -76,9 +76,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     redistributed, so the shuffled volume is bounded by
     ``partitions * maxPartitionBytes``.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a Connect session): leave the plan as is
+        return df
     if have >= want:
         return df
     return df.repartition(want)
