@@ -19,7 +19,6 @@ value referenced twice is never inlined twice), and per-tag work runs as
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .text import decode_entities_sql, join_lines_sql, pystrip_sql, q, var
 from .urls import is_valid_image_url_sql, is_valid_link_url_sql, resolve_urls_sql, url_parts_sql
