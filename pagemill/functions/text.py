@@ -26,6 +26,8 @@ WS_CLASS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 WS_NO_NL = (r"[\x{09}\x{0b}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 STRIP_RE = f"^{WS_CLASS}+|{WS_CLASS}+\\z"
+# the same set as characters, by rule (every BMP character str.isspace accepts)
+WS_CHARS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
 
 _ids = itertools.count(1)
 
@@ -52,8 +54,9 @@ def expr(sql: str) -> Column:
 
 # ---------------------------------------------------------------- strings
 def pystrip_sql(e: str) -> str:
-    """``str.strip()``. Spark's ``trim`` only removes U+0020."""
-    return f"regexp_replace({e}, {q(STRIP_RE)}, '')"
+    """``str.strip()``. Spark's one-argument ``trim`` only removes U+0020;
+    ``btrim`` with the whole whitespace set is a plain scan from both ends."""
+    return f"btrim({e}, {q(WS_CHARS)})"
 
 
 def word_count_sql(e: str) -> str:
@@ -95,6 +98,9 @@ _NAMED["apos"] = 0x27
 ENTITY_MAP_SQL = ("from_json(" + q(json.dumps({n: chr(_NAMED[n]) for n in sorted(_NAMED)}, ensure_ascii=True))
                   + ", 'map<string,string>')")
 
+# the references most pages use, tested before the map look-up
+_COMMON = ["amp", "lt", "gt", "quot", "nbsp"]
+
 ENTITY_TOKEN = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|&|[^&]+"
 
 
@@ -112,11 +118,14 @@ def decode_entities_sql(e: str) -> str:
     t = var("t")
     dec = let(f"try_cast(substring({t}, 3, length({t}) - 3) AS BIGINT)", _cp_char)
     hexa = let(f"try_cast(conv(substring({t}, 4, length({t}) - 4), 16, 10) AS BIGINT)", _cp_char)
-    tok = (f"CASE WHEN {t} RLIKE '^&[A-Za-z][A-Za-z0-9]*;$' "
+    common = " ".join(f"WHEN {q('&' + n + ';')} THEN {q(chr(_NAMED[n]))}" for n in _COMMON)
+    tok = (f"CASE WHEN length({t}) = 1 OR substring({t}, 1, 1) <> '&' THEN {t} "
+           f"ELSE CASE {t} {common} ELSE CASE "
+           f"WHEN {t} RLIKE '^&[A-Za-z][A-Za-z0-9]*;$' "
            f"THEN coalesce(try_element_at({ENTITY_MAP_SQL}, substring({t}, 2, length({t}) - 2)), {t}) "
            f"WHEN {t} RLIKE '^&#[0-9]+;$' THEN {dec} "
            f"WHEN {t} RLIKE '^&#[xX][0-9a-fA-F]+;$' THEN {hexa} "
-           f"ELSE {t} END")
+           f"ELSE {t} END END END")
     return f"array_join(transform(regexp_extract_all({e}, {q(ENTITY_TOKEN)}, 0), {t} -> {tok}), '')"
 
 
