@@ -165,3 +165,20 @@ def o04_result_sink(spark, sf):
     path = scratch_path(spark, "results")
     sinks.write_results(_spark_article(spark, sf), path)
     return spark.read.parquet(path).selectExpr("key AS page_id", "success", "error", "article.title AS article_title")
+
+
+@register("o71_workflow_task_state",
+          f"SELECT sha256(url || '#' || CAST(page_id * 3 AS VARCHAR)) AS task_id, 'url_to_article' AS type, "
+          f"CASE WHEN success THEN 'completed' ELSE 'failed' END AS status, "
+          f"CASE WHEN success THEN {dq(T.ARTICLE_DONE)} ELSE {dq(T.ARTICLE_FAILED)} END AS message, "
+          f"{dq(T.PROGRESS['url_to_article'][1])} AS progress, "
+          f"CASE WHEN success THEN NULL ELSE coalesce(error, {dq(T.UNKNOWN_ERROR)}) END AS error, "
+          f"success AS has_data FROM ({_O60})")
+def o71_workflow_task_state(spark, sf):
+    """Requests -> create, processing and outcome events -> task state."""
+    from ..plans.workflow import task_events_for
+    req = _spark_requests(spark, sf)
+    results = url_to_article(req, analysis_replies=replies_from_conversations(spark, sf),
+                             style="style", audience="audience", word_count="words")
+    state = T.latest_state(task_events_for(req, results))
+    return state.selectExpr("task_id", "type", "status", "message", "progress", "error", "data IS NOT NULL AS has_data")

@@ -117,3 +117,19 @@ def result_preview(results: DataFrame, key: str = "key") -> DataFrame:
         "CAST(json_array_length(get_json_object(analysis_json, '$.key_points')) AS BIGINT) AS n_key_points",
         "array_join(from_json(get_json_object(analysis_json, '$.themes'), 'array<string>'), ', ') AS themes",
         "substring(article.content, 1, 500) AS content_preview")
+
+
+def task_events_for(requests: DataFrame, results: DataFrame, key: str = "key", url: str = "url",
+                    workflow: str = "url_to_article") -> DataFrame:
+    """The task log of a batch of requests run through a workflow: for each
+    request a create event, the PROCESSING update and the outcome update,
+    ordered by ``seq`` (3*key, +1, +2). ``latest_state`` of the union gives
+    what the status and result endpoints would report."""
+    from ..operators.tasks import create_events, outcome_events, processing_events
+    req = requests.selectExpr(f"`{url}` AS url", f"CAST(`{key}` AS BIGINT) * 3 AS seq")
+    created = create_events(req, task_type=workflow)
+    started = processing_events(created.selectExpr("task_id", "seq + 1 AS seq"), workflow=workflow)
+    ids = f"sha2(concat(coalesce(`{url}`, ''), '#', CAST(CAST(`{key}` AS BIGINT) * 3 AS STRING)), 256)"
+    done = outcome_events(results.selectExpr("*", f"{ids} AS _task_id", f"CAST(`{key}` AS BIGINT) * 3 + 2 AS _seq"),
+                          task_id="_task_id", seq="_seq", workflow=workflow)
+    return created.unionByName(started).unionByName(done)
