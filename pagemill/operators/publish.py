@@ -28,12 +28,24 @@ DRAFT_SAVED = "Article saved as draft successfully"
 PUBLISHED = "Article published successfully"
 
 
-def to_html_sql(content: str) -> str:
+def _escape_sql(e: str) -> str:
+    """HTML-escape text (``&`` first)."""
+    out = f"replace({e}, '&', '&amp;')"
+    for ch, ent in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = f"replace({out}, {q(ch)}, {q(ent)})"
+    return out
+
+
+def to_html_sql(content: str, escape: bool = False) -> str:
     """Blocks split on a blank line, stripped, blanks dropped; '# ',
     '## ', '### ' become h1-h3 (prefix cut, rest kept as is); other blocks
-    are paragraphs with line breaks as <br>. No HTML escaping."""
+    are paragraphs with line breaks as <br>. Like the original, no HTML
+    escaping by default; ``escape=True`` escapes each block's text."""
     a, b, p = var(), var(), var("p")
     blocks = f"filter(transform(split({content}, '\\n\\n', -1), {a} -> {pystrip_sql(a)}), {b} -> {b} <> '')"
+    if escape:
+        e = var()
+        blocks = f"transform({blocks}, {e} -> {_escape_sql(e)})"
     tag = (f"CASE WHEN {p} LIKE '# %' THEN concat('<h1>', substring({p}, 3), '</h1>') "
            f"WHEN {p} LIKE '## %' THEN concat('<h2>', substring({p}, 4), '</h2>') "
            f"WHEN {p} LIKE '### %' THEN concat('<h3>', substring({p}, 5), '</h3>') "
@@ -51,13 +63,20 @@ def publish(df: DataFrame, article_json: str = "article_json", author: str | Non
     """Add ``publish_error`` (validation), ``payload`` (struct) and
     ``publish_result`` (struct of schemas.PUBLISH).
 
-    ``author`` / ``platform`` / ``draft_only`` name per-row columns, or are
-    constants (platform default 'wechat'; the author has no branded
-    default). ``configured=False`` models a destination that is not set up.
+    ``author`` / ``platform`` name a per-row column when ``df`` has one of
+    that name, else they are constants (platform default 'wechat'; the
+    author has no branded default); ``draft_only`` is a bool or a column
+    name. ``configured=False`` models a destination that is not set up.
     """
     aj = f"`{article_json}`"
-    auth = f"`{author}`" if author else "CAST(NULL AS STRING)"
-    plat = f"`{platform}`" if platform else "'wechat'"
+
+    def col_or_const(v, default):
+        if v is None:
+            return default
+        return f"`{v}`" if v in df.columns else q(v)
+
+    auth = col_or_const(author, "CAST(NULL AS STRING)")
+    plat = col_or_const(platform, "'wechat'")
     draft = (("true" if draft_only else "false") if isinstance(draft_only, bool)
              else f"coalesce(`{draft_only}`, false)")
     thumb = f"`{thumb_media_id}`" if thumb_media_id else "CAST(NULL AS STRING)"
@@ -106,5 +125,5 @@ def publish(df: DataFrame, article_json: str = "article_json", author: str | Non
                         "payload", f"{result} AS publish_result")
 
 
-def to_html(col: str):
-    return expr(to_html_sql(col))
+def to_html(col: str, escape: bool = False):
+    return expr(to_html_sql(col, escape))

@@ -99,7 +99,12 @@ def step_envelope(results: DataFrame, key: str = "key") -> DataFrame:
         "'metadata', map('title', crawl_result.title)), "
         "named_struct('step', 'write', 'name', 'WriterAgent', 'ran', failed_at IS NULL OR failed_at = 'write', "
         "'ok', failed_at IS NULL, "
-        "'metadata', map('style', article.style, 'word_count', CAST(article.word_count AS STRING))))")
+        "'metadata', map('style', article.style, 'word_count', CAST(article.word_count AS STRING)))"
+        + (", named_struct('step', 'publish', 'name', 'PublisherAgent', 'ran', failed_at IS NULL, "
+           "'ok', coalesce(publish_result.success, false), "
+           "'metadata', map('platform', coalesce(publish_result.platform, 'wechat')))"
+           if "publish_result" in results.columns else "")
+        + ")")
     # steps that did not run are dropped inside the array (a row filter on
     # these derived columns would be pushed through every projection)
     return (results.selectExpr(f"`{key}`", f"inline(filter({steps}, s -> s.ran))")

@@ -97,3 +97,19 @@ def test_task_state_explicit_none_and_unknown_ids(spark):
     r = rows[0]
     assert (r.status, r.message, r.error, r.type) == ("processing", "retry", None, "t")  # explicit None wins
     assert r.completed_at == dt(2024, 1, 1, 0, 0, 3) and r.created_at == dt(2024, 1, 1, 0, 0, 2)
+
+
+def test_html_escape_option(spark):
+    df = spark.createDataFrame([("a <b> & 'c'",)], "c string")
+    plain = df.selectExpr(f"{to_html_sql('c')} AS h").collect()[0].h
+    esc = df.selectExpr(f"{to_html_sql('c', escape=True)} AS h").collect()[0].h
+    assert "<p>a <b> & 'c'</p>" in plain and "<p>a &lt;b&gt; &amp; &#x27;c&#x27;</p>" in esc
+
+
+def test_envelope_has_publish_step(spark):
+    from pagemill.plans.workflow import step_envelope, url_to_publication
+    req = spark.createDataFrame([(1, "http://a.com/x", "<html><body><article><p>Hello.</p></article></body></html>")],
+                                "key bigint, url string, html string")
+    steps = step_envelope(url_to_publication(req, author="me")).collect()
+    assert [s.step for s in steps] == ["crawl", "analyze", "write", "publish"]
+    assert steps[-1].status == "success" and steps[-1].metadata == {"platform": "wechat"}
