@@ -112,3 +112,13 @@ def analyze(df: DataFrame, responses: DataFrame | None = None, key: str = "key",
 
 def _has_key(js: str, key: str) -> str:
     return f"coalesce(array_contains(json_object_keys({js}), {q(key)}), false)"
+
+
+def analysis_prompts(df: DataFrame, key: str = "key", title: str = "title",
+                     content: str = "content") -> DataFrame:
+    """The outgoing request table for the model: ``(key, prompt)`` for every
+    row with content (rows without content never reach the model). Replies
+    come back as ``(key, response_text, status)`` for :func:`analyze`."""
+    return df.selectExpr(f"`{key}` AS key", f"{analysis_prompt_sql(f'`{title}`', f'`{content}`')} AS prompt",
+                         f"`{content}` IS NOT NULL AND `{content}` <> '' AS has_content") \
+        .selectExpr("key", "CASE WHEN has_content THEN prompt END AS prompt")
