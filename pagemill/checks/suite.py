@@ -22,11 +22,37 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def json_as_varchar(sql: str) -> str:
+    """Wrap every ``to_json(...)`` of DuckDB SQL in ``CAST(... AS VARCHAR)``:
+    DuckDB types it JSON, Spark's to_json is a plain string."""
+    out, i, key = [], 0, "to_json("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k, quote = 0, j + len(key) - 1, False
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "'":
+                quote = not quote
+            elif not quote and ch == "(":
+                depth += 1
+            elif not quote and ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = json_as_varchar(sql[j + len(key):k])
+        out.append(sql[i:j] + "CAST(to_json(" + inner + ") AS VARCHAR)")
+        i = k + 1
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLE[name] = oracle
+            ORACLE[name] = json_as_varchar(oracle)
         return fn
     return deco
 
