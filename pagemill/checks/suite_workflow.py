@@ -26,7 +26,7 @@ WORDS_P = D.WORDS.replace("doc_id", "page_id")
 
 def _spark_requests(spark, sf) -> DataFrame:
     return pages_with(spark, sf, D.CONTAINER_HTML).selectExpr(
-        "page_id AS key", "url", "html", f"{STYLE_P.replace('page_id', 'page_id')} AS style",
+        "page_id AS key", "url", "html", f"{STYLE_P} AS style",
         f"{AUDIENCE_P} AS audience", f"{WORDS_P} AS words")
 
 
@@ -35,7 +35,7 @@ def _spark_article(spark, sf) -> DataFrame:
                           style="style", audience="audience", word_count="words")
 
 
-def _o_workflow(words: str = WORDS_P, links: bool = True) -> str:
+def _o_workflow(words: str = WORDS_P) -> str:
     crawl = (_oracle_clean(D.CONTAINER_HTML)
              + f"SELECT page_id, url, {O.d_title('pre')} AS title, {O.d_container('clean')} AS content FROM d")
     src = (f"SELECT c.*, r.rtext, r.rstatus FROM ({crawl}) c LEFT JOIN ({_O_FIRST}) r ON c.page_id = r.rkey")

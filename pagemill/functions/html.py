@@ -39,8 +39,9 @@ MARK = "<!>"
 # Subtrees removed as boilerplate.
 BOILERPLATE_TAGS = ["script", "style", "nav", "header", "footer", "aside", "iframe"]
 # innermost first: an element holding no start/end tag of its own name
-BOILER_RE = (r"(?is)<(nav|header|footer|aside|iframe)\b" + ATTRS + r">[^<]*+"
-             r"(?:<(?!/?\1\b)[^<]*+)*+</\1\s*>")
+# (scripts and styles are removed earlier, with comments, by RAW_RE)
+BOILER_RE = (r"(?is)<(" + "|".join(t for t in BOILERPLATE_TAGS if t not in ("script", "style")) + r")\b"
+             + ATTRS + r">[^<]*+(?:<(?!/?\1\b)[^<]*+)*+</\1\s*>")
 BOILER_PASSES = 4
 
 # Main-container selectors, in priority order.

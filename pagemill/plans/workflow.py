@@ -18,9 +18,8 @@ from ..operators.crawl import crawl
 from ..operators.publish import publish
 from ..operators.write import write
 
-# Step failure messages when a step returns nothing.
+# The failure message when the analysis comes back empty.
 ANALYZE_FAILED = "Failed to analyze content"
-WRITE_FAILED = "Failed to write article"
 
 _CRAWL = ("named_struct('url', url, 'title', title, 'content', content, 'images', images, "
           "'links', links, 'metadata', metadata)")
