@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # shuffle partitions are sized at run time: start high on a cluster and
+    # let AQE coalesce to ~128 MB per reducer
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
