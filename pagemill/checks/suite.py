@@ -218,3 +218,14 @@ def o22_crawl(spark, sf):
         "to_json(links) AS links", "to_json(metadata) AS metadata",
         "CAST(content_length AS BIGINT) AS content_length")
 
+
+
+@register("o11_shape_flags",
+          _oracle_clean(D.CONTAINER_HTML)
+          + "SELECT page_id, regexp_matches(clean, '(?is)<(nav|header|footer|aside|iframe)\\b') AS residual_boilerplate, "
+            "NOT regexp_matches(clean, '(?is)<body\\b') AS no_body_element FROM d")
+def o11_shape_flags(spark, sf):
+    """Pages whose shape the expression extractor flags for review."""
+    from ..operators.crawl import extraction_flags
+    return extraction_flags(pages_with(spark, sf, D.CONTAINER_HTML)).select(
+        "page_id", "residual_boilerplate", "no_body_element")

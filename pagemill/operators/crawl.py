@@ -43,3 +43,26 @@ def crawl_record(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", "CASE WHEN crawl_error IS NULL THEN named_struct('url', url, 'title', title, "
                               "'content', content, 'images', images, 'links', links, 'metadata', metadata) "
                               "END AS crawl_result")
+
+
+def extraction_flags(df: DataFrame, html: str = "html") -> DataFrame:
+    """Per-page flags for shapes where expression-based extraction may differ
+    from a tree-building parser: boilerplate elements still present after the
+    nesting passes (unclosed or nested deeper than four levels), and pages
+    without a ``<body>`` element (implied body)."""
+    from ..functions.text import q
+    tags = "|".join(t for t in H.BOILERPLATE_TAGS if t not in ("script", "style"))
+    s = df.selectExpr("*", f"{H.strip_boilerplate_sql(H.preclean_sql(f'`{html}`'))} AS _clean")
+    keep = [f"`{c}`" for c in df.columns if c != html]
+    return s.selectExpr(
+        *keep,
+        f"_clean RLIKE {q('(?is)<(' + tags + r')\b')} AS residual_boilerplate",
+        f"NOT _clean RLIKE {q(r'(?is)<body\b')} AS no_body_element")
+
+
+def shape_report(flags: DataFrame) -> DataFrame:
+    """One row: how many pages carry each flag (a global partial aggregate)."""
+    return flags.selectExpr(
+        "count(*) AS pages",
+        "count_if(residual_boilerplate) AS residual_boilerplate",
+        "count_if(no_body_element) AS no_body_element")

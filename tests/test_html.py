@@ -63,3 +63,15 @@ def test_failed_fetch_keeps_row(spark):
     out = crawl(df).orderBy("page_id").collect()
     assert [r.crawl_error for r in out] == ["Failed to crawl URL: http://a.com/", "Failed to crawl URL: http://b.com/"]
     assert all(r.title is None for r in out)
+
+
+def test_shape_flags(spark):
+    from pagemill.operators.crawl import extraction_flags, shape_report
+    deep = "<html><body>" + "<nav>" * 5 + "x" + "</nav>" * 5 + "<article>a</article></body></html>"
+    rows = [(1, "http://a/", deep), (2, "http://a/", "<html><body><nav>open<article>a</article></body></html>"),
+            (3, "http://a/", "<p>no body</p>"), (4, "http://a/", "<html><body><nav><nav>x</nav></nav>ok</body></html>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: (r.residual_boilerplate, r.no_body_element) for r in extraction_flags(df).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (False, False)}
+    rep = shape_report(extraction_flags(df)).collect()[0]
+    assert (rep.pages, rep.residual_boilerplate, rep.no_body_element) == (4, 2, 1)
