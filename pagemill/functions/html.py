@@ -80,6 +80,7 @@ SELECTOR_RE = {
 TITLE_RE = r"(?is)<title\b" + ATTRS + r">(.*?)</title\s*>"
 H1_OPEN = r"(?is)<h1\b" + ATTRS + ">"
 H1_RE = r"(?is)<h1\b" + ATTRS + r">(.*?)(?:</h1\s*>|\z)"
+_LIST_TAGS_RE = r"(?is)<(?:img|a|meta)\b" + ATTRS + ">"
 HEAD_RE = r"(?is)<head\b" + ATTRS + r">.*?(?:</head\s*>|\z)|<title\b" + ATTRS + r">.*?</title\s*>"
 
 
@@ -225,9 +226,20 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
                f"ELSE {text_of_sql('_clean')} END")
     s = s.selectExpr(*carry, f"{content} AS content")
 
-    src = "_pre" if keep_boilerplate else "_clean"
+    # one scan per page collects every start tag the lists and metadata
+    # need; each list then filters it by tag name
+    # (keep_boilerplate reads the link/image tags before removal)
+    ltags = (f"regexp_extract_all(_pre, {q(_LIST_TAGS_RE)}, 0)" if keep_boilerplate
+             else "CAST(NULL AS ARRAY<STRING>)")
+    s = s.selectExpr(*K, "_url", "_bp", "title", "content",
+                     f"regexp_extract_all(_clean, {q(_LIST_TAGS_RE)}, 0) AS _tags", f"{ltags} AS _ltags")
+    src = "_ltags" if keep_boilerplate else "_tags"
     empty = "cast(array() AS array<string>)"
 
+    def of(tags_col, name):
+        t = var("g")
+        return f"filter({tags_col}, {t} -> {t} RLIKE {q('(?i)^<' + name + r'\b')})"
+
     def gated(flag, build):
         f = _flag_sql(flag)
         if f is True:
@@ -240,14 +252,14 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
         names = ["src", "data-src", "data-original"]
         x, r, u = var("x"), var("r"), var("u")
         first = "coalesce(" + ", ".join(f"nullif({x}.`{n}`, '')" for n in names) + ")"
-        refs = f"filter(transform({parse_tags_sql(tags_sql(src, 'img'), names)}, {x} -> {first}), " \
+        refs = f"filter(transform({parse_tags_sql(of(src, 'img'), names)}, {x} -> {first}), " \
                f"{r} -> {r} IS NOT NULL)"
         urls = resolve_urls_sql("_bp", "_url", refs)
         return f"array_distinct(filter({urls}, {u} -> {u} IS NOT NULL AND {is_valid_image_url_sql(u)}))"
 
     def links():
         x, r, u = var("x"), var("r"), var("u")
-        refs = f"filter(transform({parse_tags_sql(tags_sql(src, 'a'), ['href'])}, " \
+        refs = f"filter(transform({parse_tags_sql(of(src, 'a'), ['href'])}, " \
                f"{x} -> nullif({x}.href, '')), {r} -> {r} IS NOT NULL)"
         urls = resolve_urls_sql("_bp", "_url", refs)
         ok = is_valid_link_url_sql(u, "_bp.netloc", external_only)
@@ -256,5 +268,5 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
     s = s.selectExpr(*K, "title", "content",
                      f"{gated(extract_images, images)} AS images",
                      f"{gated(extract_links, links)} AS links",
-                     f"{parse_tags_sql(tags_sql('_clean', 'meta'), ['name', 'property', 'content'])} AS _meta")
+                     f"{parse_tags_sql(of('_tags', 'meta'), ['name', 'property', 'content'])} AS _meta")
     return s.selectExpr(*K, "title", "content", "images", "links", f"{metadata_sql('_meta')} AS metadata")
