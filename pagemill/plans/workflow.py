@@ -17,6 +17,7 @@ from ..operators.analyze import analyze
 from ..operators.crawl import crawl
 from ..operators.publish import publish
 from ..operators.write import write
+from ..session import stage as stage_table
 
 # The failure message when the analysis comes back empty.
 ANALYZE_FAILED = "Failed to analyze content"
@@ -28,14 +29,18 @@ _CRAWL = ("named_struct('url', url, 'title', title, 'content', content, 'images'
 def url_to_article(requests: DataFrame, key: str = "key", url: str = "url", html: str = "html",
                    analysis_replies: DataFrame | None = None, article_replies: DataFrame | None = None,
                    style: str | None = None, audience: str | None = None, word_count=None,
-                   extract_images=True, extract_links=True) -> DataFrame:
+                   extract_images=True, extract_links=True, stage: bool = False) -> DataFrame:
     """O60. ``requests`` carries ``key``, ``url`` and the fetched ``html``
     (plus optional per-row option columns named by the arguments).
+    ``stage=True`` writes the crawl output (no html) to a table in the
+    shared checkpoint folder and continues from it.
 
     Adds ``success``, ``error``, ``crawl_result`` (struct),
     ``analysis_json``, ``article_json``, ``article`` and ``workflow_json``
     (the whole nested result as JSON, as stored in a task's ``data``)."""
     c = crawl(requests, url=url, html=html, extract_images=extract_images, extract_links=extract_links)
+    if stage:
+        c = stage_table(c, "crawl-stage")
     a = analyze(c, analysis_replies, key=key, title="title", content="content", with_prompt=False)
     w = write(a, article_replies, key=key, style=style, audience=audience, word_count=word_count,
               with_prompt=False)

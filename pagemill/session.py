@@ -87,3 +87,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if have >= want:
         return df
     return df.repartition(want)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table under the shared folder and read it
+    back: cuts the lineage, so a lost executor or a retried later step
+    restarts from the table instead of recomputing everything upstream."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

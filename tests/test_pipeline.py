@@ -113,3 +113,13 @@ def test_envelope_has_publish_step(spark):
     steps = step_envelope(url_to_publication(req, author="me")).collect()
     assert [s.step for s in steps] == ["crawl", "analyze", "write", "publish"]
     assert steps[-1].status == "success" and steps[-1].metadata == {"platform": "wechat"}
+
+
+def test_staged_workflow_equals_unstaged(spark):
+    from pagemill.plans.workflow import url_to_article
+    from pagemill.sources.tables import read_pages
+    pages = read_pages(spark, "/root/testdata/sf0.001").withColumnRenamed("page_id", "key")
+    cols = ["key", "success", "error", "article_json"]
+    a = sorted(url_to_article(pages).select(*cols).collect())
+    b = sorted(url_to_article(pages, stage=True).select(*cols).collect())
+    assert a == b and len(a) == 50
