@@ -123,3 +123,17 @@ def test_staged_workflow_equals_unstaged(spark):
     a = sorted(url_to_article(pages).select(*cols).collect())
     b = sorted(url_to_article(pages, stage=True).select(*cols).collect())
     assert a == b and len(a) == 50
+
+
+def test_outcome_messages_for_publication_workflow(spark):
+    from pagemill.operators.tasks import outcome_events
+    res = spark.createDataFrame([("t1", 1, True, True, None, "{}"), ("t2", 2, True, False, None, "{}"),
+                                 ("t3", 3, False, None, None, None), ("t4", 4, False, None, "boom", None)],
+                                "task_id string, seq bigint, success boolean, publish_success boolean, "
+                                "error string, workflow_json string")
+    out = {r.task_id: r for r in outcome_events(res, workflow="url_to_wechat").collect()}
+    assert out["t1"].message == "Article created and published successfully" and out["t1"].status == "completed"
+    assert out["t2"].message == "Article created, but publishing failed" and out["t2"].data == "{}"
+    assert (out["t3"].status, out["t3"].message, out["t3"].error) == ("failed", "Failed to process workflow",
+                                                                      "Unknown error")
+    assert out["t4"].error == "boom" and out["t4"].data is None
