@@ -25,7 +25,10 @@ from .urls import is_valid_image_url_sql, is_valid_link_url_sql, resolve_urls_sq
 
 # attribute region of a start tag; quoted values may hold '>'
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-ATTRS_LAZY = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
+# lazy form for "find this attribute inside the tag": word runs are taken
+# whole (one step each), so the engine's per-step recursion stays shallow
+# even for very long tags; it may stop before any whitespace character
+ATTRS_LAZY = r"""(?:[^>"'\s]++|\s|"[^"]*+"|'[^']*+')*?"""
 
 # Any tag, marker, doctype or processing instruction.
 TAG_RE = r"</?[A-Za-z][^\s/>]*+" + ATTRS + r">|<![^>]*+>|<\?[^>]*+>"
