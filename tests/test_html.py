@@ -75,3 +75,19 @@ def test_shape_flags(spark):
     assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (False, False)}
     rep = shape_report(extraction_flags(df)).collect()[0]
     assert (rep.pages, rep.residual_boilerplate, rep.no_body_element) == (4, 2, 1)
+
+
+def test_pathological_pages_do_not_fail(spark):
+    """Very long tags, deep nesting, huge scripts and navs must neither
+    overflow the regex engine's stack nor lose the page."""
+    rows = [
+        (1, "http://a/", "<html><body><div data-x=" + "a" * 50000 + ' role="main"><p>deep</p></div></body></html>'),
+        (2, "http://a/", "<html><body><section class='x content'>" + "<div>" * 2000 + "in" + "</div>" * 2000
+         + "</section>out</body></html>"),
+        (3, "http://a/", "<html><body><nav>" + "<a href='/x'>x</a>" * 20000 + "</nav><article>ok</article></body></html>"),
+        (4, "http://a/", "<html><head><script>" + "var a = '<p>';" * 40000 + "</script></head>"
+         "<body><article>ok</article></body></html>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: (r.content, len(r.links)) for r in crawl(df).collect()}
+    assert got == {1: ("deep", 0), 2: ("in", 0), 3: ("ok", 0), 4: ("ok", 0)}
