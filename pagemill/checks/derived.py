@@ -125,3 +125,14 @@ REQ_WORDS = ("CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 250 WHEN 2 THEN 5001
              "ELSE 300 + (page_id * 7) % 4701 END")
 REQ_IMAGES = "CASE WHEN page_id % 3 = 1 THEN false END"
 REQ_LINKS = "CASE WHEN page_id % 3 = 2 THEN false END"
+
+# page_id % 4: the article becomes a [role="main"] div, a ".content"
+# section (class token among others), a ".post-content" div (single
+# quotes), or a "#content" div
+CONTAINER_ATTR_HTML = (
+    "CASE page_id % 4 "
+    "WHEN 0 THEN replace(replace(html, '<article>', '<div role=\"main\">'), '</article>', '</div>') "
+    "WHEN 1 THEN replace(replace(html, '<article>', '<section class=\"post content wide\">'), '</article>', '</section>') "
+    "WHEN 2 THEN replace(replace(html, '<article>', '<div class=' || chr(39) || 'post-content' || chr(39) || '>'), "
+    "'</article>', '</div>') "
+    "ELSE replace(replace(html, '<article>', '<div id=\"content\">'), '</article>', '</div>') END")

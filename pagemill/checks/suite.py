@@ -229,3 +229,21 @@ def o11_shape_flags(spark, sf):
     from ..operators.crawl import extraction_flags
     return extraction_flags(pages_with(spark, sf, D.CONTAINER_HTML)).select(
         "page_id", "residual_boilerplate", "no_body_element")
+
+
+def _o_attr_container() -> str:
+    def inner(tag, attr_re):
+        return (f"regexp_extract(clean, {O.dq('(?is)<' + tag + r'\b[^>]*\s' + attr_re + r'[^>]*>(.*?)</' + tag + r'\s*>')}, 1)")
+    return ("CASE page_id % 4 "
+            f"WHEN 0 THEN {O.d_text(inner('div', 'role=\"main\"'))} "
+            f"WHEN 1 THEN {O.d_text(inner('section', 'class=\"[^\"]*content[^\"]*\"'))} "
+            f"WHEN 2 THEN {O.d_text(inner('div', 'class=' + chr(39) + 'post-content' + chr(39)))} "
+            f"ELSE {O.d_text(inner('div', 'id=\"content\"'))} END")
+
+
+@register("o12_container_attributes",
+          _oracle_clean(D.CONTAINER_ATTR_HTML) + f"SELECT page_id, {_o_attr_container()} AS content FROM d")
+def o12_container_attributes(spark, sf):
+    """The attribute selectors: [role="main"], .content, .post-content, #content."""
+    return crawl(pages_with(spark, sf, D.CONTAINER_ATTR_HTML), extract_images=False,
+                 extract_links=False).select("page_id", "content")

@@ -34,7 +34,8 @@ def _ours(spark, rows):
              "metadata": dict(r.metadata)} for r in out]
 
 
-@pytest.mark.parametrize("variant", [None, D.TITLE_HTML, D.CONTAINER_HTML, D.IMG_HTML, D.LINK_HTML, D.META_HTML])
+@pytest.mark.parametrize("variant", [None, D.TITLE_HTML, D.CONTAINER_HTML, D.CONTAINER_ATTR_HTML, D.IMG_HTML,
+                                     D.LINK_HTML, D.META_HTML])
 def test_fixture_pages_match_parser(spark, variant):
     pages = read_table(spark, SF, "pages")
     if variant is not None:
