@@ -92,3 +92,12 @@ def test_pathological_pages_do_not_fail(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: (r.content, len(r.links)) for r in crawl(df).collect()}
     assert got == {1: ("deep", 0), 2: ("in", 0), 3: ("ok", 0), 4: ("ok", 0)}
+
+
+def test_external_only_links(spark):
+    html = ('<html><body><article><a href="/same">s</a><a href="http://other.com/x">o</a>'
+            '<a href="//h.example.com/y">same host</a></article></body></html>')
+    df = spark.createDataFrame([(1, "http://h.example.com/p", html)], "page_id bigint, url string, html string")
+    assert crawl(df).collect()[0].links == ["http://h.example.com/same", "http://other.com/x",
+                                            "http://h.example.com/y"]
+    assert crawl(df, external_only=True).collect()[0].links == ["http://other.com/x"]
