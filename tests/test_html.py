@@ -101,3 +101,16 @@ def test_external_only_links(spark):
     assert crawl(df).collect()[0].links == ["http://h.example.com/same", "http://other.com/x",
                                             "http://h.example.com/y"]
     assert crawl(df, external_only=True).collect()[0].links == ["http://other.com/x"]
+
+
+def test_keep_boilerplate_reads_nav_links(spark):
+    from urllib.parse import urljoin
+    import re
+    pages = read_table(spark, SF, "pages")
+    rows = {r.page_id: r for r in pages.collect()}
+    got = {r.page_id: r.links for r in crawl(pages, keep_boilerplate=True).collect()}
+    for pid, r in rows.items():
+        hrefs = re.findall(r'<a href="([^"]*)"', r.html)
+        want = list(dict.fromkeys(urljoin(r.url, h) for h in hrefs))
+        assert got[pid] == want and want
+    assert all(not r.links for r in crawl(pages).collect())
