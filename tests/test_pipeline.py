@@ -137,3 +137,16 @@ def test_outcome_messages_for_publication_workflow(spark):
     assert (out["t3"].status, out["t3"].message, out["t3"].error) == ("failed", "Failed to process workflow",
                                                                       "Unknown error")
     assert out["t4"].error == "boom" and out["t4"].data is None
+
+
+def test_request_validation_split(spark):
+    from pagemill.sources.requests import accepted, rejected, validate_requests
+    req = spark.createDataFrame([(1, "https://a.com/x", None, None, None), (2, "ftp://a.com", "news", "general", 400),
+                                 (3, "http://a.com", "poetic", "kids", 100), (4, None, None, None, 6000)],
+                                "id bigint, url string, article_style string, target_audience string, word_count bigint")
+    v = validate_requests(req)
+    ok = {r.id: r for r in accepted(v).collect()}
+    bad = {r.id: r.errors for r in rejected(v).collect()}
+    assert list(ok) == [1] and (ok[1].article_style, ok[1].target_audience, ok[1].word_count) == ("professional", "general", 1000)
+    assert bad[2] == ["url: URL scheme should be 'http' or 'https'"]
+    assert len(bad[3]) == 3 and bad[4] == ["url: Field required", "word_count: Input should be less than or equal to 5000"]
