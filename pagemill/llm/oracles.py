@@ -90,3 +90,18 @@ SELECT doc_id, size, n AS source_size, round(target, 3) AS target,
        (size * (passes + CASE WHEN need > 0 AND (run <= need OR h = x.h) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM g LEFT JOIN e ON e.source IS NOT DISTINCT FROM g.source
 """
+
+# every pair that shares a shingle, its exact similarity, then components
+ORACLE["op4_minhash"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM d),
+n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 75 * (x.n + y.n - inter)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
+SELECT n.doc_id, n AS n_shingles, min(y) AS component_id, n.doc_id = min(y) AS kept
+FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n
+"""

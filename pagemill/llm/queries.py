@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, line_dedup, mixing, url_filter
+from pagemill.llm import exact_dedup, line_dedup, minhash, mixing, url_filter
 from pagemill.llm.common import read_table, staged
 from pagemill.llm.oracles import ORACLE  # noqa: F401
 
@@ -57,3 +57,8 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.array("source").alias("sources"), mixing.word_count("text").alias("size"))
     out = mixing.mix(staged(docs, "mix-sizes"))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+@query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
