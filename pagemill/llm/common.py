@@ -33,6 +33,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stage(df, f"llm-{name}")
 
 
+def packed(df: DataFrame, *new: str) -> DataFrame:
+    """All columns in one struct ``_row``, so that working columns can't clash
+    with them; columns that an operator is about to add (``new``) are dropped."""
+    df = df.drop(*new)
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, *new: str, **replaced: Column) -> DataFrame:
+    """The columns of ``_row`` again, some of them replaced, and ``new`` ones."""
+    names = df.schema["_row"].dataType.names
+    return df.select(*[replaced.get(c, F.col("_row").getField(c)).alias(c) for c in names], *new)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that for pure ASCII text (a fast
     path in Spark); other text goes through ``translate``."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import staged
+from pagemill.llm.common import packed, staged, unpacked
 
 # a line without its surrounding ASCII white space
 _LINE = "btrim(l, ' \\t\\r\\f' || chr(11))"
@@ -41,7 +41,7 @@ def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, ratio: flo
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text",
                      ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """``pages`` with ``text_col`` cleaned, all other columns and rows as they
-    were, and two new columns: ``_lines`` (lines of the text) and ``_dropped``.
+    were, and ``n_lines`` (lines of the text) and ``n_dropped`` added or replaced.
 
     Lines are split at line feeds and compared without surrounding ASCII white
     space; blank lines always stay. A line goes when more than ``ratio`` of
@@ -51,12 +51,11 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     count as pages of their own.
     """
     drop = staged(boilerplate_lines(pages, host_col, text_col, ratio, min_pages), "boilerplate")
-    cols = pages.columns
-    out = (pages.withColumn("_k", F.coalesce(F.col(host_col), F.lit(""))).withColumn("_z", F.col(host_col).isNull())
-           .join(drop, ["_k", "_z"], "left")
-           .withColumn("_in", F.split(F.col(text_col), "\n", -1))
-           .withColumn("_out", F.expr(f"IF(_drop IS NULL, _in, filter(_in, l -> NOT array_contains(_drop, xxhash64({_LINE}))))")))
-    return out.select(*[F.when(F.size("_out") == F.size("_in"), F.col(c)).otherwise(F.array_join("_out", "\n")).alias(c)
-                        if c == text_col else F.col(c) for c in cols],
-                      F.greatest(F.size("_in"), F.lit(0)).cast("long").alias("_lines"),
-                      F.greatest(F.size("_in") - F.size("_out"), F.lit(0)).cast("long").alias("_dropped"))
+    host, text = F.col("_row").getField(host_col), F.col("_row").getField(text_col)
+    out = (packed(pages, "n_lines", "n_dropped").withColumn("_k", F.coalesce(host, F.lit(""))).withColumn("_z", host.isNull())
+           .join(drop, ["_k", "_z"], "left").withColumn("_in", F.split(text, "\n", -1))
+           .withColumn("_out", F.expr(f"IF(_drop IS NULL, _in, filter(_in, l -> NOT array_contains(_drop, xxhash64({_LINE}))))"))
+           .withColumn("n_lines", F.greatest(F.size("_in"), F.lit(0)).cast("long"))
+           .withColumn("n_dropped", F.greatest(F.size("_in") - F.size("_out"), F.lit(0)).cast("long")))
+    return unpacked(out, "n_lines", "n_dropped",
+                    **{text_col: F.when(F.col("n_dropped") == 0, text).otherwise(F.array_join("_out", "\n"))})

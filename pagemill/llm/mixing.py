@@ -21,7 +21,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, staged
+from pagemill.llm.common import WORD, packed, staged, unpacked
 
 
 def word_count(text: str = "text"):
@@ -99,25 +99,28 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, max_passes: int, c
     return {p: sum(arcs[k ^ 1][1] for k in out[("p", p)] if k % 2 == 0 and arcs[k][0][0] == "s") for p in capacity}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", sources_col: str = "sources",
+def mix(docs: DataFrame, id_col: str = "doc_id", size_name: str = "size", sources_col: str = "sources",
         weights: tuple = (5, 2, 1), total_ratio: float = 1.5, max_passes: int = 2, seed: int = 17,
         max_patterns: int = 100_000) -> DataFrame:
     """Adds ``taken`` (tokens the mix takes from the row, repeats counted: the
     size times the passes), ``source_size`` and ``target`` (of the row's first
     source in code point order, null last) to ``docs``.
 
-    ``size_col`` is a non-negative count, ``sources_col`` an array of sources
+    ``size_name`` is a non-negative count, ``sources_col`` an array of sources
     (null elements are a source of their own; an empty or null array cannot be
     drawn and takes nothing). Weights repeat over the sources in code point
     order; the sources share ``total_ratio`` of all sizes, none more than
     ``max_passes`` times its size. Rows that repeat an id have one place in
-    the seeded order and are taken together. Sizes of 0 take 0. An empty table stays empty.
+    the seeded order and are taken together. Sizes of 0 and null sizes take 0. An empty table stays empty.
     """
     spark: SparkSession = docs.sparkSession
-    d = docs.withColumn("_pattern", F.to_json(F.sort_array(F.array_distinct(F.coalesce(
-        sources_col, F.array().cast("array<string>"))), asc=False)))
-    d = d.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-    per = (d.groupBy("_pattern").agg(F.sum(size_col).alias("n"), F.first(sources_col).alias("src"))
+    d = packed(docs, "source_size", "target", "taken")
+    row, size_col = F.col("_row"), "_size"
+    d = d.select("_row", F.coalesce(row.getField(size_name), F.lit(0)).cast("long").alias(size_col), F.sort_array(F.array_distinct(F.coalesce(
+        row.getField(sources_col), F.array().cast("array<string>"))), asc=False).alias("_sources"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row.getField(id_col).cast("string"), F.lit("")))).alias("_hash"))
+    d = d.withColumn("_pattern", F.to_json("_sources"))
+    per = (d.groupBy("_pattern").agg(F.sum(size_col).alias("n"), F.first("_sources").alias("src"))
            .limit(max_patterns + 1).collect())
     if len(per) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -163,5 +166,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", sources
     extra = F.broadcast(staged(extra, "mix-extra"))
     picked = F.expr("coalesce(_rest > 0 AND (_hash <= _last OR _hash = _extra), false)")
     return (d.join(cut, "_pattern", "left").join(extra, "_pattern", "left")
-            .select(*docs.columns, "source_size", "target",
-                    (F.col(size_col) * (F.coalesce("_passes", F.lit(0)) + picked.cast("long"))).alias("taken")))
+            .withColumn("taken", F.col(size_col) * (F.coalesce("_passes", F.lit(0)) + picked.cast("long")))
+            .transform(lambda x: unpacked(x, "source_size", "target", "taken")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, line_dedup, minhash, mixing, url_filter
+from pagemill.llm import exact_dedup, langid, line_dedup, minhash, mixing, url_filter
 from pagemill.llm.common import read_table, staged
 from pagemill.llm.oracles import ORACLE  # noqa: F401
 
@@ -47,8 +47,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"),
-                      F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query
@@ -62,3 +61,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def remainder(n: int):
+    """crc32 of the document id as text, modulo ``n``: the fold of a row."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(remainder(3) != 1))
+    return langid.identify(docs.select("doc_id", "text"), net).select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

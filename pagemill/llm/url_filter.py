@@ -56,46 +56,42 @@ def _levels(df: DataFrame) -> DataFrame:
             .drop("_l", "_n"))
 
 
-def _concentration(groups: DataFrame, key: str) -> DataFrame:
-    """One row ``m_<key>``: the beta-binomial concentration of group rates
-    (n, k) about their parent rate p, by weighted moments, between 1 and 1e6."""
-    v = F.sum(F.expr("n * p * (1 - p)")) / F.sum("n")
-    between = F.sum(F.expr("n * (k / n - p) * (k / n - p)"))
-    rho = (between - v * (F.count("*") - 1)) / (
-        v * (F.sum("n") - F.sum(F.expr("cast(n as double) * n")) / F.sum("n") - (F.count("*") - 1)))
-    rho = F.coalesce(F.when(rho.isNotNull() & ~F.isnan(rho), rho), F.lit(0.0))
-    rho = F.least(F.greatest(rho, F.lit(1e-6)), F.lit(0.5))
-    return groups.agg((1 / rho - 1).alias(f"m_{key}"))
-
-
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``outcomes``: (host, bad 0/1 or null). One row per host, domain, suffix
-    and the corpus: ``level``, ``name``, ``rate`` (posterior mean of bad) and
-    ``strength`` (its beta parameters' sum). Null outcomes are no evidence;
-    without any outcome the table is empty."""
+def _concentration(groups: DataFrame) -> float:
+    """The beta-binomial concentration of group rates (n, k) about their
+    parent rate p, by weighted moments, between 1 and 1e6."""
+    s = groups.agg(
+        F.sum("n").alias("n"), F.sum(F.expr("cast(n as double) * n")).alias("nn"), F.count("*").alias("g"),
+        F.sum(F.expr("n * p * (1 - p)")).alias("v"), F.sum(F.expr("n * (k / n - p) * (k / n - p)")).alias("between")).first()
+    if not s.n:
+        return 1e6
+    v = s.v / s.n
+    within = v * (s.n - s.nn / s.n - (s.g - 1))
+    rho = (s.between - v * (s.g - 1)) / within if within else 0.0
+    return 1 / min(max(rho, 1e-6), 0.5) - 1
+
+
+def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, tuple[float, float] | None]:
+    """``outcomes``: (host, bad 0/1 or null). One row per suffix, domain and
+    host that has outcomes: ``level``, ``name``, ``rate`` (posterior mean of
+    bad) and ``strength`` (its beta parameters' sum); and the corpus's (rate,
+    strength), None without any outcome. Null outcomes are no evidence. Only
+    sums over a level reach the driver."""
     per = (_levels(outcomes.where("bad IS NOT NULL"))
            .groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("k")))
     per = staged(per, "hosts")
-    top = per.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 0").select(
-        F.lit("").alias("name"), F.expr("(k + 0.5D) / (n + 1D)").alias("rate"), F.expr("n + 1D").alias("strength"))
-    out, parent = [top.withColumn("level", F.lit("corpus"))], top.select(F.col("rate").alias("p"))
+    top = per.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    corpus = ((top.k + 0.5) / (top.n + 1.0), top.n + 1.0) if top.n else None
+    out, parent = [], None
     for level, up in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
-        keys = [level] + ([up] if up else [])
-        g = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        # one-row tables (corpus rate, concentration) are attached by a constant key
-        g = g.join(parent, up) if up else g.withColumn("_one", F.lit(1)).join(
-            parent.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        g = per.groupBy(level, *([up] if up else [])).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        g = g.join(parent, up) if up else g.withColumn("p", F.lit(corpus[0] if corpus else None).cast("double"))
         g = staged(g, f"level-{level}")
-        m = _concentration(g, level).withColumn("_one", F.lit(1))
-        g = g.withColumn("_one", F.lit(1)).join(F.broadcast(m), "_one").select(
-            F.col(level).alias("name"), F.expr(f"(k + m_{level} * p) / (n + m_{level})").alias("rate"),
-            F.expr(f"n + m_{level}").alias("strength"))
+        m = _concentration(g)
+        g = g.select(F.col(level).alias("name"), F.expr(f"(k + {m!r}D * p) / (n + {m!r}D)").alias("rate"),
+                     F.expr(f"n + {m!r}D").alias("strength"))
         out.append(g.withColumn("level", F.lit(level)))
         parent = g.select(F.col("name").alias(level), F.col("rate").alias("p"))
-    table = out[0]
-    for g in out[1:]:
-        table = table.unionByName(g)
-    return table
+    return out[0].unionByName(out[1]).unionByName(out[2]), corpus
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -108,7 +104,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
     empty host and path. Repeated pages and labels count as often as they
     occur; other columns are ignored. An empty table gives an empty one.
     """
-    rep = staged(host_reputation(outcomes), "reputation")
+    rep, corpus = host_reputation(outcomes)
+    rep = staged(rep, "reputation")
     url = F.col(url_col)
     p = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, action = match_rule(F.col("host"), F.col("path"), rules)
@@ -117,9 +114,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
     for level in ("host", "domain", "suffix"):
         hosts = hosts.join(rep.where(F.col("level") == level).select(
             F.col("name").alias(level), F.struct("rate", "strength").alias(f"_{level}")), level, "left")
-    top = rep.where("level = 'corpus'").select(F.struct("rate", "strength").alias("_top"), F.lit(1).alias("_one"))
-    hosts = hosts.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one", "left")
-    hosts = staged(hosts.withColumn("_r", F.coalesce("_host", "_domain", "_suffix", "_top")).select(
+    rate, strength = corpus or (None, None)
+    top = F.when(F.lit(corpus is not None), F.struct(F.lit(rate).cast("double").alias("rate"), F.lit(strength).cast("double").alias("strength")))
+    hosts = staged(hosts.withColumn("_r", F.coalesce("_host", "_domain", "_suffix", top)).select(
         "host", F.expr(f"_r.rate - {z}D * sqrt(_r.rate * (1 - _r.rate) / (_r.strength + 1))").alias("bad_bound")), "verdicts")
     own = F.when(F.coalesce(F.col("bad_bound") > max_bad, F.lit(False)), "block").otherwise("allow")
     return (p.withColumn("rule", rule).withColumn("_action", action).join(hosts, "host", "left")
