@@ -139,13 +139,13 @@ def text_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[in
         i = j
 
 
-def tokenize(buf: np.ndarray, offs: np.ndarray):
+def tokenize(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE):
     """Words of the texts of one slice: (hash, start byte, end byte) per word
-    and the word offsets per text."""
+    and the word offsets per text. ``space`` says which bytes separate words."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, np.zeros(len(offs), np.int64)
-    word = ~_SPACE[buf]
+    word = ~space[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offs] = True
     before = np.empty(len(buf), bool)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, langid, line_dedup, minhash, mixing, url_filter
+from pagemill.llm import exact_dedup, langid, line_dedup, minhash, mixing, toxicity, url_filter
 from pagemill.llm.common import read_table, staged
 from pagemill.llm.oracles import ORACLE  # noqa: F401
 
@@ -74,3 +74,14 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.fit(docs.where(remainder(3) != 1))
     return langid.identify(docs.select("doc_id", "text"), net).select(
         "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(4) != 2)
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
