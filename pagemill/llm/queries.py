@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, langid, line_dedup, minhash, mixing, toxicity, url_filter
+from pagemill.llm import decontam, exact_dedup, langid, line_dedup, minhash, mixing, toxicity, url_filter
 from pagemill.llm.common import read_table, staged
 from pagemill.llm.oracles import ORACLE  # noqa: F401
 
@@ -85,3 +85,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
