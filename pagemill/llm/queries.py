@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, exact_dedup, langid, line_dedup, minhash, mixing, toxicity, url_filter
+from pagemill.llm import decontam, exact_dedup, langid, line_dedup, minhash, mixing, pii, toxicity, url_filter
 from pagemill.llm.common import read_table, staged
 from pagemill.llm.oracles import ORACLE  # noqa: F401
 
@@ -90,3 +90,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds, n = pii.span_kinds(), [F.expr(f"cast(size(filter(spans, x -> x.k = {i})) as long)").alias(f"n_{k}")
+                                  for i, k in enumerate(pii.KINDS)]
+    return out.select("doc_id", *n, F.sha2(pii.joined("filter(spans, x -> x.k < 4)", kinds), 256).alias("base_sha256"),
+                      pii.joined("spans", kinds).alias("spans"))
