@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, exact_dedup, langid, line_dedup, minhash, mixing, pii, toxicity, url_filter
+from pagemill.llm import decontam, exact_dedup, langid, line_dedup, minhash, mixing, pii, substring, toxicity, url_filter
 from pagemill.llm.common import read_table, staged
 from pagemill.llm.oracles import ORACLE  # noqa: F401
 
@@ -99,3 +99,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   for i, k in enumerate(pii.KINDS)]
     return out.select("doc_id", *n, F.sha2(pii.joined("filter(spans, x -> x.k < 4)", kinds), 256).alias("base_sha256"),
                       pii.joined("spans", kinds).alias("spans"))
+
+
+@query
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(read_table(spark, sf_dir, "documents"))
