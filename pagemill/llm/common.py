@@ -81,6 +81,23 @@ class BitFilter:
                 .where(F.expr("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1) = 1"))
                 .drop("_word", "_bits", "_slot"))
 
+    def split(self, df: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of ``df`` whose key may be a member, and rows whose key is none."""
+        slot = self._slot(*(keys or self.keys))
+        marked = (df.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6))
+                  .join(F.broadcast(self.table), "_word", "left")
+                  .withColumn("_maybe", F.expr("coalesce((shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1) = 1, false)"))
+                  .drop("_word", "_bits", "_slot"))
+        return marked.where("_maybe").drop("_maybe"), marked.where("NOT _maybe").drop("_maybe")
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "_key") -> DataFrame:
+    """``docs`` less the rows whose ``key`` is in ``gone``. Only rows that the
+    bit filter can't clear are shuffled, not the whole table."""
+    gone = gone.select(key)
+    maybe, clear = BitFilter(gone, key).split(docs)
+    return clear.unionByName(maybe.join(gone, key, "left_anti"))
+
 
 # --- numpy side -----------------------------------------------------------
 

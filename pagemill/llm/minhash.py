@@ -236,7 +236,8 @@ def _verified(most: int, percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                     block: int = 2048) -> DataFrame:
     """One row per input row: ``id_col`` (an integer), ``n_shingles``,
-    ``component_id`` (smallest id reachable over links) and ``kept``.
+    ``component_id`` (smallest id reachable over links), ``kept`` and
+    ``text_hash`` (of the text as it is, to tell rows that repeat an id).
 
     Two rows are linked when 100 * |A & B| >= ``percent`` * |A | B| over their
     sets of distinct 5-word shingles (A-Z lower-cased, words without ASCII
@@ -247,8 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; other columns are ignored.
     """
     most = most_unequal(percent / 100)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
-    sig = staged(sketch(docs, "id", "_t", {"id": "long"}), "minhash")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("text_hash"))
+    sig = staged(sketch(docs, "id", "_t", {"id": "long", "text_hash": "long"}), "minhash")
     classes = staged(sig.where("n > 0 AND id IS NOT NULL").groupBy("n", "k1", "k2")
                      .agg(F.min(F.struct("id", "sig", "bands")).alias("r"))
                      .select("n", "k1", "k2", "r.*"), "minhash-classes")
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links).select(F.col("node").alias("id"), "component")
     comp = staged(classes.select("n", "k1", "k2", "id").join(comp, "id", "left")
                   .select("n", "k1", "k2", F.coalesce("component", "id").alias("component")), "minhash-components")
-    out = sig.select("id", "n", "k1", "k2").join(comp, ["n", "k1", "k2"], "left")
+    out = sig.select("id", "text_hash", "n", "k1", "k2").join(comp, ["n", "k1", "k2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), "text_hash")

@@ -60,7 +60,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def remainder(n: int):
