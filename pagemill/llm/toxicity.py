@@ -126,10 +126,10 @@ class Matcher:
         short = np.flatnonzero((size > 1) & (size <= 24))  # longer words are no term and one edit
         long = np.flatnonzero(size > 24)
         hit[long] &= max((len(t) for t in self.model.lexicon), default=0) >= 24
-        p, inv = _powers(len(buf))
+        p, inv = _powers(len(buf) + 2)
         c = np.empty(len(buf) + 1, U64)
         c[0] = 0
-        np.cumsum(_BYTE[buf] * p, out=c[1:])
+        np.cumsum(_BYTE[buf] * p[:len(buf)], out=c[1:])
         n = size[short]
         word = np.repeat(short, n)
         at = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + starts[word]
