@@ -6,10 +6,12 @@ boilerplate subtrees are removed, and the main text, images, links and
 metadata are read from what is left.
 
 Exactness: results equal a real HTML parser's whenever the removed elements
-and the chosen container are well formed (properly closed). Same-name
-nesting of removed elements is peeled four levels deep, and a container
-holding elements of its own name (``<div class="content">`` with inner
-divs) is matched by counting start and end tags.
+and the chosen container are well formed (properly closed). Removed elements
+may nest to any depth; one that is never closed runs to the end of the
+removed element around it, or of the body, and is reported in the row's
+``shape_flags``. A container holding elements of its own name
+(``<div class="content">`` with inner divs) is matched by counting start and
+end tags.
 
 ``extract`` computes every intermediate once, in its own projection (a
 value referenced twice is never inlined twice), and per-tag work runs as
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .text import decode_entities_sql, join_lines_sql, pystrip_sql, q, var
+from .text import decode_entities_sql, join_lines_sql, let, pystrip_sql, q, var
 from .urls import is_valid_image_url_sql, is_valid_link_url_sql, resolve_urls_sql, url_parts_sql
 
 # attribute region of a start tag; quoted values may hold '>'
@@ -30,22 +32,24 @@ ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # even for very long tags; it may stop before any whitespace character
 ATTRS_LAZY = r"""(?:[^>"'\s]++|\s|"[^"]*+"|'[^']*+')*?"""
 
+# a tag name ends at white space, "/" or ">" (a word boundary would also stop at "-")
+END = r"(?=[\s/>])"
+
 # Any tag, marker, doctype or processing instruction.
 TAG_RE = r"</?[A-Za-z][^\s/>]*+" + ATTRS + r">|<![^>]*+>|<\?[^>]*+>"
 
 # Comments, scripts and styles, left to right as a tokenizer meets them.
 # Each becomes the empty marker "<!>": it separates text nodes (as the
 # removed node did) but contributes no text.
-RAW_RE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b" + ATTRS + r">.*?(?:</\1\s*>|\z)"
+RAW_RE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)" + END + ATTRS + r">.*?(?:</\1\s*>|\z)"
 MARK = "<!>"
 
 # Subtrees removed as boilerplate.
 BOILERPLATE_TAGS = ["script", "style", "nav", "header", "footer", "aside", "iframe"]
-# innermost first: an element holding no start/end tag of its own name
 # (scripts and styles are removed earlier, with comments, by RAW_RE)
-BOILER_RE = (r"(?is)<(" + "|".join(t for t in BOILERPLATE_TAGS if t not in ("script", "style")) + r")\b"
-             + ATTRS + r">[^<]*+(?:<(?!/?\1\b)[^<]*+)*+</\1\s*>")
-BOILER_PASSES = 4
+_BOILER = "(" + "|".join(t for t in BOILERPLATE_TAGS if t not in ("script", "style")) + ")" + END
+_BODY_END = "</(?:body|html)" + END
+BOILER_CUT = "(?i)(?=</?" + _BOILER + "|" + _BODY_END + ")"
 
 # Main-container selectors, in priority order.
 CONTAINER_SELECTORS = ["article", "main", '[role="main"]', ".content", ".post-content", "#content"]
@@ -62,11 +66,11 @@ def _class_has(token: str) -> str:
 
 
 def open_tag_re(name: str) -> str:
-    return r"(?is)<(" + name + r")\b" + ATTRS + ">"
+    return r"(?is)<(" + name + ")" + END + ATTRS + ">"
 
 
 def _open_with_attr(attr_name: str, value_re: str) -> str:
-    return (r"(?is)<([a-z][a-z0-9]*)\b" + ATTRS_LAZY + r"\s" + attr_name + r"\s*=\s*" + value_re
+    return (r"(?is)<([a-z][^\s/>]*)" + ATTRS_LAZY + r"\s" + attr_name + r"\s*=\s*" + value_re
             + ATTRS + ">")
 
 
@@ -80,11 +84,11 @@ SELECTOR_RE = {
     "body": open_tag_re("body"),
 }
 
-TITLE_RE = r"(?is)<title\b" + ATTRS + r">(.*?)</title\s*>"
-H1_OPEN = r"(?is)<h1\b" + ATTRS + ">"
-H1_RE = r"(?is)<h1\b" + ATTRS + r">(.*?)(?:</h1\s*>|\z)"
-_LIST_TAGS_RE = r"(?is)<(?:img|a|meta)\b" + ATTRS + ">"
-HEAD_RE = r"(?is)<head\b" + ATTRS + r">.*?(?:</head\s*>|\z)|<title\b" + ATTRS + r">.*?</title\s*>"
+TITLE_RE = r"(?is)<title" + END + ATTRS + r">(.*?)</title\s*>"
+H1_OPEN = r"(?is)<h1" + END + ATTRS + ">"
+H1_RE = r"(?is)<h1" + END + ATTRS + r">(.*?)(?:</h1\s*>|\z)"
+_LIST_TAGS_RE = r"(?is)<(?:img|a|meta)" + END + ATTRS + ">"
+HEAD_RE = r"(?is)<head" + END + ATTRS + r">.*?(?:</head\s*>|\z)|<title" + END + ATTRS + r">.*?</title\s*>"
 
 
 # ------------------------------------------------------------------ SQL builders
@@ -93,13 +97,35 @@ def preclean_sql(html: str) -> str:
     return f"regexp_replace({html}, {q(RAW_RE)}, {q(MARK)})"
 
 
+def boilerplate_sql(pre: str) -> str:
+    """``named_struct('html', rest, 'open', bool)``: ``pre`` without its
+    nav/header/footer/aside/iframe subtrees (scripts and styles are already
+    gone), and whether one of them is never closed. The page is cut before
+    each of their tags and a stack of open names walks the pieces; an end tag
+    closes the innermost element of its name and all within it, others are
+    ignored. A removed subtree leaves a line feed."""
+    st, c, n, p, f = var("st"), var("c"), var("n"), var("p"), var("f")
+    start = f"regexp_extract({c}, {q('(?i)^</?' + _BOILER)}, 1)"
+    keep = lambda stack, text: f"IF(size({stack}) = 0, concat({st}.out, array({text})), {st}.out)"
+    plain = let(f"IF({c} RLIKE {q('(?i)^' + _BODY_END)}, cast(array() AS array<string>), {st}.st)",
+                lambda s: f"named_struct('st', {s}, 'open', {st}.open OR size({s}) < size({st}.st), 'out', {keep(s, c)})")
+    opened = f"named_struct('st', concat({st}.st, array({n})), 'open', {st}.open, 'out', {keep(st + '.st', q(chr(10)))})"
+    closed = let(f"slice({st}.st, 1, size({st}.st) - int({p}))", lambda s: (
+        f"named_struct('st', {s}, 'open', {st}.open OR {p} > 1, "
+        f"'out', {keep(s, f'regexp_replace({c}, {q(r"^</[^>]*+>?")}, {q(chr(10))})')})"))
+    step = (f"transform(array(lower({start})), {n} -> CASE WHEN {n} = '' THEN {plain} WHEN NOT startswith({c}, '</') THEN {opened} "
+            f"ELSE transform(array(array_position(reverse({st}.st), {n})), {p} -> CASE WHEN {p} = 0 THEN named_struct('st', {st}.st, "
+            f"'open', {st}.open, 'out', {keep(st + '.st', c)}) ELSE {closed} END)[0] END)[0]")
+    empty = "cast(array() AS array<string>)"
+    return (f"CASE WHEN {pre} RLIKE {q('(?i)<' + _BOILER)} THEN aggregate(split({pre}, {q(BOILER_CUT)}, -1), "
+            f"named_struct('st', {empty}, 'open', false, 'out', {empty}), ({st}, {c}) -> {step}, "
+            f"{f} -> named_struct('html', array_join({f}.out, ''), 'open', {f}.open OR size({f}.st) > 0)) "
+            f"ELSE named_struct('html', {pre}, 'open', false) END")
+
+
 def strip_boilerplate_sql(pre: str) -> str:
-    """Remove nav/header/footer/aside/iframe subtrees (scripts and styles are
-    already gone in ``pre``); four innermost-first passes peel nesting."""
-    out = pre
-    for _ in range(BOILER_PASSES):
-        out = f"regexp_replace({out}, {q(BOILER_RE)}, {q(chr(10))})"
-    return out
+    """``pre`` without its boilerplate subtrees."""
+    return f"({boilerplate_sql(pre)}).html"
 
 
 def text_of_sql(fragment: str) -> str:
@@ -119,20 +145,23 @@ def tags_sql(html: str, name: str) -> str:
     return f"regexp_extract_all({html}, {q(open_tag_re(name))}, 0)"
 
 
-def _attr_raw_re(name: str) -> str:
-    return r"""(?is)\s""" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# one attribute: its name and, after "=", its value in quotes or bare
+_ATTR_RE = r"""([^\s"'>/=][^\s>/=]*+)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?"""
 
 
 def parse_tags_sql(tag_list: str, names: list[str]) -> str:
-    """array<struct<name: decoded value, '' when absent>> per start tag."""
-    a, b, c = var("t"), var("t"), var("t")
-    raw = ", ".join(f"'a{i}', regexp_extract({a}, {q(_attr_raw_re(n))}, 1)" for i, n in enumerate(names))
-    unq = ", ".join(f"'a{i}', CASE WHEN {b}.a{i} LIKE '\"%' OR {b}.a{i} LIKE '''%' "
-                    f"THEN substring({b}.a{i}, 2, length({b}.a{i}) - 2) ELSE {b}.a{i} END"
-                    for i in range(len(names)))
-    dec = ", ".join(f"{q(n)}, {decode_entities_sql(f'{c}.a{i}')}" for i, n in enumerate(names))
-    return (f"transform(transform(transform({tag_list}, {a} -> named_struct({raw})), "
-            f"{b} -> named_struct({unq})), {c} -> named_struct({dec}))")
+    """array<struct<name: decoded value, '' when absent>> per start tag. Each
+    tag is read once, left to right, as (name, value) pairs, so nothing inside
+    a quoted value counts; of repeated attributes the first does."""
+    a, b, c, d, x = var("t"), var("t"), var("t"), var("t"), var("x")
+    pairs = (f"named_struct('n', transform(regexp_extract_all({a}, {q(_ATTR_RE)}, 1), {x} -> lower({x})), "
+             f"'v', regexp_extract_all({a}, {q(_ATTR_RE)}, 2))")
+    body = f"transform({tag_list}, {d} -> regexp_replace({d}, {q(r'^<[^\s/>]*+')}, ''))"
+    raw = ", ".join(f"'a{i}', coalesce(get({b}.v, int(array_position({b}.n, {q(n)})) - 1), '')" for i, n in enumerate(names))
+    bare = lambda v: f"IF({v} RLIKE {q("^[\"']")}, substring({v}, 2, length({v}) - 2), {v})"
+    dec = ", ".join(f"{q(n)}, {decode_entities_sql(bare(f'{c}.a{i}'))}" for i, n in enumerate(names))
+    return (f"transform(transform(transform({body}, {a} -> {pairs}), {b} -> named_struct({raw})), "
+            f"{c} -> named_struct({dec}))")
 
 
 def first_value_sql(parsed: str, key_attr: str, key: str, value_attr: str = "content") -> str:
@@ -148,8 +177,8 @@ def balanced_inner_sql(rest: str, chunks: str, name: str) -> str:
     Depth is counted until it returns to zero; unclosed elements run to the
     end."""
     st, ch, f = var("st"), var("ch"), var("f")
-    delta = (f"CASE WHEN {ch} RLIKE concat('(?is)^<', {name}, '\\\\b') THEN 1 "
-             f"WHEN {ch} RLIKE concat('(?is)^</', {name}, '\\\\b') THEN -1 ELSE 0 END")
+    delta = (f"CASE WHEN {ch} RLIKE concat('(?is)^<\\\\Q', {name}, '\\\\E(?=[\\\\s/>])') THEN 1 "
+             f"WHEN {ch} RLIKE concat('(?is)^</\\\\Q', {name}, '\\\\E(?=[\\\\s/>])') THEN -1 ELSE 0 END")
     step = (f"CASE WHEN {st}.d = 0 THEN {st} "
             f"WHEN {st}.d + {delta} = 0 THEN named_struct('d', 0, 'k', {st}.k) "
             f"ELSE named_struct('d', {st}.d + {delta}, 'k', {st}.k + 1) END")
@@ -184,7 +213,7 @@ def _flag_sql(flag) -> str | bool:
 def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_links=True,
             keep_boilerplate: bool = False, external_only: bool = False,
             keep: list[str] | None = None) -> DataFrame:
-    """Add ``title, content, images, links, metadata`` from ``html``.
+    """Add ``title, content, images, links, metadata, shape_flags`` from ``html``.
 
     ``extract_images`` / ``extract_links``: bool, or the name of a per-row
     boolean column (off -> empty list). ``keep`` are the columns carried
@@ -202,7 +231,7 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
                      f"{parse_tags_sql(tags_sql('_pre', 'meta'), ['property', 'content'])} AS _pmeta",
                      f"regexp_instr(_pre, {q(H1_OPEN)}) > 0 AS _h1_found",
                      f"regexp_extract(_pre, {q(H1_RE)}, 1) AS _h1",
-                     f"{strip_boilerplate_sql('_pre')} AS _clean")
+                     f"{boilerplate_sql('_pre')} AS _boil")
     og = first_value_sql("_pmeta", "property", "og:title")
     title = (f"CASE WHEN _t_found AND _t_inner <> '' AND NOT _t_inner LIKE '%<%' "
              f"THEN {pystrip_sql(decode_entities_sql('_t_inner'))} "
@@ -210,7 +239,8 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
              f"WHEN _h1_found THEN {inline_text_sql('_h1')} ELSE 'Untitled' END")
     sel = " ".join(f"WHEN regexp_instr(_clean, {q(SELECTOR_RE[s_])}) > 0 THEN {q(SELECTOR_RE[s_])}"
                    for s_ in CONTAINER_SELECTORS + ["body"])
-    carry = [*K, "_url", "_bp", "_pre", "_clean"]
+    carry = [*K, "_url", "_bp", "_pre", "_clean", "_open"]
+    s = s.selectExpr("*", "_boil.html AS _clean", "_boil.open AS _open")
     s = s.selectExpr(*carry, f"{title} AS title", f"CASE {sel} END AS _sel_re")
     carry.append("title")
     # the chosen container: its start tag, tag name and the text after it
@@ -221,7 +251,7 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
     s = s.selectExpr(*carry, "_sel_re", "_name",
                      "CASE WHEN _pos > 0 THEN substring(_clean, _pos + length(_otag)) END AS _rest")
     s = s.selectExpr(*carry, "_sel_re", "_name", "_rest",
-                     "split(_rest, concat('(?i)(?=</?', _name, '\\\\b)'), -1) AS _chunks")
+                     "split(_rest, concat('(?i)(?=</?\\\\Q', _name, '\\\\E(?=[\\\\s/>]))'), -1) AS _chunks")
     no_head = f"regexp_replace(_clean, {q(HEAD_RE)}, {q(chr(10))})"
     content = (f"CASE WHEN _sel_re IS NOT NULL THEN "
                f"{text_of_sql(balanced_inner_sql('_rest', '_chunks', '_name'))} "
@@ -234,14 +264,16 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
     # (keep_boilerplate reads the link/image tags before removal)
     ltags = (f"regexp_extract_all(_pre, {q(_LIST_TAGS_RE)}, 0)" if keep_boilerplate
              else "CAST(NULL AS ARRAY<STRING>)")
-    s = s.selectExpr(*K, "_url", "_bp", "title", "content",
+    flags = ("array_compact(array(IF(_open, 'unclosed_boilerplate', NULL), "
+             f"IF(_clean RLIKE {q('(?is)<body' + END)}, NULL, 'no_body_element'))) AS shape_flags")
+    s = s.selectExpr(*K, "_url", "_bp", "title", "content", flags,
                      f"regexp_extract_all(_clean, {q(_LIST_TAGS_RE)}, 0) AS _tags", f"{ltags} AS _ltags")
     src = "_ltags" if keep_boilerplate else "_tags"
     empty = "cast(array() AS array<string>)"
 
     def of(tags_col, name):
         t = var("g")
-        return f"filter({tags_col}, {t} -> {t} RLIKE {q('(?i)^<' + name + r'\b')})"
+        return f"filter({tags_col}, {t} -> {t} RLIKE {q('(?i)^<' + name + END)})"
 
     def gated(flag, build):
         f = _flag_sql(flag)
@@ -268,8 +300,8 @@ def extract(df: DataFrame, html: str, url: str, extract_images=True, extract_lin
         ok = is_valid_link_url_sql(u, "_bp.netloc", external_only)
         return f"array_distinct(filter({urls}, {u} -> {u} IS NOT NULL AND {ok}))"
 
-    s = s.selectExpr(*K, "title", "content",
+    s = s.selectExpr(*K, "title", "content", "shape_flags",
                      f"{gated(extract_images, images)} AS images",
                      f"{gated(extract_links, links)} AS links",
                      f"{parse_tags_sql(of('_tags', 'meta'), ['name', 'property', 'content'])} AS _meta")
-    return s.selectExpr(*K, "title", "content", "images", "links", f"{metadata_sql('_meta')} AS metadata")
+    return s.selectExpr(*K, "title", "content", "images", "links", f"{metadata_sql('_meta')} AS metadata", "shape_flags")

@@ -101,7 +101,7 @@ ENTITY_MAP_SQL = ("from_json(" + q(json.dumps({n: chr(_NAMED[n]) for n in sorted
 # the references most pages use, tested before the map look-up
 _COMMON = ["amp", "lt", "gt", "quot", "nbsp"]
 
-ENTITY_TOKEN = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|&|[^&]+"
+ENTITY_TOKEN = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]++);|&|[^&]++"
 
 
 def _cp_char(n: str) -> str:
@@ -116,8 +116,10 @@ def decode_entities_sql(e: str) -> str:
     reference replaced, tokens re-joined. One pass means ``&amp;lt;`` gives
     ``&lt;``, never ``<``."""
     t = var("t")
-    dec = let(f"try_cast(substring({t}, 3, length({t}) - 3) AS BIGINT)", _cp_char)
-    hexa = let(f"try_cast(conv(substring({t}, 4, length({t}) - 4), 16, 10) AS BIGINT)", _cp_char)
+    dec = let(f"coalesce(try_cast(substring({t}, 3, length({t}) - 3) AS BIGINT), 0)", _cp_char)
+    # more than 8 digits after leading zeros is no character
+    hexa = let(let(f"ltrim('0', substring({t}, 4, length({t}) - 4))",
+                   lambda h: f"IF(length({h}) > 8, 0L, coalesce(try_cast(conv({h}, 16, 10) AS BIGINT), 0))"), _cp_char)
     common = " ".join(f"WHEN {q('&' + n + ';')} THEN {q(chr(_NAMED[n]))}" for n in _COMMON)
     tok = (f"CASE WHEN length({t}) = 1 OR substring({t}, 1, 1) <> '&' THEN {t} "
            f"ELSE CASE {t} {common} ELSE CASE "

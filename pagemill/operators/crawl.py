@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 
 from ..functions import html as H
 
-CRAWL_COLUMNS = ["title", "content", "images", "links", "metadata"]
+CRAWL_COLUMNS = ["title", "content", "images", "links", "metadata", "shape_flags"]
 
 
 def crawl(df: DataFrame, url: str = "url", html: str = "html",
           extract_images=True, extract_links=True,
           keep_boilerplate: bool = False, external_only: bool = False) -> DataFrame:
     """Add ``crawl_error, title, content, images, links, metadata,
-    content_length``; drop ``html``.
+    shape_flags, content_length``; drop ``html``. ``shape_flags`` names the
+    shapes whose extraction may differ from a tree-building parser's:
+    ``unclosed_boilerplate`` and ``no_body_element``.
 
     ``extract_images`` / ``extract_links`` are booleans or the name of a
     per-row boolean column (off -> empty list). ``keep_boilerplate`` reads
@@ -38,26 +40,13 @@ def crawl(df: DataFrame, url: str = "url", html: str = "html",
         "CASE WHEN NOT _failed THEN length(content) END AS content_length")
 
 
-def crawl_record(df: DataFrame) -> DataFrame:
-    """Pack the crawl columns into the ``crawl_result`` struct."""
-    return df.selectExpr("*", "CASE WHEN crawl_error IS NULL THEN named_struct('url', url, 'title', title, "
-                              "'content', content, 'images', images, 'links', links, 'metadata', metadata) "
-                              "END AS crawl_result")
-
-
 def extraction_flags(df: DataFrame, html: str = "html") -> DataFrame:
-    """Per-page flags for shapes where expression-based extraction may differ
-    from a tree-building parser: boilerplate elements still present after the
-    nesting passes (unclosed or nested deeper than four levels), and pages
-    without a ``<body>`` element (implied body)."""
+    """The shape flags of ``crawl`` as booleans, without the extraction."""
     from ..functions.text import q
-    tags = "|".join(t for t in H.BOILERPLATE_TAGS if t not in ("script", "style"))
-    s = df.selectExpr("*", f"{H.strip_boilerplate_sql(H.preclean_sql(f'`{html}`'))} AS _clean")
     keep = [f"`{c}`" for c in df.columns if c != html]
-    return s.selectExpr(
-        *keep,
-        f"_clean RLIKE {q('(?is)<(' + tags + r')\b')} AS residual_boilerplate",
-        f"NOT _clean RLIKE {q(r'(?is)<body\b')} AS no_body_element")
+    s = df.selectExpr("*", f"{H.boilerplate_sql(H.preclean_sql(f'`{html}`'))} AS _boil")
+    return s.selectExpr(*keep, "_boil.open AS residual_boilerplate",
+                        f"NOT _boil.html RLIKE {q('(?is)<body' + H.END)} AS no_body_element")
 
 
 def shape_report(flags: DataFrame) -> DataFrame:

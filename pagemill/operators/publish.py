@@ -18,7 +18,8 @@ HTML_OPEN = ("\n<div style=\"font-family: -apple-system, BlinkMacSystemFont, 'Se
              "'Helvetica Neue', Arial, sans-serif; font-size: 16px; line-height: 1.6; color: #333;\">\n")
 HTML_CLOSE = "\n</div>\n"
 
-# Platforms, messages and digest length.
+# Platforms, messages (also the "not supported" and
+# "Publishing error" texts below) and digest length.
 SUPPORTED_PLATFORMS = ["wechat"]
 DIGEST_CHARS = 120
 NO_ARTICLE = "No article provided"
@@ -68,7 +69,7 @@ def publish(df: DataFrame, article_json: str = "article_json", author: str | Non
     author has no branded default); ``draft_only`` is a bool or a column
     name. ``configured=False`` models a destination that is not set up.
     """
-    aj = f"`{article_json}`"
+    aj = f"`{article_json}`"  # one parse below gives keys and values
 
     def col_or_const(v, default):
         if v is None:
@@ -83,19 +84,20 @@ def publish(df: DataFrame, article_json: str = "article_json", author: str | Non
     cols = [f"`{c}`" for c in df.columns]
     s = df.selectExpr(
         *cols,
-        f"{aj} IS NULL OR coalesce(size(json_object_keys({aj})), 0) = 0 AS _empty",
-        f"get_json_object({aj}, '$.title') AS _title",
-        f"get_json_object({aj}, '$.content') AS _content",
-        f"coalesce(array_contains(json_object_keys({aj}), 'summary'), false) AS _has_summary",
-        f"get_json_object({aj}, '$.summary') AS _summary",
+        f"try_variant_get(try_parse_json({aj}), '$', 'map<string,variant>') AS _m",
         f"{plat} AS _platform", f"{draft} AS _draft", f"{auth} AS _author", f"{thumb} AS _thumb")
+    text = lambda k: (f"CASE WHEN schema_of_variant(_m['{k}']) = 'STRING' THEN variant_get(_m['{k}'], '$', 'string') "
+                      f"WHEN is_variant_null(_m['{k}']) THEN NULL ELSE to_json(_m['{k}']) END AS _{k}")
+    s = s.selectExpr("*", "coalesce(size(_m), 0) <= 0 AS _empty", text("title"), text("content"), text("summary"),
+                     "coalesce(map_contains_key(_m, 'summary'), false) AS _has_summary")
     s = s.selectExpr(
         "*",
         f"CASE WHEN _empty THEN {q(NO_ARTICLE)} "
         f"WHEN NOT {_truthy_str('_title')} OR NOT {_truthy_str('_content')} THEN {q(MISSING_FIELDS)} "
         f"END AS publish_error",
         f"CASE WHEN NOT _has_summary THEN '' ELSE substring(_summary, 1, {DIGEST_CHARS}) END AS _digest_arg")
-    ok_payload = "publish_error IS NULL AND _platform IN (" + ", ".join(q(p) for p in SUPPORTED_PLATFORMS) + ")"
+    supported = "coalesce(_platform IN (" + ", ".join(q(p) for p in SUPPORTED_PLATFORMS) + "), false)"
+    ok_payload = f"publish_error IS NULL AND {supported}"
     s = s.selectExpr(
         "*",
         f"CASE WHEN {ok_payload} AND NOT (_has_summary AND _summary IS NULL) THEN named_struct("
@@ -108,7 +110,7 @@ def publish(df: DataFrame, article_json: str = "article_json", author: str | Non
     result = (
         f"CASE WHEN publish_error IS NOT NULL THEN named_struct('success', false, 'platform', {null}, "
         f"'article_id', {null}, 'article_url', {null}, 'draft_id', {null}, 'message', publish_error) "
-        f"WHEN _platform NOT IN (" + ", ".join(q(p) for p in SUPPORTED_PLATFORMS) + ") THEN named_struct("
+        f"WHEN NOT {supported} THEN named_struct("
         f"'success', false, 'platform', _platform, 'article_id', {null}, 'article_url', {null}, "
         f"'draft_id', {null}, 'message', concat('Platform ', chr(39), coalesce(_platform, 'None'), chr(39), ' not supported yet')) "
         f"WHEN payload IS NULL THEN named_struct('success', false, 'platform', 'wechat', 'article_id', {null}, "

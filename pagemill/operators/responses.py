@@ -7,8 +7,10 @@ attached with one left equi-join; a missing reply is the "no model" case.
 Scale: replies are reduced to one per key with a partial aggregate (map-side
 combine, so a key with millions of replies still ships one row per map task)
 whose output is already hash-partitioned on the key, so the join shuffles
-only the request side. AQE turns the join into a broadcast at run time when
-the measured reply side is small, and splits skewed partitions otherwise.
+only the request side. Replies of two steps for the same rows are attached
+by ONE join (``attach_reply_pair``): with two joins on one key Spark would
+reuse the first one's partitioning for the second and leave a hot request
+key unsplit; with one, AQE splits it.
 """
 
 from __future__ import annotations
@@ -18,29 +20,61 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 
-RESPONSE_STATUSES = ["ok", "error", "no_model"]
+def _best(responses: DataFrame, when: str = "true") -> F.Column:
+    """The reply that counts: a good one before an error, then the latest
+    ``seq`` (when the table has one), then the smallest text. One struct holds
+    order and value, so the text is shuffled once."""
+    seq = "coalesce(-seq, 9223372036854775807L)" if "seq" in responses.columns else "0L"
+    return F.expr(f"min(named_struct('r', IF(status = 'ok' AND response_text IS NOT NULL, 0, 1), 'q', {seq}, "
+                  f"'t', response_text, 's', status)) FILTER (WHERE {when})")
 
 
 def one_reply_per_key(responses: DataFrame, key: str = "key") -> DataFrame:
-    """Keep one reply per key: the one with the smallest ``seq`` when the
-    table has that column, else the smallest (status, text)."""
-    r = responses.withColumnRenamed(key, "_rkey")
-    order = "seq" if "seq" in responses.columns else "named_struct('s', status, 't', response_text)"
-    reply = F.expr(f"min_by(named_struct('t', response_text, 's', status), {order})")
-    return (r.groupBy("_rkey").agg(reply.alias("_reply"))
+    """Keep one reply per key (see ``_best``)."""
+    return (responses.groupBy(F.col(key).alias("_rkey")).agg(_best(responses).alias("_reply"))
             .selectExpr("_rkey", "_reply.t AS _rtext", "_reply.s AS _rstatus"))
 
 
-def attach_replies(df: DataFrame, responses: DataFrame | None, key: str) -> DataFrame:
-    """Add ``_rtext`` and ``_rstatus`` ('no_model' when no reply)."""
+def attach_replies(df: DataFrame, responses: DataFrame | tuple[str, str] | None, key: str) -> DataFrame:
+    """Add ``_rtext`` and ``_rstatus`` ('no_model' when no reply).
+    ``responses`` may name the (text, status) columns that
+    ``attach_reply_pair`` added."""
     if responses is None:
         return df.selectExpr("*", "CAST(NULL AS STRING) AS _rtext", "'no_model' AS _rstatus")
+    if isinstance(responses, tuple):
+        text, status = responses
+        return df.selectExpr("*", f"`{text}` AS _rtext", f"coalesce(`{status}`, 'no_model') AS _rstatus")
     r = one_reply_per_key(responses)
     j = df.join(r, df[key] == r["_rkey"], "left").drop("_rkey")
     return j.selectExpr(*[f"`{c}`" for c in df.columns], "_rtext",
                         "coalesce(_rstatus, 'no_model') AS _rstatus")
 
 
+PAIR = [("_analysis_text", "_analysis_status"), ("_article_text", "_article_status")]
+
+
+def attach_reply_pair(df: DataFrame, first: DataFrame | None, second: DataFrame | None, key: str) -> DataFrame:
+    """Attach the replies of both model steps with one join; pass ``PAIR[0]``
+    and ``PAIR[1]`` as the ``responses`` of the steps. A missing table is the
+    "no model" case for its step."""
+    null = "CAST(NULL AS STRING)"
+    sides = [(i, r) for i, r in enumerate((first, second)) if r is not None]
+    if not sides:
+        return df.selectExpr("*", *[f"{null} AS {c}" for pair in PAIR for c in pair])
+    seq = any("seq" in r.columns for _, r in sides)
+    rows = None
+    for i, r in sides:
+        part = r.selectExpr("key AS _rkey", "response_text", "status", f"{i} AS _step",
+                            ("CAST(seq AS BIGINT)" if "seq" in r.columns else "CAST(NULL AS BIGINT)") + " AS seq")
+        rows = part if rows is None else rows.unionByName(part)
+    if not seq:
+        rows = rows.drop("seq")
+    best = rows.groupBy("_rkey").agg(*[_best(rows, f"_step = {i}").alias(f"_b{i}") for i in (0, 1)])
+    cols = ["_rkey"] + [f"_b{i}.{f} AS {c}" for i, pair in enumerate(PAIR) for f, c in zip("ts", pair)]
+    j = df.join(best.selectExpr(*cols), df[key] == F.col("_rkey"), "left")
+    return j.selectExpr(*[f"`{c}`" for c in df.columns], *[c for pair in PAIR for c in pair])
+
+
 def replies_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies keyed by conversation: the first assistant turn of each."""
     conv = read_table(spark, sf_dir, "conversations", spread_rows=False)

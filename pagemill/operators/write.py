@@ -60,9 +60,6 @@ DEFAULT_CONTENT = "Content not generated"
 NO_ANALYSIS = "No analysis result provided"
 UNHASHABLE = "unhashable type: 'slice'"
 
-PV_CONTENT = "variant_get(_pv, '$.content', 'variant')"
-PV_TITLE = "variant_get(_pv, '$.title', 'variant')"
-
 
 def _map(d: dict, idx: int | None = None) -> str:
     items = []
@@ -218,27 +215,27 @@ def write(df: DataFrame, responses: DataFrame | None = None, key: str = "key",
                 f"ELSE _title0 END")
     fb_json = (f"to_json(named_struct('title', {fb_title}, 'content', _ftext, 'summary', _sum200.txt, "
                f"'tags', _tags5, 'word_count', CAST({word_count_sql('_ftext')} AS BIGINT), 'style', _style))")
-    # parsed article: defaults for missing keys; style always overwritten
-    has = {k: f"coalesce(array_contains(json_object_keys(_span), {q(k)}), false)"
-           for k in ("title", "content", "summary", "tags", "word_count", "error")}
-    s = s.selectExpr("*", "CASE WHEN _branch = 'parsed' THEN parse_json(_span) END AS _pv")
-    s = s.selectExpr("*", f"{pytype_sql(PV_CONTENT)} AS _ct")
-    themes_all = ("CASE WHEN _tt IS NULL THEN cast(array() AS array<string>) "
-                  "WHEN _tt = 'list' THEN transform(variant_get(_tv, '$', 'array<variant>'), x -> "
-                  "CASE WHEN schema_of_variant(x) = 'STRING' THEN variant_get(x, '$', 'string') ELSE to_json(x) END) "
-                  "END")
-    content_final = f"CASE WHEN {has['content']} THEN variant_get(_pv, '$.content', 'string') ELSE {q(DEFAULT_CONTENT)} END"
+    # parsed article: the reply's own keys and values, defaults for missing
+    # keys, style always overwritten
+    # the reply as it is, value types kept: key -> variant, a JSON null is a variant null
+    s = s.selectExpr("*", "CASE WHEN _branch = 'parsed' THEN variant_get(parse_json(_span), '$', 'map<string,variant>') END AS _pm")
+    s = s.selectExpr("*", "_pm['content'] AS _cv")
+    s = s.selectExpr("*", f"{pytype_sql('_cv')} AS _ct")
+    content_final = f"CASE WHEN _ct IS NULL THEN {q(DEFAULT_CONTENT)} WHEN _ct = 'str' THEN variant_get(_cv, '$', 'string') END"
     parsed_err = (f"CASE WHEN _sum200.err IS NOT NULL THEN _sum200.err "
-                  f"WHEN {has['content']} AND _ct <> 'str' THEN concat(chr(39), _ct, chr(39), "
+                  f"WHEN _ct <> 'str' THEN concat(chr(39), _ct, chr(39), "
                   f"' object has no attribute ', chr(39), 'split', chr(39)) END")
-    parsed_json = (f"to_json(named_struct("
-                   f"'title', CASE WHEN {has['title']} THEN {_vstr(PV_TITLE)} ELSE {q(DEFAULT_TITLE)} END, "
-                   f"'content', {content_final}, "
-                   f"'summary', CASE WHEN {has['summary']} THEN variant_get(_pv, '$.summary', 'string') ELSE _sum200.txt END, "
-                   f"'tags', CASE WHEN {has['tags']} THEN variant_get(_pv, '$.tags', 'array<string>') ELSE {themes_all} END, "
-                   f"'word_count', CASE WHEN {has['word_count']} THEN try_variant_get(_pv, '$.word_count', 'bigint') "
-                   f"ELSE CAST({word_count_sql(content_final)} AS BIGINT) END, "
-                   f"'style', _style))")
+    defaults = {"title": q(DEFAULT_TITLE), "content": q(DEFAULT_CONTENT), "summary": "_sum200.txt",
+                "tags": None, "word_count": f"CAST({word_count_sql(content_final)} AS BIGINT)"}
+    entries = [f"named_struct('key', {q(k)}, 'value', coalesce(_pm[{q(k)}], "
+               + ("_tv, CAST(cast(array() AS array<string>) AS VARIANT)" if d is None else f"CAST({d} AS VARIANT)") + "))"
+               for k, d in defaults.items()]
+    known = ", ".join(q(k) for k in [*defaults, "style"])
+    k = var("k")
+    extras = (f"transform(array_sort(filter(map_keys(_pm), {k} -> {k} NOT IN ({known}))), "
+              f"{k} -> named_struct('key', {k}, 'value', _pm[{k}]))")
+    parsed_json = (f"to_json(map_from_entries(concat(array({', '.join(entries)}), {extras}, "
+                   f"array(named_struct('key', 'style', 'value', CAST(_style AS VARIANT))))))")
     err = (f"CASE WHEN _empty THEN {q(NO_ANALYSIS)} WHEN _perr IS NOT NULL THEN _perr "
            f"WHEN _branch <> 'parsed' THEN _fberr ELSE {parsed_err} END")
     out = [*cols]
@@ -247,7 +244,7 @@ def write(df: DataFrame, responses: DataFrame | None = None, key: str = "key",
     s = s.selectExpr(*out, f"CASE WHEN _empty THEN 'no_analysis' ELSE _branch END AS article_branch",
                      f"{err} AS _err",
                      f"CASE WHEN _branch = 'parsed' THEN {parsed_json} ELSE {fb_json} END AS _ajson",
-                     f"{has['error']} AND _branch = 'parsed' AS _errkey",
+                     "_branch = 'parsed' AND map_contains_key(_pm, 'error') AS _errkey",
                      "CASE WHEN _branch = 'parsed' THEN get_json_object(_span, '$.error') END AS _errval")
     keep = [c for c in s.columns if not c.startswith("_")]
     return s.selectExpr(
