@@ -26,7 +26,7 @@ from pagemill.sources.tables import read_table  # noqa: E402
 
 
 def o52_html(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr("doc_id", f"{to_html_sql('text')} AS html")
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr("doc_id", f"{to_html_sql('text')} AS html")
 
 
 JOBS = {

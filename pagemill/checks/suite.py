@@ -58,7 +58,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def pages_with(spark: SparkSession, sf: str, html_sql: str | None = None) -> DataFrame:
-    df = read_pages(spark, sf)
+    df = read_pages(spark, sf, spread_rows=True)
     if html_sql is None:
         return df
     return df.selectExpr("page_id", "url", f"{html_sql} AS html")

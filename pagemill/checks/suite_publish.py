@@ -54,12 +54,12 @@ def o51_platform_routing(spark, sf):
 
 @register("o52_article_html", f"SELECT doc_id, {P.d_to_html('text')} AS html FROM documents")
 def o52_article_html(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr("doc_id", f"{to_html_sql('text')} AS html")
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr("doc_id", f"{to_html_sql('text')} AS html")
 
 
 @register("o52_article_html_markdown", f"SELECT doc_id, {P.d_to_html(D.MD_TEXT)} AS html FROM documents")
 def o52_article_html_markdown(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr("doc_id", f"{to_html_sql(D.MD_TEXT)} AS html")
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr("doc_id", f"{to_html_sql(D.MD_TEXT)} AS html")
 
 
 @register("o53_digest", f"SELECT doc_id, payload_digest FROM ({_O_PUB_JSON})")

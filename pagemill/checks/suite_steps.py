@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import json_span_sql, sentences_sql, word_count_sql
 from ..operators.analyze import analysis_prompt_sql, analyze, fallback_analysis_sql
-from ..operators.responses import replies_from_conversations
+from ..operators.responses import PAIR, attach_reply_pair, replies_from_conversations
 from ..operators.write import audience_sql, style_sql, write
 from ..sources.tables import read_table
 from . import derived as D
@@ -19,25 +20,25 @@ DOC_IN = "SELECT doc_id, split_part(text, chr(10), 1) AS title, text AS content
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as analysis input: key, title (first line), content."""
-    return read_table(spark, sf, "documents").selectExpr(
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr(
         "doc_id AS key", "split_part(text, chr(10), 1) AS title", "text AS content")
 
 
 def json_analysis_replies(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "documents", spread_rows=False).selectExpr(
+    return read_table(spark, sf, "documents").selectExpr(
         "doc_id AS key", f"{D.ANALYSIS_REPLY} AS response_text", f"{D.REPLY_STATUS} AS status")
 
 
 def json_article_replies(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "documents", spread_rows=False).selectExpr(
+    return read_table(spark, sf, "documents").selectExpr(
         "doc_id AS key", f"{D.ARTICLE_REPLY} AS response_text", "'ok' AS status")
 
 
 def last_replies(spark, sf) -> DataFrame:
     """The last assistant turn of each conversation (the writing reply)."""
-    conv = read_table(spark, sf, "conversations", spread_rows=False).where("role = 'assistant'")
-    return conv.groupBy("conv_id").agg({"turn": "max"}).withColumnRenamed("max(turn)", "turn") \
-        .join(conv, ["conv_id", "turn"]).selectExpr("conv_id AS key", "text AS response_text", "'ok' AS status")
+    conv = read_table(spark, sf, "conversations").where("role = 'assistant'")
+    return (conv.groupBy("conv_id").agg(F.expr("max_by(text, turn)").alias("response_text"))
+            .selectExpr("conv_id AS key", "response_text", "'ok' AS status"))
 
 
 # DuckDB sources for the same replies
@@ -70,10 +71,11 @@ def _o_write(analysis_replies: str | None, write_replies: str | None, detail: st
 
 
 def _spark_write(spark, sf, analysis_replies, write_replies, detail="brief") -> DataFrame:
-    a = analyze(docs(spark, sf), analysis_replies, with_prompt=False)
+    a = analyze(attach_reply_pair(docs(spark, sf), analysis_replies, write_replies, "key"), PAIR[0], with_prompt=False)
     a = a.selectExpr("*", f"{D.STYLE.replace('doc_id', 'key')} AS wstyle",
                      f"{D.AUDIENCE.replace('doc_id', 'key')} AS waud", f"{D.WORDS.replace('doc_id', 'key')} AS wwords")
-    return write(a, write_replies, style="wstyle", audience="waud", word_count="wwords", detail=detail)
+    w = write(a, None if write_replies is None else PAIR[1], style="wstyle", audience="waud", word_count="wwords", detail=detail)
+    return w.drop(*[c for pair in PAIR for c in pair])
 
 
 # ------------------------------------------------------------------ O30-O36
@@ -86,14 +88,14 @@ def o30_analysis_prompt(spark, sf):
           "SELECT doc_id, substr(text, 1, 4000) AS context, CAST(length(substr(text, 1, 4000)) AS BIGINT) AS context_chars, "
           "CAST(length(text) AS BIGINT) AS text_chars FROM documents")
 def o31_context_truncation(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr(
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr(
         "doc_id", "substring(text, 1, 4000) AS context",
         "CAST(length(substring(text, 1, 4000)) AS BIGINT) AS context_chars", "CAST(length(text) AS BIGINT) AS text_chars")
 
 
 @register("o32_json_span", f"SELECT doc_id, {P.d_span(D.ANALYSIS_REPLY)} AS span FROM documents")
 def o32_json_span(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr("doc_id", f"{json_span_sql(D.ANALYSIS_REPLY)} AS span")
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr("doc_id", f"{json_span_sql(D.ANALYSIS_REPLY)} AS span")
 
 
 @register("o33_analysis_parse",
@@ -111,7 +113,7 @@ def o33_analysis_parse(spark, sf):
           f"SELECT conv_id, turn, to_json({P.d_sentences('text')}) AS sentences, "
           f"CAST(len({P.d_sentences('text')}) AS BIGINT) AS n FROM conversations WHERE role = 'assistant'")
 def o34_sentences(spark, sf):
-    return read_table(spark, sf, "conversations").where("role = 'assistant'").selectExpr(
+    return read_table(spark, sf, "conversations", spread_rows=True).where("role = 'assistant'").selectExpr(
         "conv_id", "turn", f"to_json({sentences_sql('text')}) AS sentences",
         f"CAST(size({sentences_sql('text')}) AS BIGINT) AS n")
 
@@ -120,7 +122,7 @@ def o34_sentences(spark, sf):
           f"SELECT conv_id, turn, {P.d_fallback_analysis_json('text', dq('Conversation ') + ' || CAST(conv_id AS VARCHAR)')} "
           f"AS analysis FROM conversations WHERE role = 'assistant'")
 def o35_fallback_analysis(spark, sf):
-    return read_table(spark, sf, "conversations").where("role = 'assistant'").selectExpr(
+    return read_table(spark, sf, "conversations", spread_rows=True).where("role = 'assistant'").selectExpr(
         "conv_id", "turn",
         f"to_json({fallback_analysis_sql('text', 'concat(' + chr(39) + 'Conversation ' + chr(39) + ', CAST(conv_id AS STRING))')}) AS analysis")
 
@@ -144,7 +146,7 @@ def o36_analyze_json_replies(spark, sf):
               f"{P._style(D.STYLE, i)} AS {n}" for i, n in enumerate(["tone", "structure", "language", "features"]))
           + " FROM documents")
 def o40_style_lookup(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr(
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr(
         "doc_id", f"{D.STYLE} AS style",
         *[f"{style_sql(D.STYLE, i)} AS {n}" for i, n in enumerate(["tone", "structure", "language", "features"])])
 
@@ -152,7 +154,7 @@ def o40_style_lookup(spark, sf):
 @register("o41_audience_lookup",
           f"SELECT doc_id, {D.AUDIENCE} AS audience, {P._audience(D.AUDIENCE)} AS description FROM documents")
 def o41_audience_lookup(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr(
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr(
         "doc_id", f"{D.AUDIENCE} AS audience", f"{audience_sql(D.AUDIENCE)} AS description")
 
 
@@ -191,7 +193,7 @@ def o45_field_defaults(spark, sf):
 
 @register("o46_word_count", f"SELECT doc_id, {P.d_word_count('text')} AS word_count FROM documents")
 def o46_word_count(spark, sf):
-    return read_table(spark, sf, "documents").selectExpr(
+    return read_table(spark, sf, "documents", spread_rows=True).selectExpr(
         "doc_id", f"CAST({word_count_sql('text')} AS BIGINT) AS word_count")
 
 

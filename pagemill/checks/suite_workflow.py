@@ -80,7 +80,8 @@ _O61 = P.d_publish_select(
 
 @register("o61_url_to_publication",
           f"SELECT page_id, wf_success AS success, CASE WHEN wf_success THEN coalesce(success, false) END "
-          f"AS publish_success, article_id, draft_id, message FROM ({_O61})")
+          f"AS publish_success, CASE WHEN wf_success THEN article_id END AS article_id, CASE WHEN wf_success THEN draft_id END AS draft_id, "
+          f"CASE WHEN wf_success THEN message END AS message FROM ({_O61})")
 def o61_url_to_publication(spark, sf):
     req = _spark_requests(spark, sf).selectExpr("*", "concat('Desk ', CAST(key % 3 AS STRING)) AS author",
                                                 "key % 2 = 0 AS draft")
@@ -150,7 +151,7 @@ _REQ = (f"SELECT page_id, {D.REQ_URL} AS url, {D.REQ_STYLE} AS article_style, {D
           "WHEN coalesce(word_count, 1000) > 5000 THEN 'word_count: Input should be less than or equal to 5000' END], "
           f"lambda e: e IS NOT NULL)) AS errors FROM ({_REQ})")
 def o02_request_validation(spark, sf):
-    req = read_table(spark, sf, "pages").selectExpr(
+    req = read_table(spark, sf, "pages", spread_rows=True).selectExpr(
         "page_id", f"{D.REQ_URL} AS url", f"{D.REQ_STYLE} AS article_style", f"{D.REQ_AUDIENCE} AS target_audience",
         f"{D.REQ_WORDS} AS word_count", f"{D.REQ_IMAGES} AS extract_images", f"{D.REQ_LINKS} AS extract_links")
     return validate_requests(req).selectExpr(

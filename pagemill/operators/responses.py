@@ -5,9 +5,10 @@ replies come back as a table ``(key, response_text, status)`` and are
 attached with one left equi-join; a missing reply is the "no model" case.
 
 Scale: replies are reduced to one per key with a partial aggregate (map-side
-combine, so a key with millions of replies still ships one row per map task)
-whose output is already hash-partitioned on the key, so the join shuffles
-only the request side. Replies of two steps for the same rows are attached
+combine, so a key with millions of replies still ships one row per map task).
+The join must not reuse that aggregate's partitioning: Spark splits a hot
+request key only where both sides of the join are plain exchanges, so the
+reduced replies are exchanged once more (``_KEY``). Replies of two steps for the same rows are attached
 by ONE join (``attach_reply_pair``): with two joins on one key Spark would
 reuse the first one's partitioning for the second and leave a hot request
 key unsplit; with one, AQE splits it.
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 
+# the key behind an expression whose partitioning Spark does not track
+_KEY = "element_at(array(_rkey), 1) AS _rkey"
+
+
 def _best(responses: DataFrame, when: str = "true") -> F.Column:
     """The reply that counts: a good one before an error, then the latest
     ``seq`` (when the table has one), then the smallest text. One struct holds
@@ -32,7 +37,7 @@ def _best(responses: DataFrame, when: str = "true") -> F.Column:
 def one_reply_per_key(responses: DataFrame, key: str = "key") -> DataFrame:
     """Keep one reply per key (see ``_best``)."""
     return (responses.groupBy(F.col(key).alias("_rkey")).agg(_best(responses).alias("_reply"))
-            .selectExpr("_rkey", "_reply.t AS _rtext", "_reply.s AS _rstatus"))
+            .selectExpr(_KEY, "_reply.t AS _rtext", "_reply.s AS _rstatus"))
 
 
 def attach_replies(df: DataFrame, responses: DataFrame | tuple[str, str] | None, key: str) -> DataFrame:
@@ -70,14 +75,14 @@ def attach_reply_pair(df: DataFrame, first: DataFrame | None, second: DataFrame
     if not seq:
         rows = rows.drop("seq")
     best = rows.groupBy("_rkey").agg(*[_best(rows, f"_step = {i}").alias(f"_b{i}") for i in (0, 1)])
-    cols = ["_rkey"] + [f"_b{i}.{f} AS {c}" for i, pair in enumerate(PAIR) for f, c in zip("ts", pair)]
+    cols = [_KEY] + [f"_b{i}.{f} AS {c}" for i, pair in enumerate(PAIR) for f, c in zip("ts", pair)]
     j = df.join(best.selectExpr(*cols), df[key] == F.col("_rkey"), "left")
     return j.selectExpr(*[f"`{c}`" for c in df.columns], *[c for pair in PAIR for c in pair])
 
 
 def replies_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies keyed by conversation: the first assistant turn of each."""
-    conv = read_table(spark, sf_dir, "conversations", spread_rows=False)
+    conv = read_table(spark, sf_dir, "conversations")
     return (conv.where("role = 'assistant'")
             .groupBy("conv_id")
             .agg(F.expr("min_by(text, turn)").alias("response_text"))

@@ -33,9 +33,7 @@ PUBLISH_DONE = "Article created and published successfully"
 PUBLISH_PARTIAL = "Article created, but publishing failed"
 PUBLISH_FAILED = "Failed to process workflow"
 UNKNOWN_ERROR = "Unknown error"
-
-EVENT_COLUMNS = ["task_id", "seq", "ts", "type", "status", "message", "progress", "error", "data",
-                 "completed_at", "set_fields"]
+PROCESSING_ERROR = "Task processing error"
 
 
 def _arr(values) -> str:
@@ -112,22 +110,26 @@ def outcome_events(results: DataFrame, task_id: str = "task_id", seq: str = "seq
     """A finished workflow row -> its task update: completed with the
     whole result as ``data``, or failed with the error (``Unknown error``
     when none). ``results`` has ``success``, ``error``, ``workflow_json``
-    (and ``publish_success`` for the publishing workflow)."""
+    (and ``publish_success`` for the publishing workflow); a row whose
+    workflow itself broke off has its message in ``processing_error``, when
+    the table has such a column."""
     t = f"`{ts}`" if ts else "CAST(NULL AS TIMESTAMP_NTZ)"
     if workflow == "url_to_wechat":
         done = f"CASE WHEN publish_success THEN {q(PUBLISH_DONE)} ELSE {q(PUBLISH_PARTIAL)} END"
         failed = q(PUBLISH_FAILED)
     else:
         done, failed = q(ARTICLE_DONE), q(ARTICLE_FAILED)
+    broke = "processing_error" if "processing_error" in results.columns else "CAST(NULL AS STRING)"
+    ok = f"({broke} IS NULL AND coalesce(success, false))"
     return results.selectExpr(
         f"`{task_id}` AS task_id", f"CAST(`{seq}` AS BIGINT) AS seq", f"{t} AS ts", "CAST(NULL AS STRING) AS type",
-        "CASE WHEN success THEN 'completed' ELSE 'failed' END AS status",
-        f"CASE WHEN success THEN {done} ELSE {failed} END AS message",
+        f"CASE WHEN {ok} THEN 'completed' ELSE 'failed' END AS status",
+        f"CASE WHEN {broke} IS NOT NULL THEN {q(PROCESSING_ERROR)} WHEN {ok} THEN {done} ELSE {failed} END AS message",
         "CAST(NULL AS STRING) AS progress",
-        f"CASE WHEN success THEN NULL ELSE coalesce(error, {q(UNKNOWN_ERROR)}) END AS error",
-        "CASE WHEN success THEN workflow_json END AS data",
+        f"CASE WHEN {ok} THEN NULL ELSE coalesce({broke}, error, {q(UNKNOWN_ERROR)}) END AS error",
+        f"CASE WHEN {ok} THEN workflow_json END AS data",
         f"{t} AS completed_at",
-        "CASE WHEN success THEN array('status', 'message', 'data', 'completed_at') "
+        f"CASE WHEN {ok} THEN array('status', 'message', 'data', 'completed_at') "
         "ELSE array('status', 'message', 'error', 'completed_at') END AS set_fields")
 
 

@@ -16,10 +16,12 @@ from ..functions.text import q
 from ..operators.analyze import analyze
 from ..operators.crawl import crawl
 from ..operators.publish import publish
+from ..operators.responses import PAIR, attach_reply_pair
 from ..operators.write import write
 from ..session import stage as stage_table
 
-# The failure message when the analysis comes back empty.
+# The failure message when the analysis comes back empty, and
+# the agents' names in ``step_envelope``.
 ANALYZE_FAILED = "Failed to analyze content"
 
 _CRAWL = ("named_struct('url', url, 'title', title, 'content', content, 'images', images, "
@@ -41,8 +43,9 @@ def url_to_article(requests: DataFrame, key: str = "key", url: str = "url", html
     c = crawl(requests, url=url, html=html, extract_images=extract_images, extract_links=extract_links)
     if stage:
         c = stage_table(c, "crawl-stage")
-    a = analyze(c, analysis_replies, key=key, title="title", content="content", with_prompt=False)
-    w = write(a, article_replies, key=key, style=style, audience=audience, word_count=word_count,
+    c = attach_reply_pair(c, analysis_replies, article_replies, key)
+    a = analyze(c, PAIR[0], key=key, title="title", content="content", with_prompt=False)
+    w = write(a, PAIR[1], key=key, style=style, audience=audience, word_count=word_count,
               with_prompt=False)
     analysis_empty = "coalesce(size(json_object_keys(analysis_json)), 0) = 0"
     err = (f"CASE WHEN crawl_error IS NOT NULL THEN crawl_error "
@@ -80,13 +83,24 @@ def url_to_publication(requests: DataFrame, key: str = "key", url: str = "url",
                        style: str | None = None, audience: str | None = None,
                        author: str | None = None, draft_only: str | bool = False,
                        configured: bool = True) -> DataFrame:
-    """O60 with 1,000 words, images on and links off, then publish.
-    A publish failure keeps ``success`` and sets ``publish_success`` false."""
+    """O60 with 1,000 words, images on and links off, then publish the
+    articles of workflows that succeeded. A publish failure keeps ``success``
+    and sets ``publish_success`` false; both publish fields are part of
+    ``workflow_json``. A failed workflow has no publish part."""
     r = url_to_article(requests, key, url, html, analysis_replies, article_replies, style, audience,
                        word_count=1000, extract_images=True, extract_links=False)
     p = publish(r, article_json="article_json", author=author, draft_only=draft_only, configured=configured)
-    return p.selectExpr(
-        "*", "CASE WHEN success THEN coalesce(publish_result.success, false) END AS publish_success")
+    carried = [f"`{c}`" for c in r.columns if c != "workflow_json"]
+    # a workflow that failed is returned as it is: nothing was published
+    p = p.selectExpr(*carried, "workflow_json", "draft_only",
+                     "CASE WHEN success THEN publish_error END AS publish_error",
+                     "CASE WHEN success THEN payload END AS payload",
+                     "CASE WHEN success THEN publish_result END AS publish_result",
+                     "CASE WHEN success THEN coalesce(publish_result.success, false) END AS publish_success")
+    data = ("CASE WHEN success THEN to_json(map_concat(variant_get(parse_json(workflow_json), '$', 'map<string,variant>'), "
+            "map('publish_success', CAST(publish_success AS VARIANT), 'publish_result', "
+            "parse_json(to_json(publish_result))))) ELSE workflow_json END AS workflow_json")
+    return p.selectExpr(*carried, data, "draft_only", "publish_error", "payload", "publish_result", "publish_success")
 
 
 def step_envelope(results: DataFrame, key: str = "key") -> DataFrame:
@@ -106,7 +120,9 @@ def step_envelope(results: DataFrame, key: str = "key") -> DataFrame:
         "'metadata', map('style', article.style, 'word_count', CAST(article.word_count AS STRING)))"
         + (", named_struct('step', 'publish', 'name', 'PublisherAgent', 'ran', failed_at IS NULL, "
            "'ok', coalesce(publish_result.success, false), "
-           "'metadata', map('platform', coalesce(publish_result.platform, 'wechat')))"
+           # the platform is told whether or not publishing worked, but for a rejected article
+           "'metadata', CASE WHEN publish_error IS NULL THEN map('platform', coalesce(publish_result.platform, 'wechat')) "
+           "ELSE map() END)"
            if "publish_result" in results.columns else "")
         + ")")
     # steps that did not run are dropped inside the array (a row filter on
@@ -114,7 +130,7 @@ def step_envelope(results: DataFrame, key: str = "key") -> DataFrame:
     return (results.selectExpr(f"`{key}`", f"inline(filter({steps}, s -> s.ran))")
             .selectExpr(f"`{key}`", "step", "name", "'assistant' AS role",
                         "CASE WHEN ok THEN 'success' ELSE 'failed' END AS status",
-                        "CASE WHEN ok THEN metadata ELSE map() END AS metadata"))
+                        "CASE WHEN ok OR step = 'publish' THEN metadata ELSE map() END AS metadata"))
 
 
 def result_preview(results: DataFrame, key: str = "key") -> DataFrame:

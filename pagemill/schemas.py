@@ -3,9 +3,6 @@ readStream.schema)."""
 
 PAGE_IN = "page_id BIGINT, url STRING, html STRING"
 
-CRAWL = ("url STRING, title STRING, content STRING, images ARRAY<STRING>, "
-         "links ARRAY<STRING>, metadata MAP<STRING, STRING>")
-
 STRUCTURE = "type STRING, sections ARRAY<STRING>, flow STRING"
 
 ANALYSIS = ("summary STRING, key_points ARRAY<STRING>, themes ARRAY<STRING>, "
@@ -17,13 +14,6 @@ ARTICLE = ("title STRING, content STRING, summary STRING, tags ARRAY<STRING>, "
 PUBLISH = ("success BOOLEAN, platform STRING, article_id STRING, article_url STRING, "
            "draft_id STRING, message STRING")
 
-RESPONSE_IN = "key BIGINT, response_text STRING, status STRING"
-
-TASK_EVENT = ("task_id STRING, seq BIGINT, ts TIMESTAMP_NTZ, type STRING, status STRING, "
-              "message STRING, progress STRING, error STRING, data STRING, "
-              "completed_at TIMESTAMP_NTZ, set_fields ARRAY<STRING>")
-
 # Enumerations of the request models.
 STYLES = ["professional", "casual", "news"]
 AUDIENCES = ["general", "technical", "business"]
-STATUSES = ["pending", "processing", "completed", "failed"]

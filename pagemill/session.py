@@ -47,8 +47,9 @@ def build_session(master: str | None = None, app: str = "pagemill",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and stage tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) is a private folder created and registered.
+    Read from ``spark.checkpoint.dir``. Only a local session may do without:
+    it gets a private folder. On a cluster each executor would write to a disk
+    of its own, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -58,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="pagemill-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -69,24 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give row-wise (regex-heavy) work enough tasks.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows round-robin to ``partitions`` (default: the cluster's cores).
 
-    A large input already arrives as many scan splits (bounded by
-    maxPartitionBytes), so nothing changes and no shuffle is added. Only when
-    the scan yields fewer splits than the cluster has cores -- which means
-    little data, at most one split size per partition -- is it round-robin
-    redistributed, so the shuffled volume is bounded by
-    ``partitions * maxPartitionBytes``.
+    For small inputs in few scan splits, ahead of row-wise regex work. It
+    shuffles whole rows, so readers do it only where the caller asks for it.
     """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a Connect session): leave the plan as is
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want)
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

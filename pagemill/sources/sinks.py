@@ -14,10 +14,7 @@ same filter is a cheap scan predicate.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-OUTBOX_COLUMNS = ["item_id", "kind", "success", "draft_only", "title", "author", "content", "digest",
-                  "show_cover_pic", "thumb_media_id", "seq"]
-
+from pyspark.sql import functions as F
 
 def outbox_rows(published: DataFrame, order_col: str | None = None) -> DataFrame:
     """One outbox row per article (payload + platform id + ``success``);
@@ -45,11 +42,18 @@ def read_outbox(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return df.withColumn("draft_only", df["draft_only"].cast("boolean"))
 
 
-def list_items(outbox: DataFrame, kind: str = "news", offset: int = 0, count: int = 20) -> DataFrame:
+def list_items(outbox: DataFrame, kind: str = "news", offset: int = 0, count: int = 20,
+               after: tuple[int, str] | None = None) -> DataFrame:
     """One page of items of one kind, in a total order (newest
     ``seq`` first, then id) -- the remote API left the order implicit.
     A top-k with offset: Spark plans it as a bounded TakeOrderedAndProject,
-    never a full sort to one task."""
+    never a full sort to one task. Deep pages cost offset + count rows in that
+    task; ``after``, the (seq, item_id) of the last item of the page before,
+    makes the page start there and cost ``count`` rows however deep."""
+    if after is not None:
+        seq, item = after
+        outbox = outbox.where((F.col("seq") < seq) | F.col("seq").isNull() | ((F.col("seq") == seq) & (F.col("item_id") > item))
+                              if seq is not None else F.col("seq").isNull() & (F.col("item_id") > item))
     return (outbox.where(outbox["success"] & (outbox["kind"] == kind))
             .orderBy(outbox["seq"].desc_nulls_last(), outbox["item_id"])
             .offset(offset).limit(count))

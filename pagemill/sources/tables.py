@@ -17,16 +17,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    """A driver table. Row-wise regex/JSON work follows most reads, so an
-    input that arrives as fewer scan splits than cores (a small file with
-    one row group) is spread; large inputs keep their scan splits. Inputs
-    that go straight into an aggregate pass ``spread_rows=False``: the
-    partial aggregate is cheap and its exchange already spreads the work."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
+    """A driver table as its scan splits. ``spread_rows`` deals the rows to
+    all cores first: for small tables of one split ahead of row-wise work, as
+    the check queries ask for; a large table has splits enough."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return spread(df) if spread_rows else df
 
 
-def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_pages(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
     """Fetched pages (page_id, url, html): the re-aimed page source."""
-    return read_table(spark, sf_dir, "pages")
+    return read_table(spark, sf_dir, "pages", spread_rows)

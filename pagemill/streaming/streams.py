@@ -15,8 +15,6 @@ and a replayed batch rewrites identical rows, so retries are harmless.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +28,11 @@ EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type
 
 
 def _glob(path: str) -> str:
-    """File sources watch a directory or glob; a single file is read via a
-    one-file glob."""
-    if os.path.isdir(path) or any(ch in path for ch in "*?["):
+    """File sources watch a directory or glob. A name that ends in
+    ``.parquet`` may be a single file, which is read via a one-file glob (of a
+    directory it matches the directory); other paths, also of remote stores,
+    pass as they are."""
+    if not path.endswith(".parquet") or any(ch in path for ch in "*?["):
         return path
     return path[:-1] + "[" + path[-1] + "]"
 
@@ -65,15 +65,25 @@ def task_state_stream(spark: SparkSession, events_path: str, out_path: str, chec
     q.awaitTermination()
 
 
-def read_task_state(spark: SparkSession, changes_path: str) -> DataFrame:
-    """Current task state from the change table: the row of the latest
-    batch per task (a partial aggregate, like the batch form)."""
-    ch = spark.read.parquet(changes_path)
+def read_task_state(spark: SparkSession, *paths: str) -> DataFrame:
+    """Current task state from the change table (or a snapshot of
+    ``compact_task_state`` and the batches since): the row of the latest batch
+    per task (a partial aggregate, like the batch form)."""
+    ch = spark.read.parquet(*paths)
     cols = [c for c in ch.columns if c not in ("task_id", "batch_id")]
     latest = F.expr("max_by(named_struct(" + ", ".join(f"'{c}', `{c}`" for c in cols) + "), batch_id)")
     return ch.groupBy("task_id").agg(latest.alias("s")).select("task_id", *[F.col(f"s.{c}").alias(c) for c in cols])
 
 
+def compact_task_state(spark: SparkSession, changes_path: str, snapshot_path: str) -> None:
+    """Write the current state as a change table of one row per task. Start a
+    new change table from it (copy or ``union`` it with newer batches): rows
+    keep their batch id, so later changes still win."""
+    ch = spark.read.parquet(changes_path)
+    last = ch.groupBy("task_id").agg(F.max("batch_id").alias("batch_id"))
+    ch.join(last, ["task_id", "batch_id"]).dropDuplicates(["task_id"]).write.mode("overwrite").parquet(snapshot_path)
+
+
 def run_crawl_stream(spark: SparkSession, pages_path: str, **crawl_options) -> DataFrame:
     out, ck = scratch_path(spark, "crawl-stream"), scratch_path(spark, "crawl-stream-ckpt")
     crawl_stream(spark, pages_path, out, ck, **crawl_options)

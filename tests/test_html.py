@@ -44,9 +44,10 @@ def test_fixture_pages_match_parser(spark, variant):
     ours = _ours(spark, rows)
     for (pid, url, html), got in zip(rows, ours):
         want = extract(html, url)
-        # the "no body element" variant: a tree builder keeps head text in
-        # the document, an HTML parser with implied body does not
+        # the "no body element" variant: the parser without an implied body
+        # keeps the title in the text, ours drops it and nothing else
         if variant == D.CONTAINER_HTML and pid % 6 == 5:
+            assert got["content"] and want["content"].endswith(got["content"])
             continue
         assert got == want, (pid, html[:200])
 
@@ -73,9 +74,11 @@ def test_shape_flags(spark):
             (3, "http://a/", "<p>no body</p>"), (4, "http://a/", "<html><body><nav><nav>x</nav></nav>ok</body></html>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: (r.residual_boilerplate, r.no_body_element) for r in extraction_flags(df).collect()}
-    assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (False, False)}
+    assert got == {1: (False, False), 2: (True, False), 3: (False, True), 4: (False, False)}
     rep = shape_report(extraction_flags(df)).collect()[0]
-    assert (rep.pages, rep.residual_boilerplate, rep.no_body_element) == (4, 2, 1)
+    assert (rep.pages, rep.residual_boilerplate, rep.no_body_element) == (4, 1, 1)
+    out = {r.page_id: (r.content, r.shape_flags) for r in crawl(df).collect()}
+    assert out[1] == ("a", []) and out[2] == ("", ["unclosed_boilerplate"]) and out[4] == ("ok", [])
 
 
 def test_pathological_pages_do_not_fail(spark):

@@ -150,3 +150,59 @@ def test_request_validation_split(spark):
     assert list(ok) == [1] and (ok[1].article_style, ok[1].target_audience, ok[1].word_count) == ("professional", "general", 1000)
     assert bad[2] == ["url: URL scheme should be 'http' or 'https'"]
     assert len(bad[3]) == 3 and bad[4] == ["url: Field required", "word_count: Input should be less than or equal to 5000"]
+
+
+def test_hot_key_is_split_with_both_replies(spark):
+    """90% of the requests on one key, replies of both steps: one join, its hot partition split."""
+    from pagemill.operators.responses import PAIR, attach_reply_pair
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 60_000, 1, 8).selectExpr("IF(id % 10 < 9, 0L, id) AS key", "CAST(id AS STRING) AS title", "sha2(CAST(id AS STRING), 512) AS content")
+        first, second = (docs.where("CAST(title AS LONG) % 3 = 1").selectExpr("key", f"concat('{x} ', title, '. b') AS response_text", "'ok' AS status") for x in "ab")
+        a = analyze(attach_reply_pair(docs, first, second, "key"), PAIR[0], with_prompt=False)
+        w = write(a, PAIR[1], with_prompt=False).select("key", "article_json")
+        assert w.count() == 60_000
+        w.write.format("noop").mode("overwrite").save()
+        w.collect()
+        plan = w._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("SortMergeJoin(skew=true)") == 1 and final.count("SortMergeJoin") == 1
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_listing_by_key(spark):
+    from pagemill.sources.sinks import list_items
+    box = spark.createDataFrame([(f"i{k}", "news", k % 7 > 0, None if k % 5 == 0 else k // 3) for k in range(60)],
+                                "item_id string, kind string, success boolean, seq bigint")
+    whole = [(r.seq, r.item_id) for r in list_items(box, count=60).collect()]
+    got, last = [], None
+    while page := [(r.seq, r.item_id) for r in list_items(box, count=7, after=last).collect()]:
+        got += page
+        last = page[-1]
+    assert got == whole and len(whole) == 51
+
+
+def test_cluster_needs_a_shared_folder(tmp_path):
+    import pytest
+    from pagemill.session import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

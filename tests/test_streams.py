@@ -2,7 +2,7 @@ import os
 import tempfile
 
 from pagemill.operators.tasks import events_from_log, latest_state
-from pagemill.streaming.streams import read_task_state, task_state_stream
+from pagemill.streaming.streams import _glob, compact_task_state, read_task_state, task_state_stream
 
 
 def test_task_state_over_many_batches_equals_batch(spark):
@@ -22,3 +22,16 @@ def test_task_state_over_many_batches_equals_batch(spark):
     streamed = sorted(read_task_state(spark, out).collect())
     batch = sorted(latest_state(events_from_log(ev)).collect())
     assert streamed == batch
+    # a snapshot of the first batches and the batches since give the same
+    snap, early, late = (tempfile.mkdtemp(prefix=p) for p in ("snap-", "early-", "late-"))
+    changes.where("batch_id < 2").write.mode("overwrite").parquet(early)
+    changes.where("batch_id >= 2").write.mode("overwrite").parquet(late)
+    compact_task_state(spark, early, snap)
+    assert spark.read.parquet(snap).count() == changes.where("batch_id < 2").select("task_id").distinct().count()
+    assert sorted(read_task_state(spark, snap, late).collect()) == batch
+
+
+def test_remote_folders_pass_unchanged():
+    for path in ("s3a://bucket/pages/", "hdfs://nn/pages", "/data/pages", "s3a://bucket/*.parquet"):
+        assert _glob(path) == path
+    assert _glob("/data/pages.parquet") == "/data/pages.parque[t]"
