@@ -25,7 +25,10 @@ def main():
            f"Generated by `tools/plans.py` at `{sf}` (local[8], AQE on). Only the operators that",
            "decide scale are kept: exchanges (shuffles), joins, aggregates, generators, sorts and",
            "scans (with their pushed filters and read schema). Projections are omitted.", ""]
-    for name, fn in JOBS.items():
+    # the reply joins as they are planned when no side is small enough to broadcast
+    large = {f"{n} (no broadcast)": JOBS[n] for n in ("url_to_article", "publish_docs")}
+    for name, fn in [*JOBS.items(), *large.items()]:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if name in large else "10m")
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         lines = [ln.rstrip() for ln in plan.split("\n") if KEEP.search(ln)]
