@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pagemill.llm import decontam, langid, line_dedup, minhash, mixing
 from pagemill.llm.common import BitFilter, read_table, staged, without
 
-MIN_LANGUAGE_SCORE = 0.5
+# below this no language stands out; a text of two languages scores about 0.5
+MIN_LANGUAGE_SCORE = 0.35
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
