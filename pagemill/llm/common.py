@@ -46,6 +46,15 @@ def unpacked(df: DataFrame, *new: str, **replaced: Column) -> DataFrame:
     return df.select(*[replaced.get(c, F.col("_row").getField(c)).alias(c) for c in names], *new)
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df``, in a session that hands at most ``rows`` rows at once to
+    Python: whole texts are sent, and both sides hold a batch."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that for pure ASCII text (a fast
     path in Spark); other text goes through ``translate``."""
@@ -99,6 +108,17 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "_key") -> DataFrame:
     return clear.unionByName(maybe.join(gone, key, "left_anti"))
 
 
+def bounded_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hash of ``id_col`` (ties by
+    the id). A hash threshold chosen from the row count cuts the table to
+    about ``n`` rows before they are ordered, so the tasks hand over about
+    ``n`` rows together, not each."""
+    total = rows.count()
+    share = min(1.0, (n + 4 * n ** 0.5 + 16) / max(1, total))
+    h = F.shiftrightunsigned(F.xxhash64(id_col), 1)
+    return rows.where(h <= F.lit(min(2 ** 63 - 1, int(share * 2 ** 63)))).orderBy(h, id_col).limit(n)
+
+
 # --- numpy side -----------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -133,7 +153,7 @@ def _powers(n: int):
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def text_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (first row, end row, lower-cased bytes, offsets) of a string
     column, cut between rows so that a slice holds about ``max_bytes`` (one
     longer text makes a slice of its own). Null reads as empty."""
@@ -154,6 +174,7 @@ def text_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[in
         j = min(j, n)
         yield i, j, _LOWER[data[offs[i]:offs[j]]], (offs[i:j + 1] - offs[i])
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def tokenize(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagemill.llm.common import U64, kgrams, mix64, text_chunks, tokenize
+from pagemill.llm.common import U64, bounded_batches, kgrams, mix64, text_chunks, tokenize
 
 K, BLOCKS, RADIUS = 5, 4, 19
 _TABLE = 1 << 22
@@ -202,7 +202,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                      pa.array([m[3] for m in found], pa.float64())],
                     [id_col, item_col, "start", "n_words", "similarity"])
 
-        return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+        return bounded_batches(docs).select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
     def add(texts):
         nonlocal result

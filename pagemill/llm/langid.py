@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import packed, text_chunks, unpacked
+from pagemill.llm.common import bounded_batches, bounded_sample, packed, staged, text_chunks, unpacked
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 UNKNOWN = "und"
@@ -128,14 +128,16 @@ def has_letters(text: str) -> Column:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         max_docs: int = 3000, per_doc: int = 3) -> ByteCNN:
     """Train on ``per_doc`` windows each of at most ``max_docs`` labelled
-    texts, drawn in the order of a hash of the id. Rows without letters or
+    texts, drawn in the order of a hash of the id. Rows without id, letters or
     language are no evidence; without any the network knows no language."""
     n = F.char_length(text_col)
     parts = F.array(*[F.substring(F.col(text_col), (F.greatest(n - WINDOW, F.lit(0)) * i / max(1, per_doc - 1)).cast("int") + 1,
                                   F.lit(WINDOW)) for i in range(per_doc)])
-    rows = (labelled.where(F.col(lang_col).isNotNull() & has_letters(text_col))
-            .select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), parts.alias("parts"))
-            .orderBy("h", "i", "lang").limit(max_docs).collect())
+    some = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col)).where("lang IS NOT NULL")
+    ids = staged(bounded_sample(some.select("i").distinct(), "i", max_docs), "language-sample")  # max_docs ids
+    rows = (some.join(F.broadcast(ids), "i").where(has_letters(text_col))
+            .select(F.xxhash64("i").alias("h"), "i", "lang", parts.alias("parts")).collect())
+    rows = sorted(rows, key=lambda r: (r.h, r.i, r.lang, r.parts))[:max_docs]
     languages = sorted({r.lang for r in rows})
     x, y = [], []
     for r in rows:
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame
             lang, score = np.full(batch.num_rows, len(net.languages)), np.zeros(batch.num_rows)
             ok = batch["_letters"].to_numpy(zero_copy_only=False)
             if predict:
-                for i, j, buf, offs in text_chunks(batch["_text"], 1 << 19):
+                for i, j, buf, offs in text_chunks(batch["_text"], 1 << 17):
                     w, text, covered = windows(buf, offs)
                     total = np.zeros((j - i, len(net.languages)))
                     np.add.at(total, text, predict(w) * covered[:, None])
@@ -181,4 +183,4 @@ def identify(docs: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame
                 [batch["_row"], pa.array(names[lang], pa.string()), pa.array(np.clip(score, 0, 1))],
                 ["_row", "lang_pred", "score"])
 
-    return unpacked(sent.mapInArrow(run, schema), "lang_pred", "score")
+    return unpacked(bounded_batches(sent).mapInArrow(run, schema), "lang_pred", "score")

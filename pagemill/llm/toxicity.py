@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import (U64, _BYTE, _POS, _powers, mix64, packed, staged, text_chunks, tokenize,
+from pagemill.llm.common import (U64, _BYTE, _POS, _powers, bounded_batches, bounded_sample, mix64, packed, staged, text_chunks, tokenize,
                                  unpacked)
 
 # bytes that are no part of a word: all but a-z, 0-9 and UTF-8's multi-byte range
@@ -140,7 +140,7 @@ class Matcher:
         for n in self.lengths:
             w = np.flatnonzero(size >= n)
             s = starts[w]
-            g = mix64((c[s + n] - c[s]) * inv[s] + U64(n) * _POS[63])
+            g = mix64((c[s + n] - c[s]) * inv[s] + np.full(1, n, U64) * _POS[63])
             hit[w[self.stem[(g % U64(_TABLE)).astype(np.int64)]]] = True
         return hit
 
@@ -211,7 +211,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -
                 score[i:j] = _predict(model, match.features(buf, offs))
             yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(score)], ["_row", "score"])
 
-    return unpacked(sent.mapInArrow(run, schema), "score")
+    return unpacked(bounded_batches(sent).mapInArrow(run, schema), "score")
 
 
 def _words_of(docs: DataFrame, text_col: str) -> DataFrame:
@@ -231,21 +231,21 @@ def _words_of(docs: DataFrame, text_col: str) -> DataFrame:
                     label += [toxic[d]] * (len(own) + len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(stems), pa.array(label, pa.int32())],
                                                  ["word", "stem", "toxic"])
-    return docs.select(F.col(text_col).alias("_text"), "_toxic").mapInArrow(run, "word binary, stem boolean, toxic int")
+    return bounded_batches(docs).select(F.col(text_col).alias("_text"), "_toxic").mapInArrow(run, "word binary, stem boolean, toxic int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_docs: int = 8_000, max_terms: int = 2_000, min_docs: int = 3, min_lift: float = 20.0,
         max_near: int = 50_000) -> ToxicModel:
     """Learn lexicon, clean words and weights from at most ``max_docs``
-    rows of ``labels`` (id, 0/1), drawn in the order of a hash of the id. A term occurs in at
+    documents of ``labels`` (id, 0/1; one labelled both ways is toxic), drawn in
+    the order of a hash of the id. A term occurs in at
     least ``min_docs`` toxic documents, ``min_lift`` times as often as in
     clean ones. Null labels are no evidence; without both labels the model has
     no lexicon and gives every text the same score."""
     ids = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-           .select(id_col, F.col(label_col).cast("int").alias("_toxic"))
-           .orderBy(F.xxhash64(id_col), id_col, "_toxic").limit(max_docs))
-    ids = staged(ids, "toxic-sample")
+           .groupBy(id_col).agg(F.max(label_col).cast("int").alias("_toxic")))
+    ids = staged(bounded_sample(ids, id_col, max_docs), "toxic-sample")
     sample = staged(docs.select(id_col, text_col).join(F.broadcast(ids), id_col), "toxic-texts")  # max_docs rows
     counts = ids.groupBy("_toxic").count().collect()
     n = {r["_toxic"]: r["count"] for r in counts}
