@@ -103,25 +103,30 @@ def _context(text: str, reach: int) -> str:
             "w -> w <> '' AND NOT w RLIKE '[0-9@]')))")
 
 
-def disclosing_terms(docs: DataFrame, reach: int = 64, min_contexts: int = 3, generalise_at: float = 0.6,
+def disclosing_terms(docs: DataFrame, held: DataFrame, reach: int = 64, min_contexts: int = 3, generalise_at: float = 0.6,
                      remove_at: float = 0.9) -> DataFrame:
-    """``docs``: rows of (_low, _base). Returns (entity, term, action)."""
-    near = docs.where(F.size("_base") > 0).select(
+    """``docs``: all rows, lower-cased as _low; ``held``: (_low, _base,
+    _entities) of those with base spans. Returns (entity, term, action)."""
+    near = held.select(
         F.explode(F.expr(f"transform(_base, x -> named_struct('entity', {_entity()}, 'words', {_context('_low', reach)}))")).alias("c"),
-        F.xxhash64("_low").alias("_doc"))
-    near = staged(near.select("c.entity", F.explode("c.words").alias("term"), F.xxhash64("c.words").alias("ctx")), "pii-contexts")
-    pairs = staged(near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
-                   .where(F.col("n") >= min_contexts), "pii-pairs")
+        F.xxhash64("_low").alias("doc"))
+    near = staged(near.select("c.entity", F.explode("c.words").alias("term"), F.xxhash64("c.words").alias("ctx"), "doc"), "pii-contexts")
+    pairs = (near.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
+             .where(F.col("n") >= min_contexts))
     total = docs.count()
-    entities = (docs.where(F.size("_base") > 0).select(F.explode(F.expr(f"array_distinct(transform(_base, x -> {_entity()}))")).alias("entity"))
-                .groupBy("entity").agg(F.count("*").alias("df_e")))
+    entities = staged(held.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
+                      .where(f"df_e < {total}"), "pii-entities")
+    share = lambda df_t: F.expr(f"ln(n * {total}D / ({df_t} * df_e)) / ln({total}D / df_e)")
+    # a term is in at least the texts whose contexts hold it: pairs whose share
+    # stays below the threshold even so are settled without the corpus count
+    least = near.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = staged(pairs.join(least, "term").join(entities, "entity").where(share("least") >= generalise_at).drop("least"), "pii-pairs")
     terms = staged(pairs.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.expr(f"array_distinct(split(_low, '{_SPACE}+'))")).alias("term"))
     counts = (BitFilter(terms, "term").keep(words).groupBy("term").agg(F.count("*").alias("df_t"))
               .join(terms, "term", "left_semi"))
-    share = F.expr(f"ln(n * {total}D / (df_t * df_e)) / ln({total}D / df_e)")
-    return (pairs.join(staged(counts, "pii-counts"), "term").join(entities, "entity").where(f"df_e < {total}")
-            .withColumn("share", share).where(F.col("share") >= generalise_at)
+    return (pairs.join(staged(counts, "pii-counts"), "term").withColumn("share", share("df_t"))
+            .where(F.col("share") >= generalise_at)
             .select("entity", "term", F.when(F.col("share") >= remove_at, 2).otherwise(1).alias("action")))
 
 
@@ -139,19 +144,20 @@ def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 64, min_conte
     """
     d = packed(docs, "spans", "sanitised").withColumn("_text", F.coalesce(F.col("_row").getField(text_col), F.lit("")))
     d = base_spans(d, "_text")
-    corpus = d.select(lower_ascii(F.col("_text")).alias("_low"), "_base")
-    terms = staged(disclosing_terms(corpus, reach, min_contexts, generalise_at, remove_at), "pii-disclosing")
-    # the terms of each set of entities that one document holds
     keys = F.expr(f"CASE WHEN size(_base) > 0 THEN array_sort(array_distinct(transform(_base, x -> {_entity()}))) END")
     d = d.withColumn("_entities", keys)
-    sets = (d.where("_entities IS NOT NULL").select("_entities").distinct().withColumn("entity", F.explode("_entities"))
+    low = lower_ascii(F.col("_text"))
+    # spans are searched for twice: for the documents that hold any, and for the result
+    held = staged(d.where("_entities IS NOT NULL").select(low.alias("_low"), "_base", "_entities"), "pii-held")
+    terms = staged(disclosing_terms(d.select(low.alias("_low")), held, reach, min_contexts, generalise_at, remove_at), "pii-disclosing")
+    # the terms of each set of entities that one document holds
+    sets = (held.select("_entities").distinct().withColumn("entity", F.explode("_entities"))
             .join(terms, "entity").groupBy("_entities")
             .agg(F.collect_set("term").alias("_all"), F.collect_set(F.when(F.col("action") == 2, F.col("term"))).alias("_gone")))
     sets = staged(sets, "pii-sets")
     d = d.join(sets, "_entities", "left")
     pattern = (f"concat('(?<!{_NOT_SPACE})(?:', array_join(transform(array_sort(_all), w -> concat('\\\\Q', replace(w, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')), '|'), "
                f"')(?!{_NOT_SPACE})')")
-    low = lower_ascii(F.col("_text"))
     d = (d.withColumn("_low", F.when(F.col("_all").isNotNull(), low)).withColumn("_pat", F.expr(f"CASE WHEN _all IS NOT NULL THEN {pattern} END"))
          .withColumn("_terms", F.expr(
              f"CASE WHEN _all IS NOT NULL THEN transform({_found('_low', '_pat', 4, '_low')}, "
