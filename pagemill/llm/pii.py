@@ -117,14 +117,21 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, reach: int = 64, min_cont
     entities = staged(held.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
                       .where(f"df_e < {total}"), "pii-entities")
     share = lambda df_t: F.expr(f"ln(n * {total}D / ({df_t} * df_e)) / ln({total}D / df_e)")
-    # a term is in at least the texts whose contexts hold it: pairs whose share
-    # stays below the threshold even so are settled without the corpus count
+    words = F.explode(F.expr(f"array_distinct(split(_low, '{_SPACE}+'))")).alias("term")
+
+    def within(texts: DataFrame, terms: DataFrame, name: str) -> DataFrame:
+        some = BitFilter(terms, "term").keep(texts.select(words))
+        return some.groupBy("term").agg(F.count("*").alias(name)).join(terms, "term", "left_semi")
+
+    # a term is in at least the texts whose contexts hold it, and at least the
+    # texts with entities that hold it: pairs whose share stays below the
+    # threshold even so are settled without the corpus count
     least = near.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("least"))
     pairs = staged(pairs.join(least, "term").join(entities, "entity").where(share("least") >= generalise_at).drop("least"), "pii-pairs")
+    least = within(held, staged(pairs.select("term").distinct(), "pii-terms"), "least")
+    pairs = staged(pairs.join(least, "term").where(share("least") >= generalise_at).drop("least"), "pii-pairs")
     terms = staged(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.expr(f"array_distinct(split(_low, '{_SPACE}+'))")).alias("term"))
-    counts = (BitFilter(terms, "term").keep(words).groupBy("term").agg(F.count("*").alias("df_t"))
-              .join(terms, "term", "left_semi"))
+    counts = within(docs, terms, "df_t")
     return (pairs.join(staged(counts, "pii-counts"), "term").withColumn("share", share("df_t"))
             .where(F.col("share") >= generalise_at)
             .select("entity", "term", F.when(F.col("share") >= remove_at, 2).otherwise(1).alias("action")))
