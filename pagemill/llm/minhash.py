@@ -6,15 +6,14 @@
 2. Equal sets collapse to one class, represented by its smallest id.
 3. Classes that share a bucket are compared by bit counts of their packed
    signatures, corrected for chance collisions (a quarter of unequal minima
-   agree in two bits). Each run of a bucket returns spanning links of the
-   pairs that may reach the threshold (4.5 standard deviations of slack);
-   their components are candidate families.
+   agree in two bits). Spanning links of the pairs that may reach the
+   threshold (4.5 standard deviations of slack) give candidate families.
 4. The full shingle sets of family members only are rebuilt and compared
    exactly; verified spanning links give the components.
 
 At a similarity of 0.75 a pair shares no bucket with probability 5e-6 and
-falls below the estimate's slack with 3e-6. Groups of any size are split into
-block runs (``blocks``); no step emits the pairs of a group, no text of a
+falls below the estimate's slack with 3e-6. Groups of any size are compared
+block by block (``blocks``); no step emits the pairs of a group, no text of a
 document outside a family is shuffled, and the driver sees only checksums.
 """
 
@@ -27,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.blocks import RUN, block_runs
-from pagemill.llm.common import (BitFilter, Groups, U64, binary, kgrams, mix64, sorted_runs, staged, text_chunks,
+from pagemill.llm.blocks import group_links
+from pagemill.llm.common import (BitFilter, Groups, U64, binary, bounded_batches, kgrams, mix64, staged, text_chunks,
                                  tokenize)
 from pagemill.llm.components import components
 
@@ -131,7 +130,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, cols: dict[str, str], se
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cols.items()) + ", n long, k1 long, k2 long, sig binary, " + (
         "shingles binary" if sets else "bands array<long>")
-    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*names, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -140,42 +139,35 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(a.buffers()[2], np.uint8)[offs[0]:offs[-1]].copy().view(U64).reshape(len(a), -1)
 
 
-def _pairs(sig: np.ndarray, block: np.ndarray, diagonal: bool, most: int, rows: int = 256):
-    """Index pairs due in a run whose signatures may be similar enough, some rows at a time."""
-    n = len(sig)
+def _pairs(sig: np.ndarray, side: np.ndarray, most: int, rows: int = 256):
+    """Index pairs due in a run whose signatures may be similar enough, some
+    rows at a time: of unequal sides where a side 2 is compared, else all."""
+    n, across = len(sig), (side == 2).any()
     for i in range(0, n, rows):
         d = unequal(sig[i:i + rows, None, :], sig[None, i:, :])
         a, b = np.nonzero(d <= most)
         near = d[a, b]
         a, b = a + i, b + i
-        due = (a < b) if diagonal else (a < b) & (block[a] != block[b])
+        due = (a < b) & (side[a] != side[b]) if across else a < b
         yield a[due], b[due], near[due]
 
 
-def _candidates(most: int):
-    """Spanning links of the similar pairs of each bucket run."""
-    def run(batches):
-        for t, at in sorted_runs(batches, RUN):
-            ids, block = t["id"].to_numpy(), t["_b"].to_numpy()
-            lo, hi, sig = t["_lo"].to_numpy(), t["_hi"].to_numpy(), _words(t["sig"])
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            near = unequal(sig[two], sig[two + 1]) <= most
-            near &= (lo[two] == hi[two]) | (block[two] != block[two + 1])
-            a, b = [ids[two[near] + 1]], [ids[two[near]]]
-            for s, n in zip(at[:-1][size > 2], size[size > 2]):
-                own, g = slice(s, s + n), Groups(n)
-                for x, y, _ in _pairs(sig[own], block[own], lo[s] == hi[s], most):
-                    label = g.labels()
-                    open_ = label[x] != label[y]
-                    for i, j in zip(x[open_].tolist(), y[open_].tolist()):
-                        g.join(i, j)
-                label = g.labels()
-                moved = np.flatnonzero(label != np.arange(n))
-                a.append(ids[own][moved])
-                b.append(ids[own][label[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-    return run
+def _similar(most: int):
+    """Joins members of a bucket whose signatures may be similar enough."""
+    def compare(t: pa.Table, side: np.ndarray, g: Groups) -> None:
+        for x, y, _ in _pairs(_words(t["sig"]), side, most):
+            label = g.labels()
+            open_ = label[x] != label[y]
+            for i, j in zip(x[open_].tolist(), y[open_].tolist()):
+                g.join(i, j)
+    return compare
+
+
+def _similar_pairs(most: int):
+    def pairs(t: pa.Table, at: np.ndarray) -> np.ndarray:
+        sig = _words(t["sig"])
+        return unequal(sig[at], sig[at + 1]) <= most
+    return pairs
 
 
 class _Overlap:
@@ -205,32 +197,22 @@ class _Overlap:
         return out
 
 
-def _verified(most: int, percent: int):
-    """Spanning links of the pairs of each family run whose sets reach the threshold."""
-    def run(batches):
-        for t, at in sorted_runs(batches, RUN):
-            ids, block, lo, hi = (t[c].to_numpy() for c in ("id", "_b", "_lo", "_hi"))
-            sig, a, b = _words(t["sig"]), [], []
-            for s, e in zip(at[:-1], at[1:]):
-                sets = [np.frombuffer(v.as_buffer(), U64) for v in t["shingles"].slice(s, e - s)]
-                sizes, g, overlap = np.array([len(x) for x in sets]), Groups(e - s), _Overlap(sets)
-                for x, y, near in _pairs(sig[s:e], block[s:e], lo[s] == hi[s], most):
-                    order = np.argsort(near, kind="stable")
-                    for k in range(0, len(order), 1 << 15):
-                        i, j = x[order[k:k + (1 << 15)]], y[order[k:k + (1 << 15)]]
-                        label = g.labels()
-                        i, j = i[label[i] != label[j]], j[label[i] != label[j]]
-                        both = overlap(i, j)
-                        link = 100 * both >= percent * (sizes[i] + sizes[j] - both)
-                        for p, q in zip(i[link].tolist(), j[link].tolist()):
-                            g.join(p, q)
+def _linked(most: int, percent: int):
+    """Joins members of a family whose shingle sets reach the threshold."""
+    def compare(t: pa.Table, side: np.ndarray, g: Groups) -> None:
+        sets = [np.frombuffer(v.as_buffer(), U64) for v in t["shingles"].combine_chunks()]
+        sizes, overlap = np.array([len(x) for x in sets]), _Overlap(sets)
+        for x, y, near in _pairs(_words(t["sig"]), side, most):
+            order = np.argsort(near, kind="stable")
+            for k in range(0, len(order), 1 << 15):
+                i, j = x[order[k:k + (1 << 15)]], y[order[k:k + (1 << 15)]]
                 label = g.labels()
-                moved = np.flatnonzero(label != np.arange(e - s))
-                a.append(ids[s:e][moved])
-                b.append(ids[s:e][label[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-    return run
+                i, j = i[label[i] != label[j]], j[label[i] != label[j]]
+                both = overlap(i, j)
+                link = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+                for p, q in zip(i[link].tolist(), j[link].tolist()):
+                    g.join(p, q)
+    return compare
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
@@ -254,15 +236,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .agg(F.min(F.struct("id", "sig", "bands")).alias("r"))
                      .select("n", "k1", "k2", "r.*"), "minhash-classes")
     buckets = classes.select("id", "sig", F.explode("bands").alias("bucket"))
-    near = staged(block_runs(buckets, "bucket", "id", block)
-                  .select(*RUN, "_b", "id", "sig").mapInArrow(_candidates(most), "a long, b long").distinct(), "minhash-near")
+    near = staged(group_links(buckets, "bucket", ["sig"], _similar(most), block, _similar_pairs(most)), "minhash-near")
     family = staged(components(near), "families").select(F.col("node").alias("id"), F.col("component").alias("family"))
     texts = BitFilter(family, "id").keep(docs).join(family, "id")
     members = staged(sketch(texts, "id", "_t", {"id": "long", "family": "long"}, sets=True)
                      .dropDuplicates(["id", "n", "k1", "k2"]), "minhash-members")
-    links = staged(block_runs(members.select("id", "family", "sig", "shingles"), "family", "id", block)
-                   .select(*RUN, "_b", "id", "sig", "shingles")
-                   .mapInArrow(_verified(most, percent), "a long, b long").distinct(), "minhash-links")
+    links = staged(group_links(members, "family", ["sig", "shingles"], _linked(most, percent), block), "minhash-links")
     comp = components(links).select(F.col("node").alias("id"), "component")
     comp = staged(classes.select("n", "k1", "k2", "id").join(comp, "id", "left")
                   .select("n", "k1", "k2", F.coalesce("component", "id").alias("component")), "minhash-components")
