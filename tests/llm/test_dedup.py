@@ -165,6 +165,20 @@ def test_passages(spark):
     assert substring.repeated_passages(table(spark, [])).count() == 0
 
 
+def test_passages_of_stock_sentences(spark):
+    rng = random.Random(16)
+    rows, want = [], set()
+    for g in range(8):
+        sentences = [words(rng, 30), words(rng, 30)] if g % 2 else [words(rng, 20) for _ in range(3)]
+        for i in (0, 1):
+            want.add(1000 * g + i)
+            rows.append((1000 * g + i, f"{words(rng, 20)} {' '.join(sentences)} {words(rng, 20)}", "s"))
+        rows += [(1000 * g + 100 + i, f"{words(rng, 20)} {sentences[i % len(sentences)]} {words(rng, 20)}", "s") for i in range(90)]
+    out = substring.repeated_passages(table(spark, rows)).collect()
+    assert {d for r in out for d in (r.doc_id, r.other_id)} == want
+    assert all((r.start, r.n_words) == (20, 60) for r in out)
+
+
 def test_bit_filter_keeps_members(spark):
     members = spark.range(0, 500, 7).withColumnRenamed("id", "_key")
     rows = spark.range(2000).withColumnRenamed("id", "_key").withColumn("_word", F.lit(1)).withColumnRenamed("_word", "w")
