@@ -179,6 +179,21 @@ def test_passages_of_stock_sentences(spark):
     assert all((r.start, r.n_words) == (20, 60) for r in out)
 
 
+def test_passages_held_several_times(spark):
+    rng = random.Random(17)
+    passage, phrase = words(rng, 60), words(rng, 300)
+    parts = passage.split()
+    early = " ".join(f"{words(rng, 3)} {' '.join(parts[i:i + 8])}" for i in range(0, 56, 4))  # phrases of the passage, ahead of it
+    rows = [(1, f"{passage} {words(rng, 200)} {passage} {words(rng, 200)} {passage} {words(rng, 9)}", "s"),
+            (2, f"{words(rng, 30)} {passage} {words(rng, 30)}", "s"), (3, f"{early} {words(rng, 100)} {passage} {words(rng, 5)}", "s"),
+            (4, phrase, "s")]
+    out = substring.repeated_passages(table(spark, rows)).collect()
+    spans = {(r.doc_id, r.start, r.n_words) for r in out} | {(r.other_id, r.other_start, r.other_n_words) for r in out}
+    lead = len(early.split()) + 100
+    assert {(1, 0, 60), (1, 260, 60), (1, 520, 60), (2, 30, 60), (3, lead, 60)} <= spans
+    assert {d for d, _, _ in spans} == {1, 2, 3} and len(out) == len(set(out))
+
+
 def test_bit_filter_keeps_members(spark):
     members = spark.range(0, 500, 7).withColumnRenamed("id", "_key")
     rows = spark.range(2000).withColumnRenamed("id", "_key").withColumn("_word", F.lit(1)).withColumnRenamed("_word", "w")
