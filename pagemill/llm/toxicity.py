@@ -118,14 +118,14 @@ class Matcher:
         self.stem = np.zeros(_TABLE, bool)
         self.stem[(_hash_words(list(model.stems)) % U64(_TABLE)).astype(np.int64)] = True
         self.lengths = sorted({len(x) for x in model.stems})
+        self.longest = max(map(len, model.lexicon), default=0)
 
     def _maybe(self, buf, h, starts, ends) -> np.ndarray:
         """Words that share a word with some term after at most one deletion each."""
         hit = self.near[(h % U64(_TABLE)).astype(np.int64)]
         size = ends - starts
-        short = np.flatnonzero((size > 1) & (size <= 24))  # longer words are no term and one edit
-        long = np.flatnonzero(size > 24)
-        hit[long] &= max((len(t) for t in self.model.lexicon), default=0) >= 24
+        short = np.flatnonzero((size > 1) & (size <= self.longest + 1))  # longer words are no term and one edit
+        hit &= size <= self.longest + 1
         p, inv = _powers(len(buf) + 2)
         c = np.empty(len(buf) + 1, U64)
         c[0] = 0
@@ -269,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             keep = [(x := match.lookup(bytes(w))) is not None and x[1] == 1 for w in batch["word"].to_pylist()]
             yield batch.filter(pa.array(keep))
 
-    some = words.where("c > 0 AND NOT stem AND octet_length(word) BETWEEN 4 AND 25").select("word")
+    longest = max(map(len, model.lexicon), default=0)
+    some = words.where(f"c > 0 AND NOT stem AND octet_length(word) BETWEEN 4 AND {longest + 1}").select("word")
     model.clean = frozenset(bytes(r.word) for r in some.mapInArrow(near, "word binary").limit(max_near).collect()) - set(model.lexicon)
 
     def features(batches):

@@ -146,6 +146,19 @@ def test_automaton_against_brute_force():
             assert matcher._maybe(buf, h, s, e).all()
 
 
+def test_long_terms_with_one_edit():
+    rng = random.Random(18)
+    for n in range(20, 41):
+        term = bytes(rng.choices(b"abcdefgh", k=n))
+        matcher = toxicity.Matcher(toxicity.ToxicModel({term: 1.0}))
+        for at in (0, n // 2, n - 1):
+            for w in (term[:at] + b"z" + term[at + 1:], term[:at] + b"z" + term[at:], term[:at] + term[at + 1:]):
+                buf = np.frombuffer(b"some " + w + b" more", np.uint8)
+                assert matcher.features(buf, np.array([0, len(buf)])).tolist() == [[0, 1, 0, 0]]
+        buf = np.frombuffer(term + b"zz", np.uint8)
+        assert not matcher.features(buf, np.array([0, len(buf)])).any()
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     rows, labels = [], []
