@@ -153,10 +153,11 @@ def _powers(n: int):
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def text_chunks(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices (first row, end row, lower-cased bytes, offsets) of a string
-    column, cut between rows so that a slice holds about ``max_bytes`` (one
-    longer text makes a slice of its own). Null reads as empty."""
+def text_chunks(column: pa.Array, max_bytes: int = 1 << 18, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices (first row, end row, bytes, lower-cased unless ``lower`` is off,
+    offsets) of a string column, cut between rows so that a slice holds about
+    ``max_bytes`` (one longer text makes a slice of its own). Null reads as
+    empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -172,7 +173,8 @@ def text_chunks(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[in
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + max_bytes, "right")) - 1)
         j = min(j, n)
-        yield i, j, _LOWER[data[offs[i]:offs[j]]], (offs[i:j + 1] - offs[i])
+        part = data[offs[i]:offs[j]]
+        yield i, j, _LOWER[part] if lower else part, (offs[i:j + 1] - offs[i])
         i = j
     pa.default_memory_pool().release_unused()
 
@@ -242,6 +244,13 @@ def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield rest, np.append(cut(rest), rest.num_rows)
 
 
+def ragged(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the ranges [start, start + len), one after another, and the
+    offsets of the ranges among them."""
+    offs = np.concatenate(([0], np.cumsum(lens)))
+    return np.arange(offs[-1]) + np.repeat(starts - offs[:-1], lens), offs
+
+
 def binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """An Arrow binary array whose row i holds values[offsets[i]:offsets[i+1]]."""
     w = values.dtype.itemsize

@@ -105,3 +105,52 @@ r(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, u.b FROM r JOIN u ON
 SELECT n.doc_id, n AS n_shingles, min(y) AS component_id, n.doc_id = min(y) AS kept
 FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n
 """
+
+# crc32 bit by bit: DuckDB has no function for it
+_CRC = ("xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), c -> ascii(c)::BIGINT), lambda a, b: "
+        "list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), "
+        "4294967295::BIGINT)").replace("c -> ascii(c)", "lambda c: ascii(c)")
+
+
+def _fields(n_chars: str) -> str:
+    one = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    return " || ".join(one.format(f"({c})::VARCHAR") for c in ("doc_id", "source", "lang", n_chars, "text"))
+
+
+ORACLE["op12_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256({_fields('n_chars')}) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC.format('doc_id::VARCHAR')} % 7 = 0 THEN sha256({_fields('n_chars + 1')}) END AS tampered
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+nodes(g, lvl, pos, h) AS (
+  SELECT g, 0, pos, leaf FROM r
+  UNION ALL
+  (SELECT g, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+   FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM nodes) WHERE c > 1 GROUP BY g, lvl, pos // 2)),
+sub AS (SELECT g, arg_max(h, lvl) AS subroot, max(lvl) AS top FROM nodes GROUP BY g),
+tops(lvl, pos, h) AS (
+  SELECT 0, row_number() OVER (ORDER BY g) - 1, subroot FROM sub
+  UNION ALL
+  (SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+   FROM (SELECT *, count(*) OVER () AS c FROM tops) WHERE c > 1 GROUP BY lvl, pos // 2)),
+gp AS (SELECT g, subroot, top, row_number() OVER (ORDER BY g) - 1 AS gpos FROM sub),
+rt AS (SELECT max(lvl) AS deep, arg_max(h, lvl) AS root FROM tops),
+steps AS (
+  SELECT r.g, r.pos, lv.lvl AS step, s.h, (r.pos >> lv.lvl) & 1 AS right_
+  FROM r JOIN gp USING (g), range(0, 64) lv(lvl) LEFT JOIN nodes s ON s.g = r.g AND s.lvl = lv.lvl AND s.pos = xor(r.pos >> lv.lvl, 1)
+  WHERE lv.lvl < top
+  UNION ALL
+  SELECT r.g, r.pos, top + lv.lvl, s.h, (gpos >> lv.lvl) & 1
+  FROM r JOIN gp USING (g), rt, range(0, 64) lv(lvl) LEFT JOIN tops s ON s.lvl = lv.lvl AND s.pos = xor(gpos >> lv.lvl, 1)
+  WHERE lv.lvl < deep),
+fold(g, pos, step, h) AS (
+  SELECT g, pos, 0, coalesce(tampered, leaf) FROM r
+  UNION ALL
+  SELECT f.g, f.pos, f.step + 1, sha256(CASE WHEN s.right_ = 1 THEN coalesce(s.h, '') || f.h ELSE f.h || coalesce(s.h, '') END)
+  FROM fold f JOIN steps s ON s.g = f.g AND s.pos = f.pos AND s.step = f.step),
+ends AS (SELECT g, pos, arg_max(h, step) AS folded_root FROM fold GROUP BY g, pos),
+proofs AS (SELECT g, pos, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY g, pos)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM r JOIN gp USING (g) JOIN ends USING (g, pos) LEFT JOIN proofs USING (g, pos), rt
+"""

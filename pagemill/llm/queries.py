@@ -6,10 +6,12 @@ derives compact columns (ids, counts, digests) from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, exact_dedup, langid, line_dedup, minhash, mixing, pii, substring, toxicity, url_filter
+from pagemill.llm import (decontam, exact_dedup, langid, line_dedup, merkle, minhash, mixing, periodic, pieces, pii, substring,
+                          toxicity, url_filter)
 from pagemill.llm.common import read_table, staged
 from pagemill.llm.oracles import ORACLE  # noqa: F401
 
@@ -103,3 +105,50 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep_text=False)
+    return pieces.decode(ids, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    leaf = lambda n: merkle.leaf_digest(*map(F.col, ("doc_id", "source", "lang")), n, F.col("text"))
+    tampered = F.coalesce(remainder(7) == 0, F.lit(False))
+    rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"),
+                       F.when(tampered, leaf(F.col("n_chars") + 1)).alias("tampered"))
+    out = merkle.manifest(rows)
+    return (out.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+            .select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+def planted(text: str, key: str):
+    """The text's words, those of a tenth of the documents made periodic from
+    a word on, both chosen by a hash of the document id."""
+    words = f"filter(split(coalesce({text}, ''), '[ \\\\t-\\\\r]+', -1), x -> x <> '')"
+    place = ("transform(array(named_struct('w', {w}, 'g', crc32(cast({k} as string)) div 10)), d -> named_struct('w', d.w, 'g', d.g, "
+             "'a', int(d.g % size(d.w))))[0]")
+    again = ("transform(array({p}), d -> transform(array(1 + int((size(d.w) - d.a) div (3 + d.g % 8))), p -> array_join(transform("
+             "sequence(0, size(d.w) - 1), i -> d.w[IF(i < d.a, i, d.a + (i - d.a) % p)]), ' '))[0])[0]")
+    made = again.format(p=place.format(w=words, k=key))
+    return F.expr(f"CASE WHEN crc32(cast({key} as string)) % 10 = 0 AND {text} RLIKE '[^ \\\\t-\\\\r]' THEN {made} ELSE {text} END")
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", planted("text", "doc_id").alias("text"))
+    best = F.expr("array_sort(runs, (x, y) -> CASE WHEN x.length * y.period > y.length * x.period THEN -1 "
+                  "WHEN x.length * y.period < y.length * x.period THEN 1 WHEN x.start <> y.start THEN IF(x.start < y.start, -1, 1) "
+                  "WHEN x.period <> y.period THEN IF(x.period < y.period, -1, 1) ELSE 0 END)[0]")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    out = periodic.periodic_runs(docs).withColumn("b", F.when(F.size("runs") > 0, best))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period",
+                      F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+                      F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
