@@ -139,6 +139,41 @@ def test_chain_is_optimal_without_gap_limit():
         assert used == list(range(n))
 
 
+def test_chain_scores_equal_dynamic_programming():
+    rng = random.Random(15)
+    for _ in range(60):
+        m = rng.randrange(1, 30)
+        p, q = (np.array([rng.randrange(150) for _ in range(m)]) for _ in range(2))
+        n = np.array([rng.randrange(6, 30) for _ in range(m)])
+        worth = n - np.array([rng.random() for _ in range(m)])
+        f = {}
+        for i in sorted(range(m), key=lambda i: p[i]):  # every predecessor tried
+            f[i] = worth[i] + max([0.0] + [f[j] - substring.GAP / 2 * (p[i] - (p[j] + n[j] - 5) + q[i] - (q[j] + n[j] - 5)) for j in f
+                                           if p[j] + n[j] - 5 <= p[i] and q[j] + n[j] - 5 <= q[i]])
+        assert abs(substring.chain(p, q, n, worth, drop=1e9)[0][0] - max(f.values())) < 1e-9
+
+
+def test_stretches_join_matches_of_a_diagonal():
+    pair, p, n = np.array([0, 0, 0, 0, 1]), np.array([3, 5, 30, 100, 91]), np.array([6, 6, 24, 6, 6])
+    first, length, worth, sure = substring.stretches(pair, p, p - 2, n, np.array([False, True, False, False, False]))
+    assert first.tolist() == [0, 3, 4] and length.tolist() == [51, 6, 6] and sure.tolist() == [True, False, False]
+    assert np.allclose(worth, [32 - substring.GAP * 19, 6, 6])
+
+
+def test_longest_stretch_equals_brute_force():
+    rng = random.Random(18)
+    for _ in range(80):
+        same = np.array([rng.random() < rng.choice([0.3, 0.8, 0.95]) for _ in range(rng.randrange(1, 70))])
+        i, j = substring._longest(same, 0.8)
+        ok = [(b - a, -a) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a:b].mean() >= 0.8 - 1e-12]
+        if not ok:
+            assert i == j
+            continue
+        most, a = max(ok)
+        a = -a
+        assert a <= i <= j <= a + most and (i == j or (same[i] and same[j - 1]))
+
+
 def test_passages(spark):
     rng = random.Random(6)
     passage, fuzzy = words(rng, 70), words(rng, 90).split()
