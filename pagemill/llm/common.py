@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,23 @@ def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """``df``, in a session that hands at most ``rows`` rows at once to
     Python: whole texts are sent, and both sides hold a batch."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return df
 
 
+@contextmanager
+def batch_rows(df: DataFrame, rows: int):
+    """Another number of rows handed to Python at once, for what runs within."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, rows)
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that for pure ASCII text (a fast
     path in Spark); other text goes through ``translate``."""
