@@ -202,3 +202,18 @@ def o02_request_models(spark, sf):
         v = v.selectExpr("page_id", f"'{model}' AS model", "to_json(errors) AS errors", "valid")
         out = v if out is None else out.unionByName(v)
     return out
+
+
+# --- O02: hosts and ports of urls. Messages of the validation library.
+URL_CASES = [("http://exa mple.com/", "invalid domain character"), ("http://[::1", "invalid IPv6 address"), ("http://[::1]:80/x", None),
+             ("http://a.com:99999/", "invalid port number"), ("https:example.com", None), (" http://a.com ", None), ("http://1.2.3.256/", "invalid IPv4 address"),
+             ("http://u:p@a.com:80/", None), ("http:///?q", "empty host"), ("a.com/x", "relative URL without a base")]
+
+
+@register("o02_url_rules", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN NULL ELSE " + by_id("page_id // 2", [
+    "NULL" if e is None else lit(f"url: Input should be a valid URL, {e}") for _, e in URL_CASES]) + " END AS error FROM pages")
+def o02_url_rules(spark, sf):
+    """Every second page's own url, the others' replaced by an odd one."""
+    odd = "CASE " + " ".join(f"WHEN page_id div 2 % {len(URL_CASES)} = {i} THEN {lit(u)}" for i, (u, _) in enumerate(URL_CASES)) + " END"
+    pages = read_table(spark, sf, "pages").selectExpr("page_id", f"IF(page_id % 2 = 0, url, {odd}) AS url")
+    return validate_requests(pages, "crawl").selectExpr("page_id", "get(errors, 0) AS error")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.text import q
 from ..operators.publish import publish, to_html_sql
 from ..operators.responses import replies_from_conversations
 from ..session import scratch_path
@@ -109,3 +110,45 @@ def o05_outbox_listing(spark, sf):
                        order_col="key")
     return sinks.list_items(sinks.read_outbox(spark, path), "news", offset=20, count=20) \
         .selectExpr("item_id", "title", "seq")
+
+
+@register("o03_outbox_batches", _O_OUTBOX)
+def o03_outbox_batches(spark, sf):
+    """Articles published in three batches by their id, the second one
+    repeated, another one broken off before its commit: each is listed once."""
+    path, p = scratch_path(spark, "outbox"), _spark_published(spark, sf, replies_from_conversations(spark, sf), None)
+    for n, rest in enumerate((0, 1, 1, 2)):
+        sinks.write_outbox(p.where(f"key % 3 = {rest}"), path, order_col="key", batch=f"00{n}")
+    sinks.outbox_rows(p.where("key % 3 = 0"), "key").selectExpr("*", "'x' AS row_id").write.partitionBy("draft_only").parquet(
+        f"{path}/items/batch=b-broken")
+    return sinks.read_outbox(spark, path).selectExpr("item_id", "kind", "success", "draft_only", "title", "digest", "seq")
+
+
+# articles as the model may return them: (fields, error, message, digest). Messages of the Python errors.
+TYPE_CASES = [
+    ('"title":"T","content":"C","summary":5', None, "Publishing error: 'int' object is not subscriptable", None),
+    ('"title":"T","content":"C","summary":null', None, "Publishing error: 'NoneType' object is not subscriptable", None),
+    ('"title":"T","content":"C","summary":["a","b"]', None, "Article published successfully", '["a","b"]'),
+    ('"title":"T","content":"C","summary":[]', None, "Article published successfully", "T"),
+    ('"title":"T","content":["a"]', None, "Publishing error: 'list' object has no attribute 'split'", None),
+    ('"title":"T","content":{"a":1},"summary":""', None, "Publishing error: 'dict' object has no attribute 'split'", None),
+    ('"title":0,"content":"C"', "Article missing required fields", "Article missing required fields", None),
+    ('"title":"T","content":false', "Article missing required fields", "Article missing required fields", None),
+    ('"title":7,"content":"C","summary":"s"', None, "Publishing error: 'int' object is not subscriptable", None),
+    ('"title":["x"],"content":"C"', None, "Article published successfully", '["x"]'),
+    ('"title":[],"content":"C"', "Article missing required fields", "Article missing required fields", None),
+    ('"title":"T","content":1.5,"summary":true', None, "Publishing error: 'bool' object is not subscriptable", None),
+]
+
+
+def _case(k: int, literal=lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'") -> str:
+    return f"CASE doc_id % {len(TYPE_CASES)} " + " ".join(f"WHEN {i} THEN {literal(c[k])}" for i, c in enumerate(TYPE_CASES)) + " END"
+
+
+@register("o55_value_types", f"SELECT doc_id, {_case(1)} AS publish_error, {_case(2)} AS message, {_case(3)} AS digest, "
+                             f"{_case(2)} = 'Article published successfully' AS success FROM documents")
+def o55_value_types(spark, sf):
+    """Titles, contents and summaries of every JSON type."""
+    articles = read_table(spark, sf, "documents").selectExpr("doc_id", f"concat('{{', {_case(0, q)}, '}}') AS article_json")
+    return publish(articles).selectExpr("doc_id", "publish_error", "publish_result.message AS message", "payload.digest AS digest",
+                                        "publish_result.success AS success")

@@ -101,7 +101,7 @@ ENTITY_MAP_SQL = ("from_json(" + q(json.dumps({n: chr(_NAMED[n]) for n in sorted
 # the references most pages use, tested before the map look-up
 _COMMON = ["amp", "lt", "gt", "quot", "nbsp"]
 
-ENTITY_TOKEN = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]++);|&|[^&]++"
+ENTITY_TOKEN = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]++;)|&|[^&]++"
 
 
 def _cp_char(n: str) -> str:
@@ -114,19 +114,21 @@ def decode_entities_sql(e: str) -> str:
     """Decode ``&name;``, ``&#N;`` and ``&#xH;`` in one pass: the string is
     cut into tokens (a reference, a lone ``&``, a run without ``&``), each
     reference replaced, tokens re-joined. One pass means ``&amp;lt;`` gives
-    ``&lt;``, never ``<``."""
+    ``&lt;``, never ``<``. As in libxml2 before 2.14 (the parser of the
+    original), a number needs no semicolon, a name does: ``&#169 x`` is a
+    sign, ``&copy x`` stays, in text and attributes alike."""
     t = var("t")
-    dec = let(f"coalesce(try_cast(substring({t}, 3, length({t}) - 3) AS BIGINT), 0)", _cp_char)
+    dec = let(f"coalesce(try_cast(rtrim(';', substring({t}, 3)) AS BIGINT), 0)", _cp_char)
     # more than 8 digits after leading zeros is no character
-    hexa = let(let(f"ltrim('0', substring({t}, 4, length({t}) - 4))",
+    hexa = let(let(f"ltrim('0', rtrim(';', substring({t}, 4)))",
                    lambda h: f"IF(length({h}) > 8, 0L, coalesce(try_cast(conv({h}, 16, 10) AS BIGINT), 0))"), _cp_char)
     common = " ".join(f"WHEN {q('&' + n + ';')} THEN {q(chr(_NAMED[n]))}" for n in _COMMON)
     tok = (f"CASE WHEN length({t}) = 1 OR substring({t}, 1, 1) <> '&' THEN {t} "
            f"ELSE CASE {t} {common} ELSE CASE "
            f"WHEN {t} RLIKE '^&[A-Za-z][A-Za-z0-9]*;$' "
            f"THEN coalesce(try_element_at({ENTITY_MAP_SQL}, substring({t}, 2, length({t}) - 2)), {t}) "
-           f"WHEN {t} RLIKE '^&#[0-9]+;$' THEN {dec} "
-           f"WHEN {t} RLIKE '^&#[xX][0-9a-fA-F]+;$' THEN {hexa} "
+           f"WHEN {t} RLIKE '^&#[0-9]+;?$' THEN {dec} "
+           f"WHEN {t} RLIKE '^&#[xX][0-9a-fA-F]+;?$' THEN {hexa} "
            f"ELSE {t} END END END")
     return f"array_join(transform(regexp_extract_all({e}, {q(ENTITY_TOKEN)}, 0), {t} -> {tok}), '')"
 

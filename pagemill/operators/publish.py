@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.text import expr, pystrip_sql, q, var
+from .write import UNHASHABLE, pytype_sql
 
 # The HTML wrapper around rendered paragraphs.
 HTML_OPEN = ("\n<div style=\"font-family: -apple-system, BlinkMacSystemFont, 'Segoe UI', Roboto, "
@@ -54,8 +55,23 @@ def to_html_sql(content: str, escape: bool = False) -> str:
     return f"concat({q(HTML_OPEN)}, array_join(transform({blocks}, {p} -> {tag}), '\\n'), {q(HTML_CLOSE)})"
 
 
-def _truthy_str(e: str) -> str:
-    return f"({e} IS NOT NULL AND {e} <> '')"
+def _truthy_sql(v: str, t: str) -> str:
+    """``bool(x)`` of a JSON value of Python type ``t`` (absent: false)."""
+    return (f"CASE {t} WHEN 'str' THEN variant_get({v}, '$', 'string') <> '' WHEN 'bool' THEN variant_get({v}, '$', 'boolean') "
+            f"WHEN 'int' THEN variant_get({v}, '$', 'double') <> 0 WHEN 'float' THEN variant_get({v}, '$', 'double') <> 0 "
+            f"WHEN 'list' THEN to_json({v}) <> '[]' WHEN 'dict' THEN to_json({v}) <> '{{}}' ELSE false END")
+
+
+def _sliced_sql(v: str, t: str, n: int) -> str:
+    """``x[:n]`` of a string or, as JSON text, of a list."""
+    return (f"CASE {t} WHEN 'str' THEN substring(variant_get({v}, '$', 'string'), 1, {n}) "
+            f"WHEN 'list' THEN to_json(slice(variant_get({v}, '$', 'array<variant>'), 1, {n})) END")
+
+
+def _slice_error_sql(t: str) -> str:
+    """What ``x[:n]`` raises for the Python type ``t`` (NULL: nothing)."""
+    return (f"CASE WHEN {t} IN ('NoneType', 'int', 'float', 'bool') THEN concat(chr(39), {t}, chr(39), ' object is not subscriptable') "
+            f"WHEN {t} = 'dict' THEN {q(UNHASHABLE)} END")
 
 
 def publish(df: DataFrame, article_json: str = "article_json", author: str | None = None,
@@ -86,23 +102,29 @@ def publish(df: DataFrame, article_json: str = "article_json", author: str | Non
         *cols,
         f"try_variant_get(try_parse_json({aj}), '$', 'map<string,variant>') AS _m",
         f"{plat} AS _platform", f"{draft} AS _draft", f"{auth} AS _author", f"{thumb} AS _thumb")
-    text = lambda k: (f"CASE WHEN schema_of_variant(_m['{k}']) = 'STRING' THEN variant_get(_m['{k}'], '$', 'string') "
-                      f"WHEN is_variant_null(_m['{k}']) THEN NULL ELSE to_json(_m['{k}']) END AS _{k}")
-    s = s.selectExpr("*", "coalesce(size(_m), 0) <= 0 AS _empty", text("title"), text("content"), text("summary"),
-                     "coalesce(map_contains_key(_m, 'summary'), false) AS _has_summary")
+    fields = ("title", "content", "summary")
+    s = s.selectExpr("*", "coalesce(size(_m), 0) <= 0 AS _empty", *[f"_m['{k}'] AS _{k}" for k in fields])
+    s = s.selectExpr("*", *[f"{pytype_sql(f'_{k}')} AS _{k[0]}t" for k in fields])
+    supported = "coalesce(_platform IN (" + ", ".join(q(p) for p in SUPPORTED_PLATFORMS) + "), false)"
+    # what the original raises, in its order: the digest is cut before the
+    # platform is asked, the title and content after
+    raised = (f"coalesce({_slice_error_sql('_st')}, " + ("" if configured else f"{q(NOT_CONFIGURED)}, ") + f"{_slice_error_sql('_tt')}, "
+              "CASE WHEN _ct <> 'str' THEN concat(chr(39), _ct, chr(39), ' object has no attribute ', chr(39), 'split', chr(39)) END)")
     s = s.selectExpr(
         "*",
         f"CASE WHEN _empty THEN {q(NO_ARTICLE)} "
-        f"WHEN NOT {_truthy_str('_title')} OR NOT {_truthy_str('_content')} THEN {q(MISSING_FIELDS)} "
+        f"WHEN NOT {_truthy_sql('_title', '_tt')} OR NOT {_truthy_sql('_content', '_ct')} THEN {q(MISSING_FIELDS)} "
         f"END AS publish_error",
-        f"CASE WHEN NOT _has_summary THEN '' ELSE substring(_summary, 1, {DIGEST_CHARS}) END AS _digest_arg")
-    supported = "coalesce(_platform IN (" + ", ".join(q(p) for p in SUPPORTED_PLATFORMS) + "), false)"
-    ok_payload = f"publish_error IS NULL AND {supported}"
+        f"{raised} AS _raised", f"{_sliced_sql('_title', '_tt', DIGEST_CHARS)} AS _title_cut",
+        f"CASE WHEN {_truthy_sql('_summary', '_st')} THEN {_sliced_sql('_summary', '_st', DIGEST_CHARS)} END AS _digest_arg",
+        "CASE _tt WHEN 'str' THEN variant_get(_title, '$', 'string') ELSE to_json(_title) END AS _title_text",
+        "CASE _ct WHEN 'str' THEN variant_get(_content, '$', 'string') END AS _content_text")
     s = s.selectExpr(
         "*",
-        f"CASE WHEN {ok_payload} AND NOT (_has_summary AND _summary IS NULL) THEN named_struct("
-        f"'title', _title, 'author', _author, 'content', {to_html_sql('_content')}, "
-        f"'digest', CASE WHEN _digest_arg <> '' THEN _digest_arg ELSE substring(_title, 1, {DIGEST_CHARS}) END, "
+        f"CASE WHEN publish_error IS NULL AND {supported} AND coalesce(_raised, {q(NOT_CONFIGURED)}) = {q(NOT_CONFIGURED)} AND _ct = 'str' "
+        f"AND _title_cut IS NOT NULL THEN named_struct("
+        f"'title', _title_text, 'author', _author, 'content', {to_html_sql('_content_text')}, "
+        f"'digest', coalesce(_digest_arg, _title_cut), "
         f"'show_cover_pic', CASE WHEN _thumb IS NOT NULL AND _thumb <> '' THEN 1 ELSE 0 END, "
         f"'thumb_media_id', CASE WHEN _thumb <> '' THEN _thumb END) END AS payload")
     pid = "sha2(concat_ws(chr(10), payload.title, coalesce(payload.author, ''), payload.content, payload.digest), 256)"
@@ -113,13 +135,10 @@ def publish(df: DataFrame, article_json: str = "article_json", author: str | Non
         f"WHEN NOT {supported} THEN named_struct("
         f"'success', false, 'platform', _platform, 'article_id', {null}, 'article_url', {null}, "
         f"'draft_id', {null}, 'message', concat('Platform ', chr(39), coalesce(_platform, 'None'), chr(39), ' not supported yet')) "
-        f"WHEN payload IS NULL THEN named_struct('success', false, 'platform', 'wechat', 'article_id', {null}, "
+        f"WHEN _raised IS NOT NULL THEN named_struct('success', false, 'platform', 'wechat', 'article_id', {null}, "
         f"'article_url', {null}, 'draft_id', {null}, 'message', "
-        f"concat('Publishing error: ', chr(39), 'NoneType', chr(39), ' object is not subscriptable')) "
-        + ("" if configured else
-           f"WHEN true THEN named_struct('success', false, 'platform', 'wechat', 'article_id', {null}, "
-           f"'article_url', {null}, 'draft_id', {null}, 'message', {q(NOT_CONFIGURED)}) ")
-        + f"WHEN _draft THEN named_struct('success', true, 'platform', 'wechat', 'article_id', {null}, "
+        f"IF(_raised = {q(NOT_CONFIGURED)}, _raised, concat('Publishing error: ', _raised))) "
+        f"WHEN _draft THEN named_struct('success', true, 'platform', 'wechat', 'article_id', {null}, "
         f"'article_url', {null}, 'draft_id', {pid}, 'message', {q(DRAFT_SAVED)}) "
         f"ELSE named_struct('success', true, 'platform', 'wechat', 'article_id', {pid}, "
         f"'article_url', {null}, 'draft_id', {null}, 'message', {q(PUBLISHED)}) END")

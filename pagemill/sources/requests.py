@@ -6,13 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.httpurl import http_url_error_sql
 from ..functions.text import q
 from ..schemas import AUDIENCES, STYLES
 
 # Validation messages (pydantic v2 wording).
 URL_REQUIRED = "url: Field required"
-URL_SCHEME = "url: URL scheme should be 'http' or 'https'"
-URL_HOST = "url: Input should be a valid URL, empty host"
 STYLE_ENUM = "article_style: Input should be 'professional', 'casual' or 'news'"
 AUDIENCE_ENUM = "target_audience: Input should be 'general', 'technical' or 'business'"
 WORDS_MIN = "word_count: Input should be greater than or equal to 300"
@@ -53,9 +52,7 @@ def validate_requests(df: DataFrame, kind: str = "url_to_article") -> DataFrame:
     checks, out = [], [f"`{c}`" for c in df.columns if c not in options]
     if url:
         u = field(url)
-        checks.append(f"CASE WHEN {u} IS NULL THEN {q(URL_REQUIRED)} "
-                      f"WHEN NOT lower({u}) RLIKE '^https?:' THEN {q(URL_SCHEME)} "
-                      f"WHEN NOT {u} RLIKE '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+' THEN {q(URL_HOST)} END")
+        checks.append(f"CASE WHEN {u} IS NULL THEN {q(URL_REQUIRED)} ELSE concat('url: ', {http_url_error_sql(u)}) END")
     checks += [f"CASE WHEN {field(c)} IS NULL THEN {q(FIELD_REQUIRED.format(c))} END" for c in texts]
     checks += [f"CASE WHEN {field(c)} IS NULL THEN {q(FIELD_REQUIRED.format(c))} "
                f"WHEN json_object_keys({field(c)}) IS NULL THEN {q(OBJECT_TYPE.format(c))} END" for c in objects]

@@ -1,8 +1,11 @@
 """Sinks: the publishing outbox (O03), the result sink (O04) and the
 outbox listing (O05).
 
-Writes are whole-DataFrame jobs (no driver loop); ``mode='overwrite'`` with
-dynamic partition overwrite makes a re-run of a failed job idempotent.
+The outbox is a table of batches. Each write is one whole-DataFrame job into a
+folder of its own; a one-row manifest file, written last, commits it. Readers
+take the batches that the manifest names, so a half-written one is never seen
+and an earlier one never lost. Rows already committed are left out of a new
+batch (an anti-join on their ids), so a repeated job adds nothing.
 
 The outbox keeps every row with its ``success`` flag instead of filtering
 before the write: a filter on a column derived through many projections is
@@ -13,9 +16,19 @@ same filter is a cheap scan predicate.
 
 from __future__ import annotations
 
+import os
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
+_ITEMS = ("row_id STRING, item_id STRING, kind STRING, success BOOLEAN, title STRING, author STRING, content STRING, digest STRING, "
+          "show_cover_pic INT, thumb_media_id STRING, seq BIGINT, batch STRING, draft_only BOOLEAN")
+_MANIFEST = "batch STRING, items BIGINT"
+
+
 def outbox_rows(published: DataFrame, order_col: str | None = None) -> DataFrame:
     """One outbox row per article (payload + platform id + ``success``);
     ``order_col`` is carried as ``seq`` for listing."""
@@ -28,18 +41,55 @@ def outbox_rows(published: DataFrame, order_col: str | None = None) -> DataFrame
         f"{seq} AS seq")
 
 
+def _stored(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A folder of the outbox; one that was never written is empty."""
+    try:
+        return spark.read.schema(schema).format(fmt).load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def committed_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest: ``batch`` and its number of ``items``."""
+    return _stored(spark, f"{path}/manifest", _MANIFEST).dropDuplicates(["batch"])
+
+
 def write_outbox(published: DataFrame, path: str, fmt: str = "parquet",
-                 order_col: str | None = None) -> None:
-    """One write per article, split into draft / publish partitions."""
-    (outbox_rows(published, order_col).write
-     .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("draft_only").format(fmt).save(path))
+                 order_col: str | None = None, batch: str | None = None) -> int:
+    """Append one batch of articles, split into draft / publish
+    partitions; the number of rows it added.
+
+    A row is known by its ``item_id``, a failed one (it has none) by a digest of
+    its columns; rows that an earlier batch committed are not added again,
+    repeated rows within one batch stay. ``batch`` names the batch (default: a
+    new name); naming a committed one again adds nothing, naming one that broke
+    off replaces what it left. One writer at a time: two that run at once don't
+    see each other's rows.
+    """
+    spark = published.sparkSession
+    batch = batch or os.urandom(8).hex()
+    if not committed_batches(spark, path).where(F.col("batch") == batch).isEmpty():
+        return 0
+    rows = outbox_rows(published, order_col).withColumn("seq", F.col("seq").cast("bigint"))
+    rows = rows.withColumn("row_id", F.coalesce("item_id", F.sha2(F.to_json(F.struct(*rows.columns)), 256)))
+    known = read_outbox(spark, path, fmt, keep_ids=True).select("row_id")
+    # published rows are derived from much: written once, then compared and counted from the table
+    rows = stage(rows, "outbox-batch").join(known, "row_id", "left_anti")
+    folder = f"{path}/items/batch=b-{batch}"
+    rows.write.mode("overwrite").partitionBy("draft_only").format(fmt).save(folder)
+    added = spark.read.schema(_ITEMS).format(fmt).load(folder).count()
+    spark.createDataFrame([(batch, added)], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return added
 
 
-def read_outbox(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Partition discovery does not infer booleans; restore the type."""
-    df = spark.read.format(fmt).load(path)
-    return df.withColumn("draft_only", df["draft_only"].cast("boolean"))
+def read_outbox(spark: SparkSession, path: str, fmt: str = "parquet", keep_ids: bool = False) -> DataFrame:
+    """The rows of all committed batches. ``keep_ids`` keeps ``row_id`` and
+    ``batch``."""
+    done = committed_batches(spark, path).select(F.concat(F.lit("b-"), F.col("batch")).alias("batch"))
+    items = _stored(spark, f"{path}/items", _ITEMS, fmt).join(done, "batch", "left_semi")
+    return items if keep_ids else items.drop("row_id", "batch")
 
 
 def list_items(outbox: DataFrame, kind: str = "news", offset: int = 0, count: int = 20,

@@ -1,9 +1,13 @@
 import json
 
+import pytest
+
 from pagemill.operators.analyze import analyze
 from pagemill.operators.publish import publish, to_html_sql
 from pagemill.operators.tasks import latest_state
 from pagemill.operators.write import write
+from pagemill.sources import sinks
+from pagemill.sources.sinks import list_items, read_outbox, write_outbox
 
 
 def _docs(spark, rows):
@@ -206,3 +210,23 @@ def test_cluster_needs_a_shared_folder(tmp_path):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_outbox_keeps_batches(spark, tmp_path, fmt):
+    def published(*titles):
+        rows = [(i, json.dumps({"title": t, "content": "C"}) if t else None) for i, t in enumerate(titles)]
+        return publish(spark.createDataFrame(rows, "key int, article_json string"))
+
+    path = str(tmp_path / "box")
+    assert write_outbox(published("T1", None), path, fmt, "key") == 2
+    assert write_outbox(published("T2", "T2"), path, fmt, "key", batch="two") == 2
+    assert write_outbox(published("T2", "T3"), path, fmt, batch="two") == 0  # committed under this name
+    assert write_outbox(published("T1", None), path, fmt, "key") == 0  # known rows, under a new name
+    assert sorted(str(r.title) for r in read_outbox(spark, path, fmt).collect()) == ["None", "T1", "T2", "T2"]
+    # a batch that broke off before its commit is not seen, and can be done again
+    sinks.outbox_rows(published("T9")).selectExpr("*", "'x' AS row_id").write.partitionBy("draft_only").format(fmt).save(f"{path}/items/batch=b-late")
+    assert read_outbox(spark, path, fmt).count() == 4
+    assert write_outbox(published("T9"), path, fmt, batch="late") == 1
+    assert sorted(r["items"] for r in sinks.committed_batches(spark, path).collect()) == [0, 1, 2, 2]
+    assert [r.title for r in list_items(read_outbox(spark, path, fmt)).collect()].count("T9") == 1

@@ -64,3 +64,9 @@ def test_strict_json_gate(spark):
     items = ['{"a": 1}', '{"a": 1} trailing', "{'a': 1}", '{"a": 1} and {"b": 2}', '{"a": 1},{"b": 2}',
              '{"a": [1, 2,]}', '{"a": "x"}', "{}", '{"a": tru}', '{"a": null}']
     assert many(spark, T.strict_json_object_sql("s"), "s", items) == [_py_strict(s) for s in items]
+
+
+def test_references_without_semicolon(spark):
+    cases = {"&#169 2024": "\u00a9 2024", "&#xA9x": "\u00a9x", "&#65&#66;&#67": "ABC", "&copy 2024": "&copy 2024", "AT&ampT &amp; x": "AT&ampT & x",
+             "?a=1&copy=2": "?a=1&copy=2", "&#;&#x;&#": "&#;&#x;&#", "&#0000000065x": "Ax", "a & b &": "a & b &"}
+    assert many(spark, T.decode_entities_sql("s"), "s", list(cases)) == list(cases.values())
