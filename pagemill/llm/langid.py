@@ -14,7 +14,7 @@ byte pairs, so a window costs a few gathers instead of a matrix product.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ class ByteCNN:
     bias: list[np.ndarray] = field(default_factory=list)
     out: np.ndarray | None = None
     out_bias: np.ndarray | None = None
+    seen: np.ndarray | None = None  # bits of the byte trigrams in the training windows
 
 
 def windows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +99,30 @@ def train(samples: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     return net
 
 
+_DIGIT = np.arange(256, dtype=np.uint8)
+_DIGIT[48:58] = 48
+
+
+def _trigrams(buf: np.ndarray) -> np.ndarray:
+    """Codes of the byte trigrams along the last axis; digits are all alike."""
+    b = _DIGIT[buf].astype(np.int32)
+    return b[..., :-2] << 16 | b[..., 1:-1] << 8 | b[..., 2:]
+
+
+def familiarity(buf: np.ndarray, offs: np.ndarray, seen: np.ndarray, least_bytes: int = 4) -> np.ndarray:
+    """Share of each text's byte trigrams that the training windows hold, 1
+    for a text without any. A text of 64 bytes and more with fewer than
+    ``least_bytes`` different ones is in no language: 0."""
+    t = _trigrams(buf) if len(buf) > 2 else np.zeros(0, np.int32)
+    known = np.concatenate(([0], np.cumsum(seen[t >> 3] >> (t & 7).astype(np.uint8) & 1, dtype=np.int64)))
+    n = np.maximum(np.diff(offs) - 2, 0)
+    lo = np.minimum(offs[:-1], len(t))
+    share = np.where(n > 0, (known[lo + n] - known[lo]) / np.maximum(n, 1), 1.0)
+    size = np.diff(offs)
+    kinds = (np.bincount(np.repeat(np.arange(len(size)), size) * 256 + buf, minlength=len(size) * 256).reshape(-1, 256) > 0).sum(1)
+    return np.where((size >= 64) & (kinds < least_bytes), 0.0, share)
+
+
 class Predictor:
     """The network with its filters folded into byte-pair tables."""
 
@@ -135,9 +160,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                                   F.lit(WINDOW)) for i in range(per_doc)])
     some = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col)).where("lang IS NOT NULL")
     ids = staged(bounded_sample(some.select("i").distinct(), "i", max_docs), "language-sample")  # max_docs ids
+    # an id may stand in any number of rows: the first max_docs of them all
     rows = (some.join(F.broadcast(ids), "i").where(has_letters(text_col))
-            .select(F.xxhash64("i").alias("h"), "i", "lang", parts.alias("parts")).collect())
-    rows = sorted(rows, key=lambda r: (r.h, r.i, r.lang, r.parts))[:max_docs]
+            .select(F.xxhash64("i").alias("h"), "i", "lang", parts.alias("parts")).orderBy("h", "i", "lang", "parts").limit(max_docs).collect())
     languages = sorted({r.lang for r in rows})
     x, y = [], []
     for r in rows:
@@ -145,29 +170,37 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             for _, _, buf, offs in text_chunks(pa.array([part])):
                 x.append(windows(buf, offs)[0][:1])
                 y.append(languages.index(r.lang))
-    if len(languages) < 2:
-        return ByteCNN(languages)
-    return train(np.vstack(x), np.array(y), languages)
+    seen = np.zeros(1 << 24, bool)
+    for w in x:
+        seen[_trigrams(w)] = True
+    net = train(np.vstack(x), np.array(y), languages) if len(languages) > 1 else ByteCNN(languages)
+    net.seen = np.packbits(seen, bitorder="little")
+    return net
 
 
-def identify(docs: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, net: ByteCNN, text_col: str = "text", familiar: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the mean probability of the
-    prediction, 0 to 1).
+    prediction, 0 to 1); of equal probabilities the first language, by name.
+    ``familiar`` adds a column of that name, the text's ``familiarity``: the
+    network must choose a language, this tells a text in none of them.
 
     Only the text decides. A null, empty or letterless text, and any text
     under a network that knows no language, is ``und`` with score 0; a network
     of one language gives it with score 1. Rows and other columns stay as they
     are (columns named ``lang_pred`` or ``score`` are replaced).
     """
-    sent = (packed(docs, "lang_pred", "score").withColumn("_text", F.col("_row").getField(text_col))
+    new = ["lang_pred", "score", *(["familiar"] if familiar else [])]
+    seen, net = net.seen if familiar else None, replace(net, seen=None)
+    sent = (packed(docs, *new).withColumn("_text", F.col("_row").getField(text_col))
             .withColumn("_letters", has_letters("_text")))
-    schema = sent.select("_row").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = sent.select("_row").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0))
+    schema = (schema.withColumn("familiar", F.lit(0.0)) if familiar else schema).schema
 
     def run(batches):
         predict = Predictor(net) if net.conv else None
         names = np.array([*net.languages, UNKNOWN], object)
         for batch in batches:
-            lang, score = np.full(batch.num_rows, len(net.languages)), np.zeros(batch.num_rows)
+            lang, score, known = np.full(batch.num_rows, len(net.languages)), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             ok = batch["_letters"].to_numpy(zero_copy_only=False)
             if predict:
                 for i, j, buf, offs in text_chunks(batch["_text"], 1 << 17):
@@ -176,11 +209,13 @@ def identify(docs: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame
                     np.add.at(total, text, predict(w) * covered[:, None])
                     total /= np.maximum(np.diff(offs), 1)[:, None]
                     lang[i:j], score[i:j] = total.argmax(1), total.max(1)
+                    if familiar:
+                        known[i:j] = familiarity(buf, offs, seen)
             elif net.languages:
                 lang[:], score[:] = 0, 1
             lang[~ok], score[~ok] = len(net.languages), 0
             yield pa.RecordBatch.from_arrays(
-                [batch["_row"], pa.array(names[lang], pa.string()), pa.array(np.clip(score, 0, 1))],
-                ["_row", "lang_pred", "score"])
+                [batch["_row"], pa.array(names[lang], pa.string()), pa.array(np.clip(score, 0, 1)), *([pa.array(known)] if familiar else [])],
+                ["_row", *new])
 
-    return unpacked(bounded_batches(sent).mapInArrow(run, schema), "lang_pred", "score")
+    return unpacked(bounded_batches(sent).mapInArrow(run, schema), *new)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as C
 from pagemill.llm import mixing
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_CHECK, SF_SMALL
 from tests.llm.test_dedup import near, odd_rows, table
 
 
@@ -50,3 +50,26 @@ def test_odd_rows_pass(spark):
             docs = stage(spark, docs, SF_SMALL)
         got = docs.collect()
         assert len([r for r in got if r.doc_id == 9]) <= 1
+
+
+def test_language_stage(spark):
+    rng = random.Random(20)
+    consonants = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(3, 9))) for _ in range(80))
+    junk = [consonants, "for (int i = 0; i < n; ++i) { if (a[i] != b[i]) { return false; } } static const char* name = NULL;" * 4,
+            "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. " * 3,
+            "a " * 1000, "\u042d\u0442\u043e \u043f\u0440\u0435\u0434\u043b\u043e\u0436\u0435\u043d\u0438\u0435 \u043d\u0430 \u0440\u0443\u0441\u0441\u043a\u043e\u043c. " * 5,
+            "Ez a mondat magyar nyelven \u00edr\u00f3dott, hogy ellen\u0151rizz\u00fck a nyelv felismer\u00e9s\u00e9t. " * 5,
+            "\u8fd9\u53e5\u8bdd\u662f\u7528\u4e2d\u6587\u5199\u7684\u3002" * 8, None, "", " \n", "12 34 +"]
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    texts = {}
+    for r in docs.limit(600).collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    both = ["\n".join(rng.choice(texts[k])[:600] for k in rng.sample(sorted(texts), 2)) for _ in range(40)]
+    extra = [(10**9 + i, t, None, "x", 1) for i, t in enumerate(junk + both)] + [(None, both[0], "en", None, None)] * 2
+    out = C.language(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), SF_CHECK)
+    assert out.columns == docs.columns
+    kept = Counter(r.doc_id for r in out.collect())
+    assert not any(kept[10**9 + i] for i in range(len(junk)))
+    assert all(kept[10**9 + len(junk) + i] for i in range(len(both))) and kept[None] == 2
+    assert sum(n for d, n in kept.items() if d is not None and d < 10**9) >= 0.995 * docs.where("text RLIKE '[a-zA-Z]'").count()
+    assert C.language(spark, docs.limit(0), SF_CHECK).count() == 0
