@@ -7,11 +7,16 @@ before (convex), so nothing is repeated while fresh text is left that can fill
 a quota. The flow of a pattern then becomes whole passes over all its
 documents plus a seeded selection that fills the rest.
 
-The network (patterns x sources) is the only thing on the driver, bounded by
-``max_patterns``. The selection is a prefix in the order of a seeded hash,
-found without sorting a pattern: token sums by the first four hex digits of
-the hash (65,536 buckets a pattern at most) locate the one bucket where the
-quota ends, and only that bucket is ordered.
+The network (patterns x sources) and the ends of each selection are all that
+reaches the driver, bounded by ``max_patterns``. The selection goes in rounds
+over a seeded order. A round passes over documents that are too large for it
+and takes the rest until one would overrun the quota. Behind that one, the
+largest document that fits is taken if it fills half of what is still open;
+otherwise another round follows. Open tokens halve each time, so there are few
+rounds; in the end no document fits. An end is found without sorting a
+pattern: token sums by the first four hex digits of the hash (65,536 buckets a
+pattern at most) locate the bucket, and only that bucket is ordered. Rows equal
+in all columns are counted, not ordered: a third of all rows may be copies.
 """
 
 from __future__ import annotations
@@ -99,6 +104,98 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, max_passes: int, c
     return {p: sum(arcs[k ^ 1][1] for k in out[("p", p)] if k % 2 == 0 and arcs[k][0][0] == "s") for p in capacity}
 
 
+def _selection(units: DataFrame, rest: dict) -> tuple[list, list]:
+    """Which units (``_pattern``, ``_hash``, ``_size``, ``_n`` equal rows) fill
+    ``rest`` tokens of each pattern: rounds (pattern, low, high, limit), which
+    take all units between low and high, both exclusive, of at most ``limit``
+    tokens, and single units (pattern, hash, rows taken)."""
+    spark = units.sparkSession
+    upto = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("_pattern").orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = {p: ("", r) for p, r in rest.items() if r}  # last hash, open tokens
+    rounds, single, open_ = [], {}, {}
+
+    def picked():
+        return F.broadcast(spark.createDataFrame([(*k, n) for k, n in single.items()], "_pattern string, _hash string, _some long"))
+
+    while now:
+        # at most max_patterns rows
+        state = F.broadcast(spark.createDataFrame([(p, *v) for p, v in now.items()], "_pattern string, _low string, _rest long"))
+        fit = (units.join(state, "_pattern").where("_hash > _low AND _size <= _rest").join(picked(), ["_pattern", "_hash"], "left")
+               .withColumn("_n", F.expr("_n - coalesce(_some, 0)")).where("_n > 0").withColumn("_bucket", F.substring("_hash", 1, 4)))
+        sums = (fit.groupBy("_pattern", "_bucket", "_rest").agg(F.sum(F.expr("_size * _n")).alias("_sum"), F.min(F.expr("struct(-_size AS s, _hash)")).alias("_big"))
+                .withColumn("_upto", F.sum("_sum").over(upto)).groupBy("_pattern").agg(
+                    F.max("_upto").alias("total"), F.min("_big").alias("big"),
+                    F.min(F.expr("IF(_upto > _rest, struct(_bucket, _upto - _sum AS before), NULL)")).alias("cut")))
+        sums = {r["_pattern"]: r for r in sums.collect()}
+        fills = {p: r.big for p, r in sums.items() if now[p][0] and -2 * r.big.s >= now[p][1]}
+        cut = [(p, r.cut["_bucket"], r.cut["before"]) for p, r in sums.items() if r.cut and p not in fills]
+        ends = {}
+        if cut:
+            run = (fit.join(F.broadcast(spark.createDataFrame(cut, "_pattern string, _bucket string, _before long")), ["_pattern", "_bucket"])
+                   .withColumn("_run", F.col("_before") + F.sum(F.expr("_size * _n")).over(inner)).where("_run > _rest"))
+            ends = {r["_pattern"]: r.end for r in run.groupBy("_pattern").agg(
+                F.min(F.struct("_hash", "_size", F.expr("_run - _size * _n AS before"))).alias("end")).collect()}
+        after = {}
+        for p, (low, left) in now.items():
+            if p not in sums:  # nothing fits any more
+                open_[p] = left
+                continue
+            high = low
+            if p in fills:
+                one, got = fills[p]["_hash"], -fills[p].s
+                single[p, one] = single.get((p, one), 0) + 1
+            else:
+                high, got = "~", sums[p].total  # behind every hash
+                if p in ends:
+                    high, size, before = ends[p]
+                    copies = (left - before) // size
+                    got = before + copies * size
+                    if copies:
+                        single[p, high] = single.get((p, high), 0) + copies
+                rounds.append((p, low, high, left))
+            if left > got:
+                after[p] = high, left - got
+        now = after
+    if open_:
+        taken = F.broadcast(_by_pattern(spark, rounds))
+        gap = "abs(_size - _open)"
+        close = (units.join(F.broadcast(spark.createDataFrame(list(open_.items()), "_pattern string, _open long")), "_pattern")
+                 .where(f"{gap} < _open").join(taken, "_pattern", "left").join(picked(), ["_pattern", "_hash"], "left")
+                 .where(f"NOT {_TAKEN} AND coalesce(_some, 0) < _n")
+                 .groupBy("_pattern").agg(F.min(F.expr(f"struct({gap} AS gap, _hash)")).alias("best")))
+        for r in close.collect():
+            k = r["_pattern"], r.best["_hash"]
+            single[k] = single.get(k, 0) + 1
+    return rounds, [(*k, n) for k, n in single.items()]
+
+
+def _by_pattern(spark: SparkSession, rounds: list) -> DataFrame:
+    """One row per pattern with its rounds: not more of them, nor of single
+    units, than its quota has binary digits, plus two."""
+    return (spark.createDataFrame(rounds, "_pattern string, low string, high string, lim long")
+            .groupBy("_pattern").agg(F.collect_list(F.struct("low", "high", "lim")).alias("_rounds")))
+
+
+_TAKEN = "coalesce(exists(_rounds, r -> _hash > r.low AND _hash < r.high AND _size <= r.lim), false)"
+
+
+def _last_copies(rows: DataFrame, single: list) -> DataFrame:
+    """(pattern, hash, ``_last``): of the rows of a unit of which only some are
+    taken, those with ``_copy`` up to ``_last``. Copies are counted by the
+    partition that numbered them; only one partition's are ordered, a unit."""
+    some = F.broadcast(rows.sparkSession.createDataFrame(single, "_pattern string, _hash string, _some long"))
+    key = ["_pattern", "_hash"]
+    part = F.shiftright("_copy", 33).alias("_part")
+    rows = rows.join(some, key).select(*key, "_some", "_copy", part)
+    upto = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = (rows.groupBy(*key, "_some", "_part").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
+           .where("_upto >= _some AND _upto - _c < _some").select(*key, "_part", F.expr("_some - _upto + _c AS _nth")))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("_copy"))
+    return (rows.drop("_some").join(F.broadcast(staged(cut, "mix-copies")), [*key, "_part"]).withColumn("_rank", rank)
+            .where("_rank = _nth").select(*key, F.col("_copy").alias("_last")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", size_name: str = "size", sources_col: str = "sources",
         weights: tuple = (5, 2, 1), total_ratio: float = 1.5, max_passes: int = 2, seed: int = 17,
         max_patterns: int = 100_000) -> DataFrame:
@@ -110,16 +207,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size_name: str = "size", source
     (null elements are a source of their own; an empty or null array cannot be
     drawn and takes nothing). Weights repeat over the sources in code point
     order; the sources share ``total_ratio`` of all sizes, none more than
-    ``max_passes`` times its size. Rows that repeat an id have one place in
-    the seeded order and are taken together. Sizes of 0 and null sizes take 0. An empty table stays empty.
+    ``max_passes`` times its size. What a pattern takes differs from its flow
+    by less than the smallest document left over. Rows that repeat an id, or
+    have none, are ordered by their other columns (maps aside); of rows equal
+    in all columns it is open which are taken, not how many. Sizes of 0 and
+    null sizes take 0. An empty table stays empty.
     """
     spark: SparkSession = docs.sparkSession
     d = packed(docs, "source_size", "target", "taken")
     row, size_col = F.col("_row"), "_size"
+    told = [row.getField(f.name) for f in d.schema["_row"].dataType if not any(t in f.dataType.simpleString() for t in ("map<", "variant", "interval"))]
+    # the seeded order: the id decides, other columns tell rows of one id apart
+    order_by = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row.getField(id_col).cast("string"), F.lit("")))),
+                        F.lpad(F.lower(F.hex(F.xxhash64(*told))), 16, "0"))
     d = d.select("_row", F.coalesce(row.getField(size_name), F.lit(0)).cast("long").alias(size_col), F.sort_array(F.array_distinct(F.coalesce(
         row.getField(sources_col), F.array().cast("array<string>"))), asc=False).alias("_sources"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row.getField(id_col).cast("string"), F.lit("")))).alias("_hash"))
-    d = d.withColumn("_pattern", F.to_json("_sources"))
+        order_by.alias("_hash"), F.monotonically_increasing_id().alias("_copy"))
+    # written: a row keeps its number whatever is computed again
+    d = staged(d.withColumn("_pattern", F.to_json("_sources")), "mix-rows")
     per = (d.groupBy("_pattern").agg(F.sum(size_col).alias("n"), F.first("_sources").alias("src"))
            .limit(max_patterns + 1).collect())
     if len(per) > max_patterns:
@@ -135,36 +240,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size_name: str = "size", source
     want = dict(zip(order, want))
     flow = min_cost_flow({r["_pattern"]: r.n or 0 for r in per if members[r["_pattern"]]}, members,
                          {s: round(t) for s, t in want.items()}, max_passes, lambda i: i * i)
-    plan = []
+    plan, open_ = [], {}
     for r in per:
         p, n = r["_pattern"], r.n or 0
         first = min(members[p], key=lambda s: (s is None, s or ""), default=None)
         passes, rest = divmod(flow.get(p, 0), n) if n else (0, 0)
+        open_[p] = int(rest)
         plan.append((p, int(passes), int(rest), int(sizes.get(first, 0)), float(want.get(first, 0.0))))
     # one row per pattern: at most max_patterns rows
     plan = F.broadcast(spark.createDataFrame(plan, "_pattern string, _passes long, _rest long, source_size long, target double"))
     d = d.join(plan, "_pattern", "left")
-    part = d.where("_rest > 0").withColumn("_bucket", F.substring("_hash", 1, 4))
-    upto = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (part.groupBy("_pattern", "_bucket").agg(F.sum(size_col).alias("_sum"), F.first("_rest").alias("_rest"))
-           .withColumn("_upto", F.sum("_sum").over(upto))
-           .where("_upto >= _rest AND _upto - _sum < _rest")
-           .groupBy("_pattern").agg(F.min_by(F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("before")), "_bucket").alias("_cut")))
-    cut = F.broadcast(staged(cut, "mix-cut"))  # one row per pattern
-    inner = Window.partitionBy("_pattern").orderBy("_hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (part.join(cut, "_pattern").where("_bucket = _cut._bucket")
-            .withColumn("_run", F.col("_cut.before") + F.sum(size_col).over(inner))
-            .where("_run <= _rest").groupBy("_pattern").agg(F.max("_hash").alias("_last"), F.max("_run").alias("_got")))
-    edge = staged(edge, "mix-edge")
-    cut = staged(cut.join(F.broadcast(edge), "_pattern", "left").select(
-        "_pattern", F.coalesce("_last", "_cut._bucket").alias("_last"), F.coalesce("_got", "_cut.before").alias("_got")), "mix-cut")
-    cut = F.broadcast(cut)
-    # the one further document that comes closest to the rest of the quota
-    gap = F.abs(F.col(size_col) - (F.col("_rest") - F.col("_got")))
-    extra = (part.join(cut, "_pattern").where("_hash > _last").where(gap < F.col("_rest") - F.col("_got"))
-             .groupBy("_pattern").agg(F.min(F.struct(gap.alias("g"), F.col("_hash").alias("h"))).getField("h").alias("_extra")))
-    extra = F.broadcast(staged(extra, "mix-extra"))
-    picked = F.expr("coalesce(_rest > 0 AND (_hash <= _last OR _hash = _extra), false)")
-    return (d.join(cut, "_pattern", "left").join(extra, "_pattern", "left")
-            .withColumn("taken", F.col(size_col) * (F.coalesce("_passes", F.lit(0)) + picked.cast("long")))
+    units = staged(d.where(f"_rest > 0 AND {size_col} > 0").groupBy("_pattern", "_hash", size_col).agg(F.count("*").alias("_n")), "mix-units")
+    rounds, single = _selection(units, open_)
+    last = staged(_last_copies(d, single), "mix-last")
+    d = d.join(F.broadcast(_by_pattern(spark, rounds)), "_pattern", "left").join(F.broadcast(last), ["_pattern", "_hash"], "left")
+    picked = F.expr(f"{_TAKEN} OR coalesce(_copy <= _last, false)")
+    return (d.withColumn("taken", F.col(size_col) * (F.coalesce("_passes", F.lit(0)) + picked.cast("long")))
             .transform(lambda x: unpacked(x, "source_size", "target", "taken")))

@@ -80,14 +80,30 @@ f AS (SELECT coalesce(min(r), (SELECT count(*) + 1 FROM o)) AS r FROM o WHERE w
 t AS (SELECT source, n, CASE WHEN o.r < f.r THEN 2.0 * n ELSE w * (SELECT rest / wsum FROM o o2 WHERE o2.r = f.r) END::DOUBLE AS target FROM o, f),
 q AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE round_even(target, 0)::BIGINT // n END AS passes,
              CASE WHEN n = 0 THEN 0 ELSE round_even(target, 0)::BIGINT % n END AS need FROM t),
-c AS (SELECT d.*, q.n, q.target, q.passes, q.need,
-             sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-      FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source),
-g AS (SELECT *, need - coalesce(max(run) FILTER (WHERE run <= need) OVER (PARTITION BY source), 0) AS gap FROM c),
-e AS (SELECT source, min(struct_pack(g := abs(size - gap), h := h)) AS x FROM g
-      WHERE need > 0 AND run > need AND abs(size - gap) < gap GROUP BY source)
-SELECT doc_id, size, n AS source_size, round(target, 3) AS target,
-       (size * (passes + CASE WHEN need > 0 AND (run <= need OR h = x.h) THEN 1 ELSE 0 END))::BIGINT AS taken
+c AS (SELECT d.*, q.n, q.target, q.passes, q.need FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source),
+-- one row a step, behind lo: the largest document that fits if it fills half of what is open, or a
+-- round that takes documents of the order until one would overrun it: those between a and b up to lim
+r(source, j, lo, need, picks, a, b, lim) AS (
+  SELECT source, 0, '', need, []::VARCHAR[], '', '', 0::BIGINT FROM q WHERE need > 0
+  UNION ALL
+  (WITH x AS (SELECT r.*, c.h, c.size, sum(c.size) OVER (PARTITION BY r.source ORDER BY c.h) AS run
+              FROM r JOIN c ON c.source IS NOT DISTINCT FROM r.source AND c.h > r.lo AND c.size BETWEEN 1 AND r.need
+              WHERE NOT list_contains(r.picks, c.h)),
+        y AS (SELECT source, j, lo, need, picks, max(size) AS big, min(struct_pack(s := -size, h := h)).h AS one,
+                     coalesce(min(h) FILTER (WHERE run > need), '~') AS hi, coalesce(max(run) FILTER (WHERE run <= need), 0) AS got
+              FROM x GROUP BY source, j, lo, need, picks)
+   SELECT source, j + 1, CASE WHEN p THEN lo ELSE hi END, (need - CASE WHEN p THEN big ELSE got END)::BIGINT,
+          CASE WHEN p THEN list_append(picks, one) ELSE picks END,
+          CASE WHEN p THEN '' ELSE lo END, CASE WHEN p THEN '' ELSE hi END, need
+   FROM (SELECT *, j > 0 AND 2 * big >= need AS p FROM y))),
+i AS (SELECT *, max(j) OVER (PARTITION BY source) AS top FROM r),
+g AS (SELECT c.*, EXISTS (SELECT 1 FROM i WHERE i.source IS NOT DISTINCT FROM c.source AND (list_contains(i.picks, c.h)
+                          OR c.h > i.a AND c.h < i.b AND c.size BETWEEN 1 AND i.lim)) AS got FROM c),
+e AS (SELECT g.source, min(struct_pack(g := abs(g.size - i.need), h := g.h)) AS x
+      FROM g JOIN i ON i.source IS NOT DISTINCT FROM g.source AND i.j = i.top
+      WHERE NOT got AND g.size > 0 AND abs(g.size - i.need) < i.need GROUP BY g.source)
+SELECT doc_id, size, n AS source_size, target,
+       (size * (passes + CASE WHEN got OR coalesce(h = x.h, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM g LEFT JOIN e ON e.source IS NOT DISTINCT FROM g.source
 """
 

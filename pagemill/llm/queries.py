@@ -55,9 +55,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.array("source").alias("sources"), mixing.word_count("text").alias("size"))
-    out = mixing.mix(staged(docs, "mix-sizes"))
-    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+        "doc_id", F.array("source").alias("sources"), mixing.word_count("text").alias("size"), F.xxhash64("text").alias("text_hash"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query

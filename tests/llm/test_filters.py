@@ -183,6 +183,26 @@ def test_toxicity(spark):
     assert same == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_is_near_its_target(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "w " * 100, "a") for i in range(50)] + [(50, "w " * 20_000, "a")]  # one document holds nearly all
+    rows += [(None, "w " * 100, "b")] * 200 + [(None, "w " * 30 + str(i), "b") for i in range(9)]  # rows equal in all columns
+    rows += [(100 + i % 70, "w " * int(rng.paretovariate(0.8) * 5 % 4000), "c") for i in range(300)]  # repeated ids, skewed sizes
+    docs = table(spark, rows).withColumn("size", mixing.word_count("text")).withColumn("sources", F.array("source"))
+    for parts in (1, 7):
+        got = mixing.mix(docs.repartition(parts), weights=(1, 9, 4), total_ratio=0.6, seed=seed).drop("sources").collect()
+        assert len(got) == len(rows)
+        for s in "abc":
+            own = [r for r in got if r.source == s]
+            left = min((r.size for r in own if r.size and r.taken < 2 * r.size), default=0)
+            assert abs(sum(r.taken for r in own) - round(own[0].target)) < max(left, 1)
+            assert all(r.taken in (0, r.size, 2 * r.size) for r in own)
+        if parts == 1:
+            first = Counter(tuple(r) for r in got)
+    assert Counter(tuple(r) for r in got) == first
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
             ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
