@@ -4,7 +4,8 @@ Benchmark items are a stated query set, taken in blocks of bounded size; every
 document is compared with each block in one narrow ``mapInArrow`` (no
 shuffle). For an item of n words, windows of n words slide over a document
 wherever it shares a 5-word shingle with the item (a window without one has
-similarity 0, so nothing is lost). A window's 64-bit SimHash over its weighted
+similarity 0, so nothing is lost); an item of under 5 words is one shingle, and
+so is each window of its size. A window's 64-bit SimHash over its weighted
 shingles is looked up in a multi-index: fingerprints are cut into four blocks
 of 16 bits, two fingerprints within a radius of 19 differ by at most 4 bits in
 one of them, and each block's table lists the items within 4 bits of every
@@ -32,6 +33,7 @@ from pagemill.llm.common import U64, bounded_batches, kgrams, mix64, text_chunks
 
 K, BLOCKS, RADIUS = 5, 4, 19
 _TABLE = 1 << 22
+_PIECE = 4096  # windows whose fingerprints are made at once
 
 
 @dataclass
@@ -50,9 +52,11 @@ def _shingles(h: np.ndarray, sizes: np.ndarray, woffs: np.ndarray):
     return g, c[at + K] - c[at], koffs, per_word
 
 
-def _short(h: np.ndarray, per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    g, _, _ = kgrams(h, np.array([0, len(h)]), len(h))
-    return mix64(g + U64(len(h))), np.array([per_word.sum()])
+def _whole(h: np.ndarray, woffs: np.ndarray, n: int):
+    """Hash of every window of ``n`` words, n under 5, as the one shingle it
+    has, and the window offsets per text."""
+    g, _, koffs = kgrams(h, woffs, n)
+    return mix64(g + U64(n)), koffs
 
 
 def fingerprints(g: np.ndarray, w: np.ndarray, span: int) -> np.ndarray:
@@ -109,7 +113,9 @@ class Block:
                 h, s, e, woffs = tokenize(buf, offs)
                 if len(h):
                     g, w, _, per = _shingles(h, e - s, woffs)
-                    self.items.append(Item(key, len(h), *((g, w) if len(h) >= K else _short(h, per))))
+                    if len(h) < K:
+                        g, w = _whole(h, woffs, len(h))[0], np.array([per.sum()])
+                    self.items.append(Item(key, len(h), g, w))
         self.sizes = np.array([i.words for i in self.items], np.int64)
         self.index = MultiIndex(np.concatenate([fingerprints(i.shingles, i.weights, len(i.shingles)) for i in self.items])) if self.items else None
         self.bags = [Counter(i.shingles.tolist()) for i in self.items]
@@ -127,18 +133,34 @@ class Block:
         n = hi - lo
         return np.repeat(at, n), self.own[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
 
+    def short_matches(self, h: np.ndarray, woffs: np.ndarray):
+        """(text, (item, first word, words, similarity)): windows equal to an
+        item of under 5 words, the first of each text and item. Such a window
+        is one shingle, so its similarity is 1 or 0."""
+        for n in np.unique(self.sizes[self.sizes < K]).tolist():
+            g, koffs = _whole(h, woffs, n)
+            pos, item = self.seeds(g)
+            pos, item = pos[self.sizes[item] == n], item[self.sizes[item] == n]
+            doc = np.searchsorted(koffs, pos, "right") - 1
+            _, first = np.unique(doc * len(self.items) + item, return_index=True)
+            for d, i, x in zip(doc[first].tolist(), item[first].tolist(), (pos - koffs[doc])[first].tolist()):
+                yield d, (i, x, n, 1.0)
+
     def matches(self, g: np.ndarray, w: np.ndarray, words: int, threshold: float):
-        """(item, first word, words, similarity): the best window of each item in one text."""
+        """(item, first word, words, similarity): the best window of each item
+        of at least 5 words in one text."""
         pos, item = self.seeds(g)
         best: dict = {}
-        for n in np.unique(self.sizes[item]).tolist():
+        for n in np.unique(self.sizes[item][self.sizes[item] >= K]).tolist():
             span = min(max(n - K + 1, 1), len(g))  # shingles of a window
             seeds = np.unique(pos[self.sizes[item] == n])
             last = len(g) - span
             lo, hi = np.clip(seeds - span + 1, 0, last), np.clip(seeds, 0, last)
             # windows around the seeds, as disjoint stretches
             cut = np.flatnonzero(lo[1:] > hi[:-1] + 1) + 1
-            for a, b in zip(lo[np.concatenate(([0], cut))].tolist(), hi[np.append(cut, len(hi)) - 1].tolist()):
+            ends = zip(lo[np.concatenate(([0], cut))].tolist(), hi[np.append(cut, len(hi)) - 1].tolist())
+            # in pieces, so that memory follows the item and not the text
+            for a, b in ((x, min(x + _PIECE, b + 1) - 1) for a, b in ends for x in range(a, b + 1, _PIECE)):
                 f = fingerprints(g[a:b + span], w[a:b + span], span)
                 win, near, dist = self.index.find(f)
                 ok = self.sizes[near] == n
@@ -160,10 +182,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Texts are lower-cased (A-Z) and split at ASCII white space. A document
     shorter than an item is one window; fewer than 5 words are one shingle.
-    Null, empty and blank texts and items match nothing; rows and items that
+    ``id_col`` and ``item_col`` must differ. Null, empty and blank texts and items match nothing; rows and items that
     repeat an id are compared each. An empty table gives an empty result;
     other columns are ignored.
     """
+    if id_col.lower() == item_col.lower():
+        raise ValueError("id_col and item_col name one column of the result")
     spark = docs.sparkSession
     types = {c: t for c, t in [*docs.select(id_col).dtypes, *benchmark.select(item_col).dtypes]}
     schema = f"`{id_col}` {types[id_col]}, `{item_col}` {types[item_col]}, start long, n_words long, similarity double"
@@ -187,15 +211,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         continue
                     g, w, koffs, per = _shingles(h, e - s, woffs)
                     words = np.diff(woffs)
-                    hit = np.unique(np.searchsorted(koffs, index.seeds(g)[0], "right") - 1)
-                    for d in np.union1d(hit, np.flatnonzero((words > 0) & (words < K))).tolist():
-                        if words[d] < K:
-                            gs, ws = _short(h[woffs[d]:woffs[d + 1]], per[woffs[d]:woffs[d + 1]])
-                        else:
-                            gs, ws = g[koffs[d]:koffs[d + 1]], w[koffs[d]:koffs[d + 1]]
-                        for m in index.matches(gs, ws, int(words[d]), threshold):
+                    for d in np.unique(np.searchsorted(koffs, index.seeds(g)[0], "right") - 1).tolist():
+                        for m in index.matches(g[koffs[d]:koffs[d + 1]], w[koffs[d]:koffs[d + 1]], int(words[d]), threshold):
                             doc.append(i + d)
                             found.append(m)
+                    for d, m in index.short_matches(h, woffs):
+                        doc.append(i + d)
+                        found.append(m)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(doc, pa.int64())), pa.array([index.items[m[0]].id for m in found], arrow_type),
                      pa.array([m[1] for m in found], pa.int64()), pa.array([m[2] for m in found], pa.int64()),

@@ -103,6 +103,43 @@ def test_leaks(spark):
     assert decontam.find_leaks(table(spark, []), bench).count() == 0
 
 
+def brute_leaks(rows, items):
+    """Every window of the item's size, compared by strings."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    weigh = lambda w: sum(int(np.rint(8 * np.log1p(len(x.encode())))) for x in w)
+    bag = lambda w: Counter(tuple(w[i:i + min(5, len(w))]) for i in range(max(1, len(w) - 4)))
+    out = {}
+    for k, item in items:
+        b = split(item)
+        for i, text, _ in rows:
+            d, best = split(text), None
+            for x in range(max(1, len(d) - len(b) + 1) if b and d else 0):
+                a = bag(d[x:x + len(b)])
+                low, high = (sum(f(a[g], bag(b)[g]) * weigh(g) for g in set(a) | set(bag(b))) for f in (min, max))
+                if low / high >= 0.75 and (best is None or low / high > best[2]):
+                    best = x, min(len(b), len(d)), low / high
+            if best:
+                out[i, k] = best
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(21)
+    items = [(k, words(rng, rng.choice([1, 2, 3, 4, 5, 6, 12, 25]))) for k in range(24)] + [(30, "the secret answer forty"), (31, "the secret answer forty")]
+    rows = [(i, words(rng, rng.randrange(1, 60)), "s") for i in range(30)]
+    for i in range(240):  # items with a few words changed, inside other words, some twice
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((1000 + i, " ".join([words(rng, rng.randrange(30)), *w, words(rng, rng.randrange(9)), *w * (i % 2)]), "s"))
+    rows += [(200, "a long text holds the  secret\tanswer FORTY " * 3, "s"), (201, "the secret answer", "s"), (202, "forty", "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in decontam.find_leaks(table(spark, rows), bench, block_items=7).collect()}
+    want = brute_leaks(rows, items)
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()} and len(want) > 60
+    assert all(got[k][2] == pytest.approx(want[k][2]) for k in want) and got[200, 30][:2] == (3, 4)
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     net = langid.fit(docs.where(remainder(3) != 1), max_docs=400)
