@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data, all in SQL functions.
 
 Base spans (email, ip, card, phone) are found by patterns. Their values are
-the protected entities. A term, a lower-cased word near an entity, discloses
-it when the corpus says so: with document frequencies df over all documents
+the protected entities. A term, a lower-cased word near an entity that no base
+span overlaps, discloses it when the corpus says so: with document frequencies df over all documents
 and n(t, e) the number of distinct contexts of e that hold t,
 
     pmi(t, e) = ln(n(t, e) * N / (df(t) * df(e))),    ic(e) = ln(N / df(e)),
@@ -52,6 +52,7 @@ _VALID = {
             "a -> a.s % 10 = 0)",
     "phone": r"length(regexp_replace(x.v, '[^0-9]', '')) BETWEEN 10 AND 15",
 }
+_HOLE = r"'\u0003'"
 SPAN = "array<struct<s: bigint, e: bigint, k: int, v: string>>"
 
 
@@ -93,22 +94,31 @@ def _entity(x: str = "x") -> str:
     return (f"concat({x}.k, ':', IF({x}.k = 0, lower({x}.v), IF({x}.k = 1, {x}.v, regexp_replace({x}.v, '[^0-9]', ''))))")
 
 
+def _blanked(text: str, spans: str) -> str:
+    """``text`` with every base span turned into as many ``_HOLE`` marks."""
+    return (f"aggregate({spans}, named_struct('at', 0L, 'out', ''), (a, x) -> IF(x.e <= a.at, a, named_struct('at', x.e, 'out', concat(a.out, "
+            f"substring({text}, int(a.at) + 1, int(greatest(x.s - a.at, 0))), repeat({_HOLE}, int(x.e - greatest(x.s, a.at)))))), "
+            f"a -> concat(a.out, substring({text}, int(a.at) + 1, length({text}))))")
+
+
 def _context(text: str, reach: int) -> str:
-    """Distinct words within ``reach`` characters on either side of span x, without words cut at the outer edge."""
+    """Distinct words within ``reach`` characters on either side of span x, without
+    words cut at the outer edge and words that overlap a base span."""
     left = f"substring({text}, int(greatest(x.s - {reach}, 0)) + 1, int(least(x.s, {reach})))"
     right = f"substring({text}, int(x.e) + 1, {reach})"
     left = f"IF(x.s > {reach}, regexp_replace({left}, '^{_NOT_SPACE}+', ''), {left})"
     right = f"IF(x.e + {reach} < length({text}), regexp_replace({right}, '{_NOT_SPACE}+$', ''), {right})"
     return (f"array_sort(array_distinct(filter(concat(split({left}, '{_SPACE}+'), split({right}, '{_SPACE}+')), "
-            "w -> w <> '' AND NOT w RLIKE '[0-9@]')))")
+            f"w -> w <> '' AND instr(w, {_HOLE}) = 0)))")
 
 
 def disclosing_terms(docs: DataFrame, held: DataFrame, reach: int = 64, min_contexts: int = 3, generalise_at: float = 0.6,
                      remove_at: float = 0.9) -> DataFrame:
     """``docs``: all rows, lower-cased as _low; ``held``: (_low, _base,
     _entities) of those with base spans. Returns (entity, term, action)."""
+    held = held.withColumn("_open", F.expr(_blanked("translate(_low, '\\u0003', ' ')", "_base")))
     near = held.select(
-        F.explode(F.expr(f"transform(_base, x -> named_struct('entity', {_entity()}, 'words', {_context('_low', reach)}))")).alias("c"),
+        F.explode(F.expr(f"transform(_base, x -> named_struct('entity', {_entity()}, 'words', {_context('_open', reach)}))")).alias("c"),
         F.xxhash64("_low").alias("doc"))
     near = staged(near.select("c.entity", F.explode("c.words").alias("term"), F.xxhash64("c.words").alias("ctx"), "doc"), "pii-contexts")
     pairs = (near.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
@@ -162,7 +172,10 @@ def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 64, min_conte
             .join(terms, "entity").groupBy("_entities")
             .agg(F.collect_set("term").alias("_all"), F.collect_set(F.when(F.col("action") == 2, F.col("term"))).alias("_gone")))
     sets = staged(sets, "pii-sets")
-    d = d.join(sets, "_entities", "left")
+    # texts without entities take no part in the join
+    d = (d.where("_entities IS NOT NULL").join(sets, "_entities", "left").select("_row", "_text", "_base", "_all", "_gone")
+         .unionByName(d.where("_entities IS NULL").select("_row", "_text", "_base", F.expr("cast(NULL AS array<string>) AS _all"),
+                                                          F.expr("cast(NULL AS array<string>) AS _gone"))))
     pattern = (f"concat('(?<!{_NOT_SPACE})(?:', array_join(transform(array_sort(_all), w -> concat('\\\\Q', replace(w, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')), '|'), "
                f"')(?!{_NOT_SPACE})')")
     d = (d.withColumn("_low", F.when(F.col("_all").isNotNull(), low)).withColumn("_pat", F.expr(f"CASE WHEN _all IS NOT NULL THEN {pattern} END"))
