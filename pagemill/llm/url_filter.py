@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import UPPER, staged
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-# suffixes of two labels; others have one
-TWO_LABEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+# under a country's two letters these labels are no owner's name, so the suffix has two labels
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "go", "ltd", "me", "mil", "net", "ne", "nom", "or", "org", "plc", "sch")
 
 
 def host_of(url: Column) -> Column:
@@ -46,14 +46,23 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, action
 
 
-def _levels(df: DataFrame) -> DataFrame:
-    """``domain`` and ``suffix`` of ``host`` (a port is ignored)."""
-    two = ",".join(f"'{s}'" for s in TWO_LABEL)
-    return (df.withColumn("_l", F.expr("split(regexp_replace(host, ':[0-9]*$', ''), '[.]')"))
-            .withColumn("_n", F.expr(f"IF(array_join(slice(_l, -least(2, size(_l)), 2), '.') IN ({two}), 2, 1)"))
-            .withColumn("suffix", F.expr("array_join(slice(_l, -least(_n, size(_l)), _n), '.')"))
-            .withColumn("domain", F.expr("array_join(slice(_l, -least(_n + 1, size(_l)), _n + 1), '.')"))
-            .drop("_l", "_n"))
+def _levels(df: DataFrame, suffixes=()) -> DataFrame:
+    """``domain`` and ``suffix`` of ``host`` (a port is ignored). The longest
+    of the ``suffixes`` that ends the host, of at most four labels, else by
+    rule one or two labels. An address in numbers is all of them."""
+    second = ",".join(f"'{s}'" for s in SECOND_LEVEL)
+    listed = sorted({s.strip(". ").lower() for s in suffixes})
+    df = (df.withColumn("_h", F.regexp_replace("host", ":[0-9]*$", "")).withColumn("_l", F.split("_h", "[.]"))
+          .withColumn("_n", F.expr(f"IF(size(_l) > 1 AND length(_l[size(_l) - 1]) = 2 AND _l[size(_l) - 2] IN ({second}), 2, 1)")))
+    last = lambda n: F.expr(f"array_join(slice(_l, -least({n}, size(_l)), {n}), '.')")
+    for n in range(1, 5):
+        some = [s for s in listed if s.count(".") == n - 1]
+        if some:
+            df = df.withColumn("_n", F.when(last(n).isin(some) & (F.size("_l") >= n), n).otherwise(F.col("_n")))
+    number = F.expr(r"_h RLIKE '^[0-9]+([.][0-9]+){3}$' OR startswith(_h, '[')")
+    return (df.withColumn("suffix", F.when(number, F.col("_h")).otherwise(last("_n")))
+            .withColumn("domain", F.when(number, F.col("_h")).otherwise(last("(_n + 1)")))
+            .drop("_h", "_l", "_n"))
 
 
 def _concentration(groups: DataFrame) -> float:
@@ -70,13 +79,13 @@ def _concentration(groups: DataFrame) -> float:
     return 1 / min(max(rho, 1e-6), 0.5) - 1
 
 
-def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, tuple[float, float] | None]:
+def host_reputation(outcomes: DataFrame, suffixes=()) -> tuple[DataFrame, tuple[float, float] | None]:
     """``outcomes``: (host, bad 0/1 or null). One row per suffix, domain and
     host that has outcomes: ``level``, ``name``, ``rate`` (posterior mean of
     bad) and ``strength`` (its beta parameters' sum); and the corpus's (rate,
     strength), None without any outcome. Null outcomes are no evidence. Only
     sums over a level reach the driver."""
-    per = (_levels(outcomes.where("bad IS NOT NULL"))
+    per = (_levels(outcomes.where("bad IS NOT NULL"), suffixes)
            .groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("bad").alias("k")))
     per = staged(per, "hosts")
     top = per.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -95,22 +104,23 @@ def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, tuple[float, float]
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url",
-               rules=RULES, max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+               rules=RULES, max_bad: float = 0.5, z: float = 1.645, suffixes=()) -> DataFrame:
     """One row per page: ``id_col``, host, path, rule, verdict, and the host's
     ``bad_bound`` (lower posterior bound of its bad rate; null when nothing is
     labelled at all, which allows).
 
-    ``outcomes`` holds (host, bad). A null url or one without ``://`` has
+    ``outcomes`` holds (host, bad); ``suffixes`` may list the names of a public
+    suffix table (some ten thousand). A null url or one without ``://`` has
     empty host and path. Repeated pages and labels count as often as they
     occur; other columns are ignored. An empty table gives an empty one.
     """
-    rep, corpus = host_reputation(outcomes)
+    rep, corpus = host_reputation(outcomes, suffixes)
     rep = staged(rep, "reputation")
     url = F.col(url_col)
     p = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, action = match_rule(F.col("host"), F.col("path"), rules)
     # one row per distinct host carries the fallback through the levels
-    hosts = _levels(p.select("host").distinct())
+    hosts = _levels(p.select("host").distinct(), suffixes)
     for level in ("host", "domain", "suffix"):
         hosts = hosts.join(rep.where(F.col("level") == level).select(
             F.col("name").alias(level), F.struct("rate", "strength").alias(f"_{level}")), level, "left")
