@@ -51,6 +51,20 @@ def test_targets_and_flow():
     assert mixing.min_cost_flow(cap, {"a": ["A"], "ab": ["A", "B"], "b": ["B"]}, {"A": 100, "B": 110}, 2, lambda i: i * i) == cap
 
 
+def test_levels(spark):
+    hosts = {"a.gov.uk": ("a.gov.uk", "gov.uk"), "x.shop.com.cn": ("shop.com.cn", "com.cn"), "www.b.co.kr:80": ("b.co.kr", "co.kr"),
+             "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "me.github.io": ("github.io", "io"), "co.uk": ("co.uk", "co.uk"),
+             "www.com.com": ("com.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.b.example.org": ("example.org", "org")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in url_filter._levels(df).collect()} == hosts
+    listed = {r.host: (r.domain, r.suffix) for r in url_filter._levels(df, ["github.io", "x.shop.com.cn"]).collect()}
+    assert listed == hosts | {"me.github.io": ("me.github.io", "github.io"), "x.shop.com.cn": ("x.shop.com.cn", "x.shop.com.cn")}
+    # bad pages of one owner under gov.uk say nothing of another's domain
+    bad = spark.createDataFrame([("a.gov.uk", 1)] * 40 + [("b.gov.uk", 0)] * 40 + [(f"h{i}.org", 0) for i in range(40)], "host string, bad int")
+    pages = spark.createDataFrame([(1, "http://nice.gov.uk/x"), (2, "http://a.gov.uk/x")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, bad).collect()} == {1: "allow", 2: "block"}
+
+
 def test_mix(spark):
     rng = random.Random(7)
     rows = [(i, words(rng, rng.randrange(60)), rng.choice(["a", "b", "c", None])) for i in range(300)] + [(5, None, "d"), (None, "x y", "d"), (300, "q", "d"), (300, "q", "d")]
@@ -136,8 +150,11 @@ def test_leaks_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in decontam.find_leaks(table(spark, rows), bench, block_items=7).collect()}
     want = brute_leaks(rows, items)
-    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()} and len(want) > 60
-    assert all(got[k][2] == pytest.approx(want[k][2]) for k in want) and got[200, 30][:2] == (3, 4)
+    missed = {k for k, v in want.items() if k not in got or got[k][:2] != v[:2]}
+    assert set(got) <= set(want) and len(want) > 100
+    # few words changed of a short item can put its fingerprint outside the radius
+    assert len(missed) <= 0.02 * len(want) and all(want[k][2] < 0.8 for k in missed)
+    assert all(got[k][2] == pytest.approx(want[k][2]) for k in set(want) - missed) and got[200, 30][:2] == (4, 4)
 
 
 def test_language(spark):
@@ -279,3 +296,49 @@ def test_disclosing_terms(spark):
     assert all(not out[i, t].spans and out[i, t].sanitised == (t or "") for i, t, _ in rows[6:46])
     assert {len(out[i, t].spans) for i, t, _ in rows if 200 <= i < 300} == {1}
     assert pii.sanitise(table(spark, [])).count() == 0
+
+
+def test_terms_with_digits_and_rows_without_entities(spark):
+    rng = random.Random(22)
+    rows = [(i, words(rng, 40) + f" pay acct-4417 or <jo.doe@mail.example.org>, {words(rng, 30)}", "s") for i in range(6)]
+    rows += [(50 + i, words(rng, 50) + " pay by card or cash", "s") for i in range(60)]
+    docs = table(spark, rows)
+    out = pii.sanitise(docs)
+    for r in out.where("doc_id < 6").collect():
+        assert {(s.k, s.v) for s in r.spans} == {(0, "jo.doe@mail.example.org"), (5, "acct-4417")}
+        assert "acct-4417" not in r.sanitised and " <[email]>, " in r.sanitised
+    assert all(not r.spans and r.sanitised == r.text for r in out.where("doc_id >= 50").collect()) and out.count() == len(rows)
+
+
+def test_disclosure_against_brute_force(spark):
+    rng = random.Random(23)
+    people = ["ann@a.example.org", "bob@b.example.org", "10.1.2.3"]
+    rows = []
+    for i in range(160):
+        who = rng.choice(people + [None] * 5)
+        own = [f"term{people.index(who)}{rng.randrange(3)}" for _ in range(2)] if who and rng.random() < 0.8 else []
+        if rng.random() < 0.06:
+            own.append(f"term{rng.randrange(3)}{rng.randrange(3)}")
+        rows.append((i, " ".join([words(rng, 20), *own, who or "", words(rng, 5)]), "s"))
+    n, texts = len(rows), [t for _, t, _ in rows]
+    df, want = Counter(w for t in texts for w in set(t.split())), {}
+    for who in people:
+        contexts = set()
+        for t in texts:
+            if who in t.split():
+                at = t.index(who)
+                left = t[max(at - 64, 0):at]
+                left = left if at <= 64 else left.partition(" ")[2] if not left.startswith(" ") else left
+                right = t[at + len(who):][:64]
+                right = right if len(t) - at - len(who) <= 64 else right.rpartition(" ")[0] if not right.endswith(" ") else right
+                contexts.add(frozenset((left + " " + right).split()) - set(people))
+        for w, k in Counter(w for c in contexts for w in c).items():
+            share = np.log(k * n / (df[w] * df[who])) / np.log(n / df[who])
+            if k >= 3 and share >= 0.6:
+                want[who, w] = 5 if share >= 0.9 else 4
+    got = {}
+    for r in pii.sanitise(table(spark, rows)).collect():
+        for who in people:
+            if who in r.text.split():
+                got |= {(who, s.v): s.k for s in r.spans if s.k > 3}
+    assert got == want and len(want) > 4
