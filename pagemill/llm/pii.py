@@ -159,21 +159,21 @@ def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 64, min_conte
     rows count as documents of their own, their contexts once. An empty table
     stays empty. Terms apply to documents that hold the entity they disclose.
     """
-    d = packed(docs, "spans", "sanitised").withColumn("_text", F.coalesce(F.col("_row").getField(text_col), F.lit("")))
-    d = base_spans(d, "_text")
-    keys = F.expr(f"CASE WHEN size(_base) > 0 THEN array_sort(array_distinct(transform(_base, x -> {_entity()}))) END")
-    d = d.withColumn("_entities", keys)
+    text = F.coalesce(F.col("_row").getField(text_col), F.lit("")).alias("_text")
+    d = base_spans(packed(docs, "spans", "sanitised").select("_row", text), "_text")
+    d = d.withColumn("_entities", F.expr(f"CASE WHEN size(_base) > 0 THEN array_sort(array_distinct(transform(_base, x -> {_entity()}))) END"))
     low = lower_ascii(F.col("_text"))
-    # spans are searched for twice: for the documents that hold any, and for the result
-    held = staged(d.where("_entities IS NOT NULL").select(low.alias("_low"), "_base", "_entities"), "pii-held")
-    terms = staged(disclosing_terms(d.select(low.alias("_low")), held, reach, min_contexts, generalise_at, remove_at), "pii-disclosing")
+    # spans are searched for twice: for the documents that hold any, written once, and for the others
+    held = staged(d.where("_entities IS NOT NULL").select("_row", "_base", "_entities"), "pii-held").select("*", text)
+    terms = staged(disclosing_terms(packed(docs).select(text).select(low.alias("_low")), held.select(low.alias("_low"), "_base", "_entities"),
+                                    reach, min_contexts, generalise_at, remove_at), "pii-disclosing")
     # the terms of each set of entities that one document holds
     sets = (held.select("_entities").distinct().withColumn("entity", F.explode("_entities"))
             .join(terms, "entity").groupBy("_entities")
             .agg(F.collect_set("term").alias("_all"), F.collect_set(F.when(F.col("action") == 2, F.col("term"))).alias("_gone")))
     sets = staged(sets, "pii-sets")
     # texts without entities take no part in the join
-    d = (d.where("_entities IS NOT NULL").join(sets, "_entities", "left").select("_row", "_text", "_base", "_all", "_gone")
+    d = (held.join(sets, "_entities", "left").select("_row", "_text", "_base", "_all", "_gone")
          .unionByName(d.where("_entities IS NULL").select("_row", "_text", "_base", F.expr("cast(NULL AS array<string>) AS _all"),
                                                           F.expr("cast(NULL AS array<string>) AS _gone"))))
     pattern = (f"concat('(?<!{_NOT_SPACE})(?:', array_join(transform(array_sort(_all), w -> concat('\\\\Q', replace(w, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')), '|'), "
