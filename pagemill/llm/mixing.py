@@ -13,7 +13,8 @@ over a seeded order. A round passes over documents that are too large for it
 and takes the rest until one would overrun the quota. Behind that one, the
 largest document that fits is taken if it fills half of what is still open;
 otherwise another round follows. Open tokens halve each time, so there are few
-rounds; in the end no document fits. An end is found without sorting a
+rounds; in the end no document fits. One document alone, or the first round with the
+document closest to its rest, stands instead where that comes nearer. An end is found without sorting a
 pattern: token sums by the first four hex digits of the hash (65,536 buckets a
 pattern at most) locate the bucket, and only that bucket is ordered. Rows equal
 in all columns are counted, not ordered: a third of all rows may be copies.
@@ -118,6 +119,18 @@ def _selection(units: DataFrame, rest: dict) -> tuple[list, list]:
     def picked():
         return F.broadcast(spark.createDataFrame([(*k, n) for k, n in single.items()], "_pattern string, _hash string, _some long"))
 
+    def closest(left: dict) -> dict:
+        """(distance, hash) of the document not taken that is closest to what is open."""
+        gap = "abs(_size - _open)"
+        close = (units.join(F.broadcast(spark.createDataFrame(list(left.items()), "_pattern string, _open long")), "_pattern")
+                 .where(f"{gap} < _open").join(F.broadcast(_by_pattern(spark, rounds)), "_pattern", "left")
+                 .join(picked(), ["_pattern", "_hash"], "left").where(f"NOT {_TAKEN} AND coalesce(_some, 0) < _n")
+                 .groupBy("_pattern").agg(F.min(F.expr(f"struct({gap} AS gap, _hash)")).alias("best")))
+        return {r["_pattern"]: (r.best.gap, r.best["_hash"]) for r in close.collect()} if left else {}
+
+    early = {p: (left, None) for p, (_, left) in now.items()}
+    early |= closest({p: left for p, (_, left) in now.items()})
+    start, ends_at = None, dict.fromkeys(early, 0)
     while now:
         # at most max_patterns rows
         state = F.broadcast(spark.createDataFrame([(p, *v) for p, v in now.items()], "_pattern string, _low string, _rest long"))
@@ -157,16 +170,24 @@ def _selection(units: DataFrame, rest: dict) -> tuple[list, list]:
             if left > got:
                 after[p] = high, left - got
         now = after
-    if open_:
-        taken = F.broadcast(_by_pattern(spark, rounds))
-        gap = "abs(_size - _open)"
-        close = (units.join(F.broadcast(spark.createDataFrame(list(open_.items()), "_pattern string, _open long")), "_pattern")
-                 .where(f"{gap} < _open").join(taken, "_pattern", "left").join(picked(), ["_pattern", "_hash"], "left")
-                 .where(f"NOT {_TAKEN} AND coalesce(_some, 0) < _n")
-                 .groupBy("_pattern").agg(F.min(F.expr(f"struct({gap} AS gap, _hash)")).alias("best")))
-        for r in close.collect():
-            k = r["_pattern"], r.best["_hash"]
-            single[k] = single.get(k, 0) + 1
+        if start is None:
+            start = list(rounds), dict(single)
+            once = {p: (left, None) for p, (_, left) in after.items()}
+            once |= closest({p: left for p, (left, _) in once.items()})
+            for p in once:
+                if once[p][0] < early[p][0]:
+                    early[p], ends_at[p] = once[p], 1
+    start = start or ([], {})  # no quota at all
+    last = closest(open_)
+    for p, left in open_.items():
+        last.setdefault(p, (left, None))
+    # the end, or the first round's with its closest document, whichever is nearer
+    sooner = {p for p in early if early[p][0] <= last.get(p, (0,))[0]}
+    rounds = [r for r in rounds if r[0] not in sooner] + [r for r in start[0] if r[0] in sooner and ends_at[r[0]]]
+    single = {k: n for k, n in single.items() if k[0] not in sooner} | {k: n for k, n in start[1].items() if k[0] in sooner and ends_at[k[0]]}
+    for p, (_, one) in (last | {p: early[p] for p in sooner}).items():
+        if one is not None:
+            single[p, one] = single.get((p, one), 0) + 1
     return rounds, [(*k, n) for k, n in single.items()]
 
 

@@ -97,14 +97,17 @@ r(source, j, lo, need, picks, a, b, lim) AS (
           CASE WHEN p THEN '' ELSE lo END, CASE WHEN p THEN '' ELSE hi END, need
    FROM (SELECT *, j > 0 AND 2 * big >= need AS p FROM y))),
 i AS (SELECT *, max(j) OVER (PARTITION BY source) AS top FROM r),
-g AS (SELECT c.*, EXISTS (SELECT 1 FROM i WHERE i.source IS NOT DISTINCT FROM c.source AND (list_contains(i.picks, c.h)
-                          OR c.h > i.a AND c.h < i.b AND c.size BETWEEN 1 AND i.lim)) AS got FROM c),
-e AS (SELECT g.source, min(struct_pack(g := abs(g.size - i.need), h := g.h)) AS x
-      FROM g JOIN i ON i.source IS NOT DISTINCT FROM g.source AND i.j = i.top
-      WHERE NOT got AND g.size > 0 AND abs(g.size - i.need) < i.need GROUP BY g.source)
-SELECT doc_id, size, n AS source_size, target,
-       (size * (passes + CASE WHEN got OR coalesce(h = x.h, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM g LEFT JOIN e ON e.source IS NOT DISTINCT FROM g.source
+g AS (SELECT c.source, c.h, c.size, k.j, k.need AS open,
+             EXISTS (SELECT 1 FROM i WHERE i.source IS NOT DISTINCT FROM c.source AND i.j <= k.j AND (list_contains(i.picks, c.h)
+                     OR c.h > i.a AND c.h < i.b AND c.size BETWEEN 1 AND i.lim)) AS got
+      FROM c JOIN i k ON k.source IS NOT DISTINCT FROM c.source AND (k.j <= 1 OR k.j = k.top)),
+e AS (SELECT source, j, any_value(open) AS open, min(struct_pack(g := abs(size - open), h := h)) FILTER (
+        WHERE NOT got AND size > 0 AND abs(size - open) < open) AS x FROM g GROUP BY source, j),
+b AS (SELECT source, min(struct_pack(d := coalesce(x.g, open), j := j, h := x.h)) AS m FROM e GROUP BY source)
+SELECT c.doc_id, c.size, c.n AS source_size, c.target,
+       (c.size * (c.passes + CASE WHEN coalesce(g.got, false) OR coalesce(c.h = b.m.h, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c LEFT JOIN b ON b.source IS NOT DISTINCT FROM c.source
+LEFT JOIN g ON g.source IS NOT DISTINCT FROM c.source AND g.h = c.h AND g.j = b.m.j
 """
 
 # every pair that shares a shingle, its exact similarity, then components
