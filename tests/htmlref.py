@@ -55,6 +55,48 @@ class Builder(HTMLParser):
         self.stack[-1].children.append(Comment(data))
 
 
+class Repairing(Builder):
+    """Nests as a repairing parser does; state and rules written apart from the expressions'."""
+
+    RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
+            "head": 200, "body": 200, "html": 220}
+    CELL, GROUP = {"td", "th"}, {"thead", "tbody", "tfoot"}
+    BLOCK = {"address", "blockquote", "center", "dir", "div", "dl", "fieldset", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+             "menu", "ol", "p", "pre", "table", "ul"}
+
+    def __init__(self):
+        super().__init__()
+        self.ignored = 0
+
+    def ends(self, new, old):
+        if new in self.BLOCK:
+            return old in ("p", "head")
+        if new in self.GROUP:
+            return old in self.CELL | self.GROUP | {"tr", "p"}
+        return old in {"a": {"a"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"},
+                       "td": self.CELL | {"p"}, "th": self.CELL | {"p"}, "tr": self.CELL | {"tr", "p"}, "body": {"head"}}.get(new, ())
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("html", "head", "body") and any(n.tag == tag for n in self.stack):
+            self.ignored += 1
+            return
+        while tag not in VOID and self.ends(tag, self.stack[-1].tag):
+            self.stack.pop()
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag in ("html", "head", "body") and self.ignored:
+            self.ignored -= 1
+            return
+        rank = self.RANK.get(tag, 100)
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
+                del self.stack[i:]
+                return
+            if self.RANK.get(self.stack[i].tag, 100) > rank:
+                return
+
+
 def walk(n):
     for c in n.children:
         if isinstance(c, Node):
@@ -81,8 +123,8 @@ def node_string(n):
     return c
 
 
-def extract(html: str, url: str) -> dict:
-    b = Builder()
+def extract(html: str, url: str, builder: type = Builder) -> dict:
+    b = builder()
     b.feed(html)
     b.close()
     root = b.root
