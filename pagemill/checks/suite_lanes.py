@@ -56,6 +56,34 @@ def o11_hard_shapes(spark, sf):
         "page_id", "content", "to_json(shape_flags) AS flags")
 
 
+# --- O11-O14, O16: tags that cross the edge of a removed element or of the container
+CROSSED = [
+    ("<div><nav>menu</div>after</nav>", "after", [], []),
+    ("<p><nav>menu<a href=/in>i</a></p>after<a href=/out>o</a></nav>x", "after\n\no\n\nx", [], ["https://{host}/out"]),
+    ("<nav><div>a</nav>b<img src=/b.png></div>c</nav>d<img src=/d.png>", "d", ["https://{host}/d.png"], []),
+    ("<article><div>a</article>b</div>c</article>d", "a\n\nb\n\nc", [], []),
+    ("<section><div class=content>a</section>b</div>c</section>", "a\n\nb", [], []),
+    ("<article><table><tr><td>a</article>b</table>c</article>d", "a\n\nb\n\nc", [], []),
+    ("<article>a</section></p>b</article>c", "a\n\nb", [], []),
+    ("<table><tr><td><header>h</td></tr></table>z", "z", [], []),
+    ("<main><aside><ul><li>x</aside></ul>y</aside>z</main>w", "y\n\nz", [], []),
+    ("<article><p>a<div>b</p></article>c</div>d</article>e", "a\n\nb\n\nc\n\nd", [], []),
+]
+
+
+def _of_host(urls: list[str]) -> str:
+    return lit(json.dumps([u.format(host="h.example.com") for u in urls], separators=(",", ":")))
+
+
+@register("o11_crossed_elements", "SELECT page_id, " + by_id("page_id", [lit(c) for _, c, *_ in CROSSED]) + " AS content, "
+          + by_id("page_id", [_of_host(i) for *_, i, _ in CROSSED]) + " AS images, "
+          + by_id("page_id", [_of_host(x) for *_, x in CROSSED]) + " AS links, true AS crossed FROM pages")
+def o11_crossed_elements(spark, sf):
+    pages = pages_with(spark, sf, html_case([f"<html><body>{h}</body></html>" for h, *_ in CROSSED]))
+    return crawl(pages.selectExpr("page_id", "'https://h.example.com/p' AS url", "html")).selectExpr(
+        "page_id", "content", "to_json(images) AS images", "to_json(links) AS links", "array_contains(shape_flags, 'crossed_elements') AS crossed")
+
+
 # --- O14/O16/O20: attributes are read as (name, value) pairs
 TAGS = [
     ('<img alt="see src=fake.png here" src="https://e.com/real.png">', ["https://e.com/real.png"], [], {}),

@@ -213,9 +213,13 @@ def spans_sql(names: str, wanted) -> str:
 def without_spans_sql(tokens: str, spans: str) -> str:
     """``tokens`` with a line feed for the first token of each span and '' for its others."""
     t, i, x = var("t"), var("i"), var("x")
-    start = f"coalesce(get(filter({spans}, {x} -> {i} BETWEEN {x}.a AND {x}.b), 0).a, -1)"
-    return (f"transform({tokens}, ({t}, {i}) -> "
-            + let(start, lambda a: f"CASE WHEN {a} = -1 THEN {t} WHEN {a} = {i} THEN {q(chr(10))} ELSE '' END") + ")")
+
+    def cut(found):
+        start = f"coalesce(get(filter({found}, {x} -> {i} BETWEEN {x}.a AND {x}.b), 0).a, -1)"
+        return (f"transform({tokens}, ({t}, {i}) -> "
+                + let(start, lambda a: f"CASE WHEN {a} = -1 THEN {t} WHEN {a} = {i} THEN {q(chr(10))} ELSE '' END") + ")")
+    # bound once: inside the lambda it would be found again for every token
+    return let(spans, cut)
 
 
 def strip_boilerplate_sql(pre: str) -> str:
