@@ -112,7 +112,10 @@ START_ENDS = {**{b: ["p", "head"] for b in _BLOCKS}, "body": ["head"], "a": ["a"
 
 # a page as tags, markers and text, nothing left out
 _TOKEN_RE = TAG_RE + "|[^<]++|<"
-_CROSSING_RE = r"<(/?[a-z][^\s/>]*+)"
+# names of tags whose nesting is to be looked at
+_CROSSING_RE = "(?i)<(?!/?(?:" + "|".join(VOID_TAGS + BOILERPLATE_TAGS) + ")" + END + r")(/?[a-z][^\s/>]*+)"
+# in a list of names with a blank behind each: a start tag and its end tag side by side
+_PAIR_RE = r"(?<![^ ])([^ /]++) /\1 "
 
 
 # ------------------------------------------------------------------ SQL builders
@@ -156,12 +159,14 @@ def crossed_sql(part: str) -> str:
     out; their nesting is known."""
     tags, n, s, x = var("tags"), var("n"), var("s"), var("x")
     ranked = ", ".join(q(t) for t in END_RANK if t not in ("head", "body", "html"))
-    names = f"filter(regexp_extract_all(lower({part}), {q(_CROSSING_RE)}, 1), {x} -> NOT {x} RLIKE {q('^/?' + _BOILER[:-len(END)] + '$')})"
+    names = f"lower(concat(array_join(regexp_extract_all({part}, {q(_CROSSING_RE)}, 1), ' '), ' '))"
+    for _ in range(3):  # leaves, then what holds leaves only: a pair changes no depth around it
+        names = f"regexp_replace({names}, {q(_PAIR_RE)}, '')"
     depth = (f"aggregate({tags}, named_struct('d', 0, 'low', 0), ({s}, {x}) -> CASE WHEN {x} = {n} THEN named_struct('d', {s}.d + 1, 'low', {s}.low) "
              f"WHEN {x} = concat('/', {n}) THEN named_struct('d', {s}.d - 1, 'low', least({s}.low, {s}.d - 1)) ELSE {s} END)")
     found = let(depth, lambda d: f"{d}.low < 0 OR ({d}.d > 0 AND {n} IN ({ranked}))")
-    return (f"transform(array({names}), {tags} -> exists(array_distinct(transform({tags}, {x} -> ltrim('/', {x}))), "
-            f"{n} -> {found}))[0]")
+    return (f"transform(array(split(rtrim({names}), ' ')), {tags} -> exists(filter(array_distinct(transform({tags}, {x} -> ltrim('/', {x}))), "
+            f"{n} -> {n} <> ''), {n} -> {found}))[0]")
 
 
 def tag_names_sql(tokens: str) -> str:
