@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, line_dedup, minhash, substring
@@ -238,3 +239,21 @@ def test_bit_filter_keeps_members(spark):
     maybe, clear = f.split(rows)
     assert {r["_key"] for r in maybe.collect()} == kept and clear.count() == 2000 - len(kept)
     assert {r["_key"] for r in without(rows, members).collect()} == set(range(2000)) - set(range(0, 500, 7))
+
+
+@pytest.mark.parametrize("n_words, equal", [(55, 0.95), (55, 0.85), (80, 0.9), (80, 0.82), (120, 0.85), (200, 0.82)])
+def test_changed_passages_are_found(spark, n_words, equal):
+    """Words changed at random places, other text around: at least nine of ten are found, and no pair that shares nothing."""
+    rng = np.random.default_rng(n_words)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, pairs = [], 40
+    for i in range(pairs):
+        passage = fresh(n_words)
+        copy = list(passage)
+        for at in rng.choice(n_words, round(n_words * (1 - equal)), replace=False):
+            copy[at] = fresh(1)[0]
+        rows += [(2 * i, " ".join(fresh(90) + passage + fresh(60))), (2 * i + 1, " ".join(fresh(40) + copy + fresh(150)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in substring.repeated_passages(df).collect()}
+    assert all(a % 2 == 0 and b == a + 1 for a, b in found)
+    assert len(found) >= 0.9 * pairs, len(found)
