@@ -14,6 +14,7 @@ from ..functions import html as H
 from ..functions.urls import (is_valid_image_url_sql, is_valid_link_url_sql, resolve_urls_sql,
                               url_parts_sql)
 from ..operators.crawl import crawl
+from ..sources.charsets import decode_pages
 from ..sources.tables import read_pages
 from . import derived as D
 from . import oracle as O
@@ -104,6 +105,20 @@ def o13_text(spark, sf):
         "page_id", "content", "CAST(content_length AS BIGINT) AS content_length")
 
 
+# --- O01: pages as bytes, page_id % 4 -> UTF-8, UTF-16 behind a mark, declared and undeclared windows-1252
+BYTES_HTML = "replace(html, '<article>', '<article><p>K\u00e4se ' || CAST(page_id AS STRING) || ' na\u00efve</p>')"
+_AS_BYTES = (r"CASE WHEN page_id % 4 = 1 THEN unhex(concat('FFFE', hex(encode(html, 'UTF-16LE')))) "
+             r"WHEN page_id % 4 = 0 OR html RLIKE '[^\\x00-\\x7f\\xa0-\\xff]' THEN encode(html, 'UTF-8') "
+             r"ELSE encode(regexp_replace(html, '(?i)<meta charset[^>]*>', "
+             r"IF(page_id % 4 = 2, '<meta charset=ISO-8859-1>', '')), 'ISO-8859-1') END")
+
+
+@register("o01_page_bytes", _oracle_clean(BYTES_HTML) + f"SELECT page_id, {O.d_container('clean')} AS content, {O.d_title('pre')} AS title FROM d")
+def o01_page_bytes(spark, sf):
+    pages = pages_with(spark, sf, BYTES_HTML).selectExpr("page_id", "url", f"{_AS_BYTES} AS html")
+    return crawl(decode_pages(pages), extract_images=False, extract_links=False).select("page_id", "content", "title")
+
+
 # ------------------------------------------------------------------ O14-O21
 def _candidates(spark, sf, html_sql, kind: str) -> DataFrame:
     """Resolved references before filtering, one row per reference."""
