@@ -257,3 +257,38 @@ def test_changed_passages_are_found(spark, n_words, equal):
     found = {tuple(sorted((r.doc_id, r.other_id))) for r in substring.repeated_passages(df).collect()}
     assert all(a % 2 == 0 and b == a + 1 for a, b in found)
     assert len(found) >= 0.9 * pairs, len(found)
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_passages_of_short_equal_runs(spark, others):
+    """Every fifth word changed, so no run is longer than four words; each run is held by ``others`` documents, too."""
+    rng, rows, want = random.Random(19), [], set()
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    for g in range(6):
+        runs = [fresh(4) for _ in range(14)]
+        want.add((1000 * g, 1000 * g + 1))
+        for i in (0, 1):
+            rows.append((1000 * g + i, " ".join(fresh(20 + 9 * i) + [w for run in runs for w in run + fresh(1)] + fresh(30)), "s"))
+        rows += [(1000 * g + 100 + i, " ".join(w for run in rng.sample(runs, 14) for w in fresh(7) + run), "s") for i in range(others)]
+    out = substring.repeated_passages(table(spark, rows)).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in out} == want
+    assert all(r.equal_words >= 0.8 * r.n_words for r in out)
+
+
+def test_stock_text_links_all_changed_copies(spark):
+    """Sixty texts, each with words of its own replaced, among documents that hold parts of them: all in one component."""
+    rng = random.Random(20)
+    passage, rows = words(rng, 70).split(), []
+    for i in range(60):
+        w = list(passage)
+        for at in rng.sample(range(70), 3):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, f"{words(rng, 20 + i)} {' '.join(w)} {words(rng, 30)}", "s"))
+    rows += [(100 + i, f"{words(rng, 30)} {' '.join(passage[i % 30:i % 30 + 35])} {words(rng, 30)}", "s") for i in range(120)]
+    out = substring.repeated_passages(table(spark, rows)).collect()
+    up = list(range(300))
+    for r in out:
+        assert max(r.doc_id, r.other_id) < 60
+        a, b = up[r.doc_id], up[r.other_id]
+        up = [a if v == b else v for v in up]
+    assert len({up[i] for i in range(60)}) == 1
