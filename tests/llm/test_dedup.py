@@ -292,3 +292,44 @@ def test_stock_text_links_all_changed_copies(spark):
         a, b = up[r.doc_id], up[r.other_id]
         up = [a if v == b else v for v in up]
     assert len({up[i] for i in range(60)}) == 1
+
+
+def test_passages_of_one_repeated_word(spark):
+    """A word repeated sixty times in many texts: each text is linked, without a row for every shift of every pair."""
+    rng = random.Random(21)
+    rows = [(i, f"{words(rng, 30)} {'the ' * (60 + i)} {words(rng, 30)} {'no yes ' * 40 if i % 2 else ''}", "s") for i in range(40)]
+    rows += [(100, f"{words(rng, 9)} {'the ' * 30} {words(rng, 9)}", "s"), (101, f"{words(rng, 9)} {'the ' * 35}", "s")]
+    out = substring.repeated_passages(table(spark, rows)).collect()
+    the = [r for r in out if r.equal_words >= 60 and r.start == r.other_start == 30]
+    assert {r.doc_id for r in out} | {r.other_id for r in out} == set(range(40))
+    assert {r.doc_id for r in the} | {r.other_id for r in the} == set(range(40))
+    up = list(range(40))
+    for r in the:
+        a, b = up[r.doc_id], up[r.other_id]
+        up = [a if v == b else v for v in up]
+    assert len(set(up)) == 1 and len(out) < 150, len(out)
+
+
+def test_least_matched_words():
+    """Every pattern of 50 to 99 columns, four in five equal, has SURE matched words in some stretch; one has no more."""
+    join = int(substring.SEED / substring.GAP)  # words between matches of one stretch
+
+    def held(n, most):
+        # (equal columns up to here, matched words of the stretch, columns since): least unequal columns
+        states = {(0, 0, join + 1): 0}
+        for _ in range(n):
+            later = {}
+            for (run, cover, since), bad in states.items():
+                steps = [((0, cover, min(join + 4, since + 1)), bad + 1)]
+                if run < 3:
+                    steps.append(((run + 1, cover, min(join + 4, since + 1)), bad))
+                else:
+                    steps.append(((4, cover + 1 if run == 4 else 4 + cover * (since - 3 <= join), 0), bad))
+                for state, b in steps:
+                    if b <= n // 5 and state[1] <= most and later.get(state, n) > b:
+                        later[state] = b
+            states = later
+        return bool(states)
+
+    assert not any(held(n, substring.SURE - 1) for n in range(50, 100))
+    assert any(held(n, substring.SURE) for n in range(50, 60))
