@@ -35,6 +35,8 @@ from pagemill.llm.common import bounded_batches, packed, ragged, staged, text_ch
 MARK = "▁"
 LONGEST = 64  # bytes of a chunk in the table
 SLICE = 1 << 21
+ROWS = 640  # handed to Python at once: a task of encode and decode holds some batches in two workers and in the JVM
+IDS = 1 << 18  # decoded at once
 
 
 @lru_cache(1)
@@ -156,7 +158,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", table_chunks: in
                 lists = pa.ListArray.from_arrays(pa.array(ends[texts].astype(np.int32)), pa.array(ids[places]))
                 yield pa.RecordBatch.from_arrays([batch["_row"].slice(i, j - i), lists], ["_row", "ids"])
 
-    return unpacked(bounded_batches(sent).mapInArrow(run, schema), "ids")
+    return unpacked(bounded_batches(sent, ROWS).mapInArrow(run, schema), "ids")
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -164,7 +166,10 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
     decodes it: pieces joined, markers as spaces, the one in front dropped.
     Ids outside the model are an error. Null and empty lists give an empty
     text; an existing ``out_col`` is replaced."""
-    sent = packed(rows, out_col).withColumn("_ids", F.col("_row").getField(ids_col).cast("array<int>"))
+    sent = packed(rows, out_col)
+    whole = dict(rows.dtypes).get(ids_col) == "array<int>"  # then the row's own list is read, not sent twice
+    if not whole:
+        sent = sent.withColumn("_ids", F.col("_row").getField(ids_col).cast("array<int>"))
     schema = sent.select("_row", F.lit("").alias(out_col)).schema
 
     def run(batches):
@@ -179,14 +184,14 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
         lens = np.array([len(p) for p in part], np.int64)
         starts = np.cumsum(lens) - lens
         for batch in batches:
-            col = batch["_ids"]
+            col = batch["_row"].field(ids_col) if whole else batch["_ids"]
             n = np.where(col.is_null().to_numpy(zero_copy_only=False), 0, col.value_lengths().fill_null(0).to_numpy())
             ids, ends = col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(n)))
             if len(ids) and (ids.min() < 0 or ids.max() >= size):
                 raise ValueError("an id outside the model")
             lo = 0
-            while lo < len(n):  # slices of about a million ids
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + IDS, "right")) - 1)
                 own, off = ids[ends[lo]:ends[hi]], ends[lo:hi + 1] - ends[lo]
                 some = off[1:] > off[:-1]
                 head = np.zeros(len(own), np.int64)
@@ -202,4 +207,4 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
                 yield pa.RecordBatch.from_arrays([batch["_row"].slice(lo, hi - lo), text.cast(pa.string())], ["_row", out_col])
                 lo = hi
 
-    return unpacked(bounded_batches(sent).mapInArrow(run, schema), out_col)
+    return unpacked(bounded_batches(sent, ROWS).mapInArrow(run, schema), out_col)

@@ -62,6 +62,19 @@ def test_chunk_table_counts_slices(spark):
     assert rows[b" two"][1] == SP.encode("two")
 
 
+def test_workers_hold_short_batches(spark, capsys):
+    """Lists of ids are sent once, in batches of ``ROWS``: two workers and the JVM hold them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "array_repeat(int(300 + id % 7), 40) AS ids")
+    out = pieces.decode(rows, MODEL)
+    out.explain()
+    assert "_ids" not in capsys.readouterr().out
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 640
+    assert {(r.id, r.decoded) for r in out.collect()} == {(i, SP.decode([300 + i % 7] * 40)) for i in range(3000)}
+    longs = pieces.decode(rows.selectExpr("id", "cast(ids AS array<bigint>) AS ids"), MODEL)
+    assert {(r.id, r.decoded) for r in longs.collect()} == {(r.id, r.decoded) for r in out.collect()}
+
+
 def test_decode_of_any_ids(spark):
     lists = [None, [], [1, 306, 2], [0, 306], [3 + 0xC3, 3 + 0xA9], [3 + 0xC3, 306], [3 + 0xA9], [28705, 28705, 306], [13, 13]]
     rows = spark.createDataFrame([(x, 1) for x in lists], "ids array<int>, decoded int")
