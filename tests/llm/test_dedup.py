@@ -310,6 +310,33 @@ def test_passages_of_one_repeated_word(spark):
     assert len(set(up)) == 1 and len(out) < 150, len(out)
 
 
+def test_passages_of_repeated_phrases(spark):
+    """Phrases of one to four words repeated, begun at any of their words; the longest holds the copies of others side by side."""
+    rng, rows = random.Random(22), []
+    for q in range(1, 5):
+        phrase = [f"p{q}{x}" for x in "abcd"[:q]]
+        for i in range(9):
+            n = 64 + 3 * i if i < 8 else 230
+            run = " ".join(phrase[(i + k) % q] for k in range(n))
+            rows.append((100 * q + i, f"{words(rng, 7 * i)} {run} {words(rng, 9 if i % 2 else 0)}", "s"))
+    out = substring.repeated_passages(table(spark, rows)).collect()
+    assert all(r.doc_id // 100 == r.other_id // 100 and r.equal_words >= 50 for r in out)
+    texts = {i: t.split() for i, t, _ in rows}
+    for r in out:
+        a, b = texts[r.doc_id][r.start:r.start + r.n_words], texts[r.other_id][r.other_start:r.other_start + r.other_n_words]
+        assert r.n_words != r.other_n_words or sum(x == y for x, y in zip(a, b)) >= 0.8 * r.n_words
+    for q in range(1, 5):
+        up = list(range(9))
+        for r in out:
+            if r.doc_id // 100 == q:
+                a, b = up[r.doc_id % 100], up[r.other_id % 100]
+                up = [a if v == b else v for v in up]
+        assert len(set(up)) == 1
+        held = {w for r in out for i, s, n in ((r.doc_id, r.start, r.n_words), (r.other_id, r.other_start, r.other_n_words))
+                if i == 100 * q + 8 for w in range(s, s + n)}
+        assert len(held & set(range(56, 56 + 230))) >= 225, (q, len(held))
+
+
 def test_least_matched_words():
     """Every pattern of 50 to 99 columns, four in five equal, has SURE matched words in some stretch; one has no more."""
     join = int(substring.SEED / substring.GAP)  # words between matches of one stretch
