@@ -337,6 +337,59 @@ def test_passages_of_repeated_phrases(spark):
         assert len(held & set(range(56, 56 + 230))) >= 225, (q, len(held))
 
 
+def test_stock_copies_link_without_all_pairs(spark):
+    """120 texts with the same 50 words, and 120 near copies of one text: each group is connected, by few rows."""
+    rng = random.Random(23)
+    passage, text, rows = words(rng, 50), words(rng, 150).split(), []
+    for i in range(120):
+        copy = list(text)
+        for at in rng.sample(range(150), 8):
+            copy[at] = f"x{i}y{at}"
+        rows += [(i, f"{words(rng, 30 + i % 7)} {passage} {words(rng, 30)}", "s"), (200 + i, " ".join(copy), "s")]
+    out = substring.repeated_passages(table(spark, rows)).collect()
+    up = list(range(400))
+    for r in out:
+        assert (r.doc_id < 200) == (r.other_id < 200) and r.n_words >= 50 and r.equal_words >= 0.8 * r.n_words
+        a, b = up[r.doc_id], up[r.other_id]
+        up = [a if v == b else v for v in up]
+    assert len({up[i] for i in range(120)}) == len({up[200 + i] for i in range(120)}) == 1
+    assert sum(r.doc_id < 200 for r in out) < 240 and len(out) < 5000, len(out)  # of 7,140 pairs in each
+
+
+def test_compared_words_equal_brute_force():
+    """Counts of equal words, word by word or pair by pair, leave out words beyond both texts; sure pairs have a passage."""
+    rng = np.random.default_rng(24)
+    kinds = rng.integers(0, 3, (60, 1))
+    plain = np.where(rng.random((60, 99)) < 0.8, (np.arange(99) % 7 + 1 + 10 * kinds).astype(np.uint8), rng.integers(1, 255, (60, 99)).astype(np.uint8))
+    for row, lead, trail in zip(plain, rng.integers(0, 50, 60), rng.integers(0, 50, 60)):
+        row[:lead], row[99 - trail:] = 0, 0
+    o = np.zeros((60, 104), np.uint8)
+    o[:, :99] = plain
+    outside = substring._beyond(o)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(60), np.arange(60), indexing="ij"))
+    equal = (plain[x] == plain[y]) & (plain[x] > 0)
+    dense = np.concatenate([e for _, e in substring._enough(o, outside, np.arange(60), np.arange(60), 34, tile=16)])
+    assert (dense.ravel() == (equal.sum(1) >= 34)).all()
+    near, sure = substring._alike(o, outside, np.zeros(len(x), bool), x, y, 34, 50, 0.8, size=100)
+    assert (near == [max(e[i:i + 50].sum() for i in range(50)) >= 34 for e in equal]).all()
+    assert 0 < sure.sum() < near.sum()
+    for e in equal[sure]:
+        i, j = substring._longest(e, 0.8)
+        assert j - i >= 50 and e[i:j].sum() >= 0.8 * (j - i)
+
+
+def test_telling_shifts_keep_all_equal_words():
+    rng = np.random.default_rng(25)
+    o = rng.integers(1, 3, (300, 8)).astype(np.uint8)
+    x, y = np.arange(290) // 29, np.arange(10, 300)
+    same = o[x] == o[y]
+    for rounds in (1, 9):
+        kept = set(substring._telling_shifts(o, x, y, (x, y % 2), rounds=rounds, size=7).tolist())
+        assert len(kept) < 290
+        for i in set(range(290)) - kept:
+            assert any(x[j] == x[i] and y[j] % 2 == y[i] % 2 and (same[j] | ~same[i]).all() for j in kept)
+
+
 def test_least_matched_words():
     """Every pattern of 50 to 99 columns, four in five equal, has SURE matched words in some stretch; one has no more."""
     join = int(substring.SEED / substring.GAP)  # words between matches of one stretch
