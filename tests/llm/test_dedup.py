@@ -390,6 +390,25 @@ def test_telling_shifts_keep_all_equal_words():
             assert any(x[j] == x[i] and y[j] % 2 == y[i] % 2 and (same[j] | ~same[i]).all() for j in kept)
 
 
+def test_least_matched_words_of_all_stretches():
+    """Every pattern of 50 to 99 columns, four in five equal, has LONE matched words in runs of SEED on, of which
+    no more than SEED + AHEAD words count; one has no more."""
+    most = substring.SEED + substring.AHEAD
+    count = lambda run: min(run, most) if run >= substring.SEED else 0
+    least = []
+    for n in range(50, 100):
+        states = {(0, 0): 0}  # (run, unequal columns): least words counted before the run
+        for _ in range(n):
+            later = {}
+            for (run, bad), words_ in states.items():
+                for state, v in (((min(run + 1, most), bad), words_), ((0, bad + 1), words_ + count(run))):
+                    if state[1] <= n // 5:
+                        later[state] = min(v, later.get(state, 1000))
+            states = later
+        least.append(min(v + count(run) for (run, _), v in states.items()))
+    assert min(least) == substring.LONE
+
+
 def test_least_matched_words():
     """Every pattern of 50 to 99 columns, four in five equal, has SURE matched words in some stretch; one has no more."""
     join = int(substring.SEED / substring.GAP)  # words between matches of one stretch
