@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, line_dedup, minhash, substring
-from pagemill.llm.common import BitFilter, without
+from pagemill.llm.common import BitFilter, shuffles_freed, without
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # columns whose names the operators use inside
@@ -432,3 +432,35 @@ def test_least_matched_words():
 
     assert not any(held(n, substring.SURE - 1) for n in range(50, 100))
     assert any(held(n, substring.SURE) for n in range(50, 60))
+
+
+def test_columns_side_by_side_equal_one_by_one():
+    """The longest dense stretches of many arrays at once are those of each."""
+    rng = np.random.default_rng(26)
+    for _ in range(20):
+        parts = [rng.random(n) < rng.choice([0.1, 0.5, 0.8, 0.9, 1.0], p=[0.2, 0.2, 0.2, 0.2, 0.2]) for n in rng.integers(1, 200, 30)]
+        offs = np.cumsum([0] + [len(x) for x in parts])
+        i, j = substring._longest_of_each(np.concatenate(parts), offs[:-1], offs[1:], 0.8)
+        assert [(a - o, b - o) for a, b, o in zip(i, j, offs)] == [substring._longest(x, 0.8) for x in parts]
+        for x, s, e, equal in substring._dense(parts, 50, 0.8):
+            assert e - s >= 50 and equal == parts[x][s:e].sum() >= 0.8 * (e - s)
+
+
+def test_end_of_repeated_words(spark):
+    """A word repeated fifty times beside one repeated a hundred times: a word behind the end, equal by its byte, makes no longer run."""
+    rng = random.Random(28)
+    byte = lambda w: int(substring._bytes(substring.tokenize(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0])[0])
+    like = next(w for w in (f"w{x}" for x in range(10_000)) if byte(w) == byte("the"))
+    rows = [(1, f"{words(rng, 20)} {'the ' * 50}{like} {words(rng, 20)}", "s"), (2, f"{words(rng, 30)} {'the ' * 100}{words(rng, 20)}", "s")]
+    for every_pair in (True, False):
+        out = substring.repeated_passages(table(spark, rows), every_pair=every_pair).collect()
+        assert {(r.doc_id, r.other_id) for r in out} <= {(1, 2), (2, 1)} and out
+
+
+def test_passages_leave_no_shuffle_files(spark):
+    """Shuffle files of a step go when it ends; the session's setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_freed(spark.range(1)):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
