@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, line_dedup, minhash, substring
 from pagemill.llm.common import BitFilter, shuffles_freed, without
+from pagemill.llm.queries import QUERIES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # columns whose names the operators use inside
@@ -446,6 +447,25 @@ def test_columns_side_by_side_equal_one_by_one():
             assert e - s >= 50 and equal == parts[x][s:e].sum() >= 0.8 * (e - s)
 
 
+def test_passage_query_lists_every_pair(spark, tmp_path):
+    """Holders of stock text, its near copies and a word repeated sixty times are listed pair by pair, not only connected."""
+    rng = random.Random(27)
+    passage, rows, texts = words(rng, 60).split(), [], {}
+    for i in range(40):
+        w = list(passage)
+        for at in rng.sample(range(60), 2):
+            w[at] = f"x{i}y{at}"
+        texts[i] = f"{words(rng, 20 + i)} {' '.join(w if i % 2 else passage)} {words(rng, 30)}"
+        texts[100 + i] = f"{words(rng, 10)} {'the ' * (60 + i % 9)}{words(rng, 30)}"
+        texts[200 + i] = f"{words(rng, 30)} {' '.join(passage[i % 20:i % 20 + 35])} {words(rng, 30)}"
+    rows = [(i, t, "s") for i, t in texts.items()]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op8_passages"](spark, str(tmp_path)).collect()
+    pairs = {tuple(sorted((r.doc_id, r.other_id))) for r in out}
+    assert pairs == {(a + g, b + g) for g in (0, 100) for a in range(40) for b in range(a + 1, 40)}
+    assert len(out) == len(set(out))
+
+
 def test_end_of_repeated_words(spark):
     """A word repeated fifty times beside one repeated a hundred times: a word behind the end, equal by its byte, makes no longer run."""
     rng = random.Random(28)
